@@ -1,0 +1 @@
+"""strandlake.functions"""
