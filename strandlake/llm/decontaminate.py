@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import ascii_lower, cut, let
 
-#: Fixed by the contract: what a word is.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed by the contract: what stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bits of a word filter: at least, at most (512 KB). A crowded filter lets more words through to the join, none fewer.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 22
 #: Windows of one word in a row of the index.
@@ -21,7 +21,7 @@ CHUNK = 64
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _filter_of(tokens: DataFrame) -> "callable":
