@@ -49,3 +49,16 @@ def scored(docs: DataFrame, score, at_least: float) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, score, at_least: float) -> DataFrame:
+    """The rows of docs, with all their columns, that score at_least or more."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            yield batch.filter(pa.array(score(texts) >= at_least))
+
+    return docs.mapInArrow(run, docs.schema)

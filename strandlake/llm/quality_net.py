@@ -14,7 +14,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from strandlake.llm.labelled import sample, scored
+from strandlake.llm.labelled import kept, sample, scored
 
 DIM, ONES, REACH, HIDDEN = 64, 6, 2, 32
 #: A short text is judged as if it had so many words of the usual kind besides.
@@ -164,3 +164,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Da
     net = fit(*sample(docs, labels, "quality", most))
     handle = docs.sparkSession.sparkContext.broadcast(net)
     return scored(docs, lambda texts: handle.value.score(texts), 0.5)
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
+    """docs without the rows that classify_quality() predicts 0 for; all columns pass through."""
+    net = fit(*sample(docs, labels, "quality", most))
+    handle = docs.sparkSession.sparkContext.broadcast(net)
+    return kept(docs, lambda texts: handle.value.score(texts), 0.5)

@@ -195,3 +195,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     named = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
+    """docs with one document of each group of near duplicates: the smallest doc_id, with all columns.
+
+    Rows without a doc_id can't stand for a group and stay only if no row of their group has one.
+    """
+    near = near_duplicates(docs, words, most)
+    stays = near.where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
