@@ -106,3 +106,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["rank"] < len(KINDS))
     counts = [F.size(F.filter("spans", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), least=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
