@@ -91,29 +91,32 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z
     chosen = list(dict.fromkeys(chosen + [t for terms in IDENTITY.values() for t in terms]))
     at = {f: i for i, f in enumerate(chosen)}
 
-    def rows(all_features) -> np.ndarray:
-        x = np.zeros((len(all_features), len(chosen)), np.float32)
-        for i, c in enumerate(all_features):
-            for f in c:
-                if (j := at.get(f)) is not None:
-                    x[i, j] = 1
-        return x
-
-    x = rows(counts)
+    def places(all_features) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of each chosen feature that a row has."""
+        found = [(i, at[f]) for i, own in enumerate(all_features) for f in sorted(own) if f in at]
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
     # each telling word of a toxic text, up to LONE of them, also stands alone, so that one is enough
     names = {t for terms in IDENTITY.values() for t in terms}
     telling = {f for f in chosen if held[1][f] >= 8 and held[1][f] / n1 > 30 * (held[0][f] + 0.5) / n0} - names
     lone = [(i, own) for i in np.flatnonzero(y == 1).tolist() for own in sorted({tuple(f for f in features(w) if f in telling) for w in sets[i]} - {()})[:LONE]]
-    x, y, weight = np.r_[x, rows([set(own) for _, own in lone])], np.r_[y, np.ones(len(lone), np.int64)], np.r_[weight, 0.15 * weight[[i for i, _ in lone]]]
+    y, weight = np.r_[y, np.ones(len(lone), np.int64)], np.r_[weight, 0.15 * weight[[i for i, _ in lone]]]
+    row, col = places(counts + [set(own) for _, own in lone])
+    # a sentence less its counterfactual, per feature
     pairs = [(i, t) for i, s in enumerate(sets) if (t := swapped(s))]
-    change = x[[i for i, _ in pairs]] - rows([{f for w in t for f in features(w)} for _, t in pairs]) if pairs else np.zeros((0, len(chosen)), np.float32)
-    w, b = np.zeros(len(chosen)), float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
-    # full-batch Adam
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        q = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
-        d = weight * (q - y) / len(y)
-        g = np.r_[x.T @ d + decay * w / len(chosen) + (fair * change.T @ (change @ w) / max(1, len(change))), d.sum()]
+    with_row, with_col = places([counts[i] for i, _ in pairs])
+    swap_row, swap_col = places([{f for w in t for f in features(w)} for _, t in pairs])
+    pair_row, pair_col, sign = np.r_[with_row, swap_row], np.r_[with_col, swap_col], np.r_[np.ones(len(with_row)), -np.ones(len(swap_row))]
+    n, d = len(y), len(chosen)
+    w, b = np.zeros(d), float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
+    m, v = np.zeros(d + 1), np.zeros(d + 1)
+    for t in range(1, steps + 1):  # Adam over all rows
+        q = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + b, -50, 50)))
+        e = weight * (q - y) / n
+        g = np.r_[np.bincount(col, e[row], d) + decay * w / d, e.sum()]
+        if pairs:
+            change = np.bincount(pair_row, sign * w[pair_col], len(pairs))
+            g[:-1] += fair * np.bincount(pair_col, sign * change[pair_row], d) / len(pairs)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
