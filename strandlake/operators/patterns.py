@@ -74,11 +74,12 @@ def matching_pairs(matches: DataFrame, id_: str = "read", allowed: DataFrame | N
 
 
 def highlight(seq: Column, *spans: tuple[Column, Column]) -> Column:
-    """seq in lower case with spans (0-based, inclusive) in upper case."""
-    out = F.lower(seq)
+    """seq in lower case with spans (0-based, inclusive) in upper case; only A-Z have a case here, so lengths stay."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    out = F.translate(seq, upper, lower)
     for s, e in spans:
         n = e - s + 1
-        out = F.concat(F.substr(out, F.lit(1), s), F.upper(F.substr(out, s + 1, n)), F.substr(out, e + 2, F.char_length(out)))
+        out = F.concat(F.substr(out, F.lit(1), s), F.translate(F.substr(out, s + 1, n), lower, upper), F.substr(out, e + 2, F.char_length(out)))
     return out
 
 

@@ -168,8 +168,8 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
 def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: int = 500, spacing: int = 1000, number: int = 20, drops: int = 10, most: int | None = 5_000_000, symmetric: bool = False) -> DataFrame:
     """keys, plot_start, plot_end: every locus (start, end, target_cov, reference_cov) expanded over its own depth runs."""
     reach = F.lit(most) if most else 10 * (F.col("end") - F.col("start"))
-    windows = loci.select(*keys, F.col("start").alias("l_start"), F.col("end").alias("l_end"), "target_cov", "reference_cov", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
-    near = runs.select(*keys, "start", "end", "depth").join(windows.select(*keys, "w_start", "w_end"), keys).where("start < w_end AND end > w_start").drop("w_start", "w_end")
+    windows = loci.select(*(F.col(k).alias(k) for k in keys), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "target_cov", "reference_cov", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
+    near = runs.select(*(F.col(k).alias(k) for k in keys), "start", "end", "depth").join(windows.select(*keys, "w_start", "w_end"), keys).where("start < w_end AND end > w_start").select(*(F.col(k).alias(k) for k in keys), "start", "end", "depth")
     schema = loci.select(*keys, F.lit(0).cast("long").alias("plot_start"), F.lit(0).cast("long").alias("plot_end")).schema
 
     def kernel(track, locus):

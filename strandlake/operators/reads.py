@@ -17,7 +17,7 @@ OPS, ON_REFERENCE, SOFT = "MIDNSHP=X", (0, 2, 3, 7, 8), 4
 def parse_cigar(text: Column) -> Column:
     """An array of (op, len) from CIGAR text; null and * give null."""
     parts = F.filter(F.split(text, r"(?<=[MIDNSHP=X])"), lambda x: x != "")
-    return F.when(text != "*", F.transform(parts, lambda x: F.struct((F.call_function("instr", F.lit(OPS), F.right(x, F.lit(1))) - 1).alias("op"), F.regexp_extract(x, r"^\d+", 0).cast("int").alias("len"))))
+    return F.when(text != "*", F.transform(parts, lambda x: F.struct((F.call_function("instr", F.lit(OPS), F.right(x, F.lit(1))) - 1).alias("op"), F.regexp_extract(x, r"^\d+", 0).try_cast("int").alias("len"))))
 
 
 def reference_length(cigar: Column) -> Column:
@@ -103,7 +103,7 @@ def bridging_pairs(near: DataFrame, targets: DataFrame, width: int = 10_000) ->
     near: ord, sample, qname, rname, position, mate_position, breakpoint. targets: sample, target, t_ord, t_start, t_end; their
     chromosome isn't compared. Of several targets the first by t_ord counts.
     """
-    points = near.where(F.col("mate_position").isNotNull()).withColumns({"m0": F.col("mate_position"), "m1": F.col("mate_position") + 1})
+    points = near.drop("r_start", "r_end").where(F.col("mate_position").isNotNull()).withColumns({"m0": F.col("mate_position"), "m1": F.col("mate_position") + 1})
     closed = targets.select("sample", "target", "t_ord", F.col("t_start").alias("r_start"), (F.col("t_end") + 1).alias("r_end"))
     met = range_join(points, closed, ["sample"], width, ("m0", "m1")).where("target != breakpoint")
     first = Window.partitionBy("ord").orderBy("t_ord")
