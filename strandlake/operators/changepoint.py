@@ -110,17 +110,24 @@ def dynamic(cost: Cost, n: int, n_bkps: int | None, pen: float | None, min_size:
 
 
 def pelt(cost: Cost, n: int, n_bkps: int | None, pen: float | None, min_size: int, jump: int) -> list[int]:
-    """The cheapest segmentation at a penalty per cut, with pruning."""
+    """The cheapest segmentation at a penalty per cut, with pruning.
+
+    A start that a later cut beats is left once that cut can be followed by a segment of min_size itself.
+    """
     if pen is None:
         raise ValueError("PELT takes a penalty")
     best: dict[int, tuple[float, tuple]] = {0: (-pen, ())}
-    live = [0]
+    until = {0: n + 1}
     for e in [*range(jump, n, jump), n]:
+        live = [c for c, last in until.items() if e < last]
         found = [(best[c][0] + cost(c, e) + pen, (*best[c][1], c)) for c in live if e - c >= min_size]
         if not found:
             continue
         best[e] = min(found)
-        live = [c for c in live if e - c < min_size or best[c][0] + cost(c, e) <= best[e][0]] + [e]
+        for c in live:
+            if e - c >= min_size and best[c][0] + cost(c, e) > best[e][0]:
+                until[c] = min(until[c], e + min_size)
+        until[e] = n + 1
     return [c for c in best[n][1] if c] if n in best else []
 
 
