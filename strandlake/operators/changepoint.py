@@ -54,7 +54,8 @@ class Cost:
 
 def bottom_up(cost: Cost, n: int, n_bkps: int | None, pen: float | None, min_size: int, jump: int) -> list[int]:
     """Begin with a segment for every cut and merge the neighbours whose union costs least more."""
-    cuts = [c for c in range(jump, n, jump) if c >= min_size and n - c >= min_size]
+    step = -(-min_size // jump) * jump
+    cuts = [c for c in range(step, n, step) if n - c >= min_size]
     bounds = [0, *cuts, n]
     nxt = {a: b for a, b in zip(bounds, bounds[1:])}
     prev = {b: a for a, b in zip(bounds, bounds[1:])}
