@@ -1 +1 @@
-"""strandlake.functions"""
+"""Column functions live with the operators that need them: matrix.packed_cell, reads.reference_length, patterns.highlight, probes.hamming."""
