@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,26 @@ def let(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from: crc32 of doc_id as text leaves 1 modulo 3; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches cut to at most so many rows, so that what a worker makes of one stays small; at the end its memory is given back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

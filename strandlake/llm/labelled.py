@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out
+from strandlake.llm.common import held_out, slices
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -34,7 +34,7 @@ def scored(docs: DataFrame, score, at_least: float) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, out = batch.column("text"), []
             part, chars = [], 0
             for t in texts:
@@ -57,7 +57,7 @@ def kept(docs: DataFrame, score, at_least: float) -> DataFrame:
     import pyarrow.compute as pc
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             yield batch.filter(pa.array(score(texts) >= at_least))
 

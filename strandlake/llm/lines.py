@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ascii_lower, cut
+from strandlake.llm.common import ascii_lower, cut, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id: one document, after all others.
@@ -206,7 +206,7 @@ def dropped_lines(state: LineState) -> DataFrame:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         lines, dropped, texts = [], [], []
         for text, drops in zip(batch.column("text"), batch.column("drops").to_pylist()):
             own = (text.as_py() or "").split("\n")

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, drop_cut
+from strandlake.llm.common import cut, slices
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BINS = "sequence_id long, fill int, done boolean, grp long, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 BIN_SCHEMA = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("grp", pa.int64()), ("members", pa.list_(MEMBER))])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Documents tokenised at a time; pieces packed at a time in a partition.
-BATCH_CHARS, CHUNK = 4_000_000, 50_000
+BATCH_CHARS, CHUNK = 1_000_000, 50_000
 #: Bits of a sequence id: tree level, node, bin in the node.
 NODE_BITS, BIN_BITS = 24, 34
 
@@ -88,7 +88,7 @@ def _local(tokenizer: str, capacity: int, slack: int, carry: int, end_id: int):
             made, cols = made + out.num_rows, [[], [], [], [], []]
             yield out
 
-        for batch in batches:
+        for batch in slices(batches):
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             i = 0
             while i < len(docs):

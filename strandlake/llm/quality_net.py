@@ -84,26 +84,43 @@ def logits(layers: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(texts: list[str], least: int, most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Ids (0: nothing known) and vectors of the words seen `least` times, at most `most`, of all shapes and of all marks."""
-    split = [t.split() for t in texts]
-    counts = Counter(w for ws in split for w in ws)
-    known = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most] if c >= least]
-    marks = [_marks(t, ws) for t, ws in zip(texts, split)]
-    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(["\x00none", *known, *sorted(map(shape, counts)), *(m for ms in marks for m, _ in ms)]))}
-    shapes = {w: vocabulary[shape(w)] for w in counts}
+    """Ids (0: nothing known) and vectors of the words seen `least` times, at most `most`, of all shapes and of all marks.
+
+    Texts are split again in each pass and summed up in blocks, so the driver holds counts and vectors but never all words.
+    """
+    counts: Counter = Counter()
+    marks: dict[str, None] = {}
+    for t in texts:
+        words = t.split()
+        counts.update(words)
+        marks |= dict.fromkeys(m for m, _ in _marks(t, words))
+    known = [w for w, c in sorted(((w, c) for w, c in counts.items() if c >= least), key=lambda x: (-x[1], x[0]))[:most]]
+    shapes = sorted(set(map(shape, counts)))
+    del counts
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(["\x00none", *known, *shapes, *marks]))}
     place, sign = _index_vectors(list(vocabulary))
-    gap = np.zeros(REACH, np.int64)
-    ids = np.concatenate([np.r_[[vocabulary.get(w, shapes[w]) for w in ws], gap].astype(np.int64) for ws in split] or [gap])
-    # a known word teaches its shape too
-    by_shape = np.concatenate([np.r_[[shapes[w] for w in ws], gap].astype(np.int64) for ws in split] or [gap])
-    flat = np.zeros(len(vocabulary) * DIM)
-    for own in (ids, by_shape):
-        for d in range(1, REACH + 1):
-            for a, b in ((own[:-d], ids[d:]), (own[d:], ids[:-d])):
-                both = (a > 0) & (b > 0)
-                for k in range(ONES):
-                    flat += np.bincount(a[both] * DIM + place[b[both], k], sign[b[both], k], len(flat))
-    around = flat.reshape(-1, DIM)
+    around = np.zeros(len(vocabulary) * DIM)
+
+    def add(ids: np.ndarray, by_shape: np.ndarray) -> None:
+        for own in (ids, by_shape):  # a known word teaches its shape too
+            for d in range(1, REACH + 1):
+                for a, b in ((own[:-d], ids[d:]), (own[d:], ids[:-d])):
+                    both = (a > 0) & (b > 0)
+                    for k in range(ONES):
+                        np.add.at(around, a[both] * DIM + place[b[both], k], sign[b[both], k])
+
+    block: list[int] = []
+    block_shapes: list[int] = []
+    for t in texts:
+        words = t.split()
+        own = [vocabulary[shape(w)] for w in words]
+        block += [vocabulary.get(w, k) for w, k in zip(words, own)] + [0] * REACH
+        block_shapes += own + [0] * REACH
+        if len(block) > 100_000:
+            add(np.array(block), np.array(block_shapes))
+            block, block_shapes = [], []
+    add(np.array(block, np.int64), np.array(block_shapes, np.int64))
+    around = around.reshape(-1, DIM)
     around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
     for k in range(ONES):
         np.add.at(around, (np.arange(len(around)), place[:, k]), sign[:, k] / np.sqrt(ONES))
@@ -136,7 +153,7 @@ def _temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return min(np.geomspace(0.25, 8, 61).tolist(), key=loss)
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, least: int = 4, most: int = 60_000) -> Net:
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, least: int = 4, most: int = 40_000) -> Net:
     """The classifier; every fifth row is kept for the temperature. One class or none: a network that says its share."""
     vocabulary, vectors = word_vectors(texts, least, most)
     if len(set(y.tolist())) < 2:
@@ -154,7 +171,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, least: int = 4, mos
     return net
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted (score >= 0.5) for every row of docs.
 
     labels: doc_id, quality; only rows that aren't held out are learnt from, at most `most` of either class (the bound of the
@@ -166,7 +183,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Da
     return scored(docs, lambda texts: handle.value.score(texts), 0.5)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
     """docs without the rows that classify_quality() predicts 0 for; all columns pass through."""
     net = fit(*sample(docs, labels, "quality", most))
     handle = docs.sparkSession.sparkContext.broadcast(net)

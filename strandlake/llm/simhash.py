@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut
+from strandlake.llm.common import cut, slices
 from strandlake.llm.graph import components
 
 #: Children of an index node, node pairs compared at a time, rows gathered before whole buckets are searched.
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """docs with a column fp (long) from text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = (fingerprint(t.as_py() or "", words) for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

@@ -39,7 +39,7 @@ class Encoder:
     to the tokenizer whole. cache: most pieces kept per worker.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         import json
 
         from tokenizers import Tokenizer

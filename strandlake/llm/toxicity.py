@@ -74,22 +74,31 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z
     if len(set(y.tolist())) < 2:
         return Model({}, -4.0 if not len(y) or y[0] == 0 else 4.0)
     weight = np.sqrt(weight)  # between the classes' shares and even: a single telling word has to be enough
-    sets = [set(_words(t.lower())) for t in texts]
-    counts = [{f for w in s for f in features(w)} for s in sets]
+    words_of = lambda t: set(_words(t.lower()))
     n1 = max(1, int(y.sum()))
     n0 = max(1, len(y) - n1)
+    # features of toxic texts first; of the others only those are counted
     held = [Counter(), Counter()]
-    for c, k in zip(counts, y.tolist()):
-        held[k].update(c)
+    for t, k in zip(texts, y.tolist()):
+        if k:
+            held[1].update({f for w in words_of(t) for f in features(w)})
+    held[1] = Counter({f: a for f, a in held[1].items() if a >= 3})
+    for t, k in zip(texts, y.tolist()):
+        if not k:
+            held[0].update({f for w in words_of(t) for f in features(w)} & held[1].keys())
     power = {}
-    for f in held[0].keys() | held[1].keys():
-        a, b = held[1][f], held[0][f]
-        if a + b >= 4 and (a + 0.5) / n1 > odds * (b + 0.5) / n0:
+    for f, a in held[1].items():
+        b = held[0][f]
+        if (a + 0.5) / n1 > odds * (b + 0.5) / n0:
             p = (a + b) / (n1 + n0)
             power[f] = abs(a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     chosen = sorted((f for f in power if power[f] > z), key=lambda f: (-power[f], f))[:most]
     chosen = list(dict.fromkeys(chosen + [t for terms in IDENTITY.values() for t in terms]))
     at = {f: i for i, f in enumerate(chosen)}
+    known = {f.removesuffix("*") for f in chosen}
+    # of each text the words that have a chosen feature
+    sets = [{w for w in words_of(t) if w in known or any(w[:n] in known for n in STARTS)} for t in texts]
+    counts = [{f for w in s for f in features(w)} for s in sets]
 
     def places(all_features) -> tuple[np.ndarray, np.ndarray]:
         """Row and column of each chosen feature that a row has."""
