@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, drop_cut
+from strandlake.llm.common import cut, drop_cut, slices
 
 #: Bytes hashed at a time, interval members compared at a time, contexts gathered before whole buckets are scanned.
 BYTES, MEMBERS, ROWS = 400_000, 400_000, 60_000
@@ -90,7 +90,7 @@ def _find_anchors(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         rows, docs, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary())):
                 doc = text.as_py() or b""
                 if len(doc) >= least:
@@ -114,7 +114,7 @@ def _contexts(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist()):
                 doc = text.as_py()
@@ -230,7 +230,7 @@ def _scan(least: int, k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = 200, k: int = 64, crowd: int = 30_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 30_000) -> DataFrame:
     """row and spans (array of start, end in bytes, overlapping, unsorted) for the rows of docs that have any.
 
     row: xxhash64(doc_id, text). A span's bytes lie in strings of `least` bytes that also start elsewhere. A class of anchors
@@ -239,11 +239,13 @@ def repeated_spans(docs: DataFrame, least: int = 200, k: int = 64, crowd: int =
     """
     own = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
     anchors = cut(own.mapInArrow(_find_anchors(least, k), ANCHORS))
-    often = anchors.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    # written first, so that both sides of the join are plain shuffles, whose crowded partitions can be split
+    often = cut(anchors.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"))
     shared = cut(anchors.join(often, "kh", "left_semi"))
     drop_cut(anchors)
+    drop_cut(often)
     classes = cut(shared.groupBy("kh", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("rep"), F.first("rest").alias("rest")))
-    groups = classes.groupBy("kh").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    groups = cut(classes.groupBy("kh").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = classes.join(groups, "kh").select(F.col("rep.row").alias("row"), F.struct(F.col("rep.pos").alias("pos"), "kh", "ctx", (F.col("kinds") > crowd).alias("crowded")).alias("x"))
     wanted = asked.groupBy("row").agg(F.collect_list("x").alias("wanted"))
     contexts = own.join(wanted, "row").dropDuplicates(["row"]).mapInArrow(_contexts(least, k), "kh long, sub long, ctx long, before binary, after binary")
@@ -252,13 +254,13 @@ def repeated_spans(docs: DataFrame, least: int = 200, k: int = 64, crowd: int =
     met = met.groupBy("kh", "ctx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     reach = F.least(F.col("rep.pos"), F.lit(least - k))
     twice = classes.where((F.col("n") > 1) & (reach + F.col("rest") >= least)).select("kh", "ctx", reach.alias("left"), F.col("rest").cast("int").alias("right"))
-    known = twice.unionByName(met).groupBy("kh", "ctx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    known = cut(twice.unionByName(met).groupBy("kh", "ctx").agg(F.max("left").alias("left"), F.max("right").alias("right")))
     spans = shared.join(known, ["kh", "ctx"]).select("row", F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).alias("s"))
     return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[], [], [], []]
         for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
             doc = text.as_py() or b""
@@ -275,7 +277,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 200, k: int = 64, crowd: int = 30_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 30_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     Goes each byte covered by a string of `least` bytes that also starts anywhere else in the input, the same document
