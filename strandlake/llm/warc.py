@@ -76,7 +76,7 @@ def _write(folder: str):
                     # a retried task writes files of its own; only those named by the task that ends well are read
                     uri, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open(uri, "w")
-                    zipped = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0)
+                    zipped = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=5, mtime=0)
                 zipped.write(record(page, urls[i].as_py(), payload, digest, ref, ref is not None and ref != page))
                 size, count = size + len(payload), count + 1
                 if size >= ROLL:
@@ -143,7 +143,7 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offset = 0
             with _open(path, "r") as source, _open(target, "w") as out, _open(target + ".idx", "w") as index:
                 for rec in records(inflated(source)):
-                    member = gzip.compress(rec, 1, mtime=0)
+                    member = gzip.compress(rec, 5, mtime=0)
                     out.write(member)
                     f = parsed(rec)
                     digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
