@@ -208,28 +208,28 @@ def pair_membership(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir):
-    """Documents as reads: clipped at the left, the right or both ends by CIGARs that their ids give."""
+    """Documents as reads: clipped at the left, the right or both ends by CIGARs that their ids give; short ones are not clipped."""
     k = (F.col("doc_id") % 41 + 10).cast("int")
     n = F.char_length("text")
-    cigar = F.when(F.col("doc_id") % 3 == 0, F.concat(k, F.lit("S"), n - k, F.lit("M"))).when(F.col("doc_id") % 3 == 1, F.concat(n - k, F.lit("M"), k, F.lit("S"))).otherwise(F.concat(k, F.lit("S"), n - 2 * k, F.lit("M"), k, F.lit("S")))
-    rows = _table(spark, sf_dir, "documents").where(n > 120)
+    cigar = F.when(n <= 120, F.concat(n, F.lit("M"))).when(F.col("doc_id") % 3 == 0, F.concat(k, F.lit("S"), n - k, F.lit("M"))).when(F.col("doc_id") % 3 == 1, F.concat(n - k, F.lit("M"), k, F.lit("S"))).otherwise(F.concat(k, F.lit("S"), n - 2 * k, F.lit("M"), k, F.lit("S")))
+    rows = _table(spark, sf_dir, "documents")
     rows = rows.select(F.col("source").alias("sample"), F.concat(F.lit("d"), "doc_id").alias("qname"), F.lit(1).alias("flag"), F.lit("days").alias("rname"), (F.col("doc_id") * 7 % 1000).alias("pos0"), cigar.alias("cigar_str"), F.lit("days").alias("rnext"), (F.col("doc_id") * 11 % 1000).alias("pnext0"), F.col("text").alias("seq"), F.lit(60).alias("mapq"), F.lit(None).cast("array<int>").alias("quals"))
     rows = rows.withColumn("cigar", reads.parse_cigar(F.col("cigar_str")))
     return rows.withColumn("end0", F.col("pos0") + reads.reference_length(F.col("cigar")))
 
 
-_A = "(SELECT doc_id, 'd' || doc_id AS qname, text, length(text) AS n, CAST(doc_id % 41 + 10 AS BIGINT) AS k, doc_id * 7 % 1000 AS pos0, doc_id * 11 % 1000 AS pnext0 FROM documents WHERE length(text) > 120)"
-_ENDS = f"(SELECT *, n - k - CASE WHEN doc_id % 3 = 2 THEN k ELSE 0 END AS covered FROM {_A} a)"
+_A = "(SELECT doc_id, 'd' || doc_id AS qname, text, length(text) AS n, CAST(doc_id % 41 + 10 AS BIGINT) AS k, doc_id * 7 % 1000 AS pos0, doc_id * 11 % 1000 AS pnext0 FROM documents)"
+_ENDS = f"(SELECT *, n > 120 AS clipped, n - CASE WHEN n <= 120 THEN 0 WHEN doc_id % 3 = 2 THEN 2 * k ELSE k END AS covered FROM {_A} a)"
 
 
-@query(f"""SELECT qname, 'L' AS side, pos0 + 1 AS clip_position, left(text, k) AS clip FROM {_ENDS} a WHERE doc_id % 3 IN (0, 2) AND k >= 30
-UNION ALL SELECT qname, 'R', pos0 + covered, right(text, k) FROM {_ENDS} a WHERE doc_id % 3 IN (1, 2) AND k >= 30""")
+@query(f"""SELECT qname, 'L' AS side, pos0 + 1 AS clip_position, left(text, k) AS clip FROM {_ENDS} a WHERE clipped AND doc_id % 3 IN (0, 2) AND k >= 30
+UNION ALL SELECT qname, 'R', pos0 + covered, right(text, k) FROM {_ENDS} a WHERE clipped AND doc_id % 3 IN (1, 2) AND k >= 30""")
 def clip_extract(spark, sf_dir):
     near = _aligned(spark, sf_dir).withColumns({"r_start": F.lit(0), "r_end": F.lit(1), "breakpoint": F.lit(1), "bkp_position": F.lit(500)})
     return reads.soft_clips(near, 30).select("qname", "side", "clip_position", "clip")
 
 
-@query(f"SELECT pos, count(*) AS n FROM (SELECT pos0 AS pos FROM {_ENDS} a WHERE doc_id % 3 IN (0, 2) UNION ALL SELECT pos0 + covered FROM {_ENDS} a WHERE doc_id % 3 IN (1, 2)) GROUP BY pos")
+@query(f"SELECT pos, count(*) AS n FROM (SELECT pos0 AS pos FROM {_ENDS} a WHERE clipped AND doc_id % 3 IN (0, 2) UNION ALL SELECT pos0 + covered FROM {_ENDS} a WHERE clipped AND doc_id % 3 IN (1, 2)) GROUP BY pos")
 def softclip_histogram(spark, sf_dir):
     return reads.softclip_counts(_aligned(spark, sf_dir), 5).drop("rname")
 
@@ -412,13 +412,13 @@ def binarise_profile(spark, sf_dir):
     return probes.profiles(rounded, KEY).select("event_type", probes.profile_string(F.col("profile"), 0.9).alias("bits"))
 
 
-_HOURS = "(SELECT user_id, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY h) AS bits FROM (SELECT u.user_id, h, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') u CROSS JOIN (SELECT unnest(range(0, 6)) AS h) x LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') e ON e.user_id = u.user_id AND CAST(floor(epoch(ts) / 3600) AS BIGINT) % 6 = h GROUP BY ALL) GROUP BY 1)"
+_HOURS = "(SELECT user_id, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY h) AS bits FROM (SELECT u.user_id, h, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(0, 24)) AS h) x LEFT JOIN events e ON e.user_id = u.user_id AND CAST(floor(epoch(ts) / 3600) AS BIGINT) % 24 = h GROUP BY ALL) GROUP BY 1)"
 
 
 def _hours(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", (F.floor(F.unix_timestamp("ts") / 3600) % 6).cast("int").alias("h"))
+    rows = _table(spark, sf_dir, "events").select("user_id", (F.floor(F.unix_timestamp("ts") / 3600) % 24).cast("int").alias("h"))
     seen = rows.groupBy("user_id").agg(F.collect_set("h").alias("hs"))
-    return seen.select("user_id", F.lit("all").alias("locus"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda h: F.array_contains("hs", h).cast("int")).alias("bits"))
+    return seen.select("user_id", F.lit("all").alias("locus"), F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.array_contains("hs", h).cast("int")).alias("bits"))
 
 
 @query(f"SELECT user_id, bits, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT *, min(user_id) OVER (PARTITION BY bits) AS f FROM {_HOURS} h)")
