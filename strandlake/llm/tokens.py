@@ -17,18 +17,39 @@ def _chars(test) -> str:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian bytes; misses are gathered and encoded together."""
+    """Piece -> its ids as little-endian bytes. Over the limit a new generation begins, into which what is asked for again is taken over."""
 
     def __init__(self, tokenizer, limit: int):
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        words = tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def fill(self, pieces) -> None:
-        new = list({p for p in pieces if p not in self})
-        if len(self) + len(new) > self.limit:
+        if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-            new = list(set(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[p] = np.array(e.ids, "<u4").tobytes()
+        new = []
+        for p in pieces:
+            if p not in self:
+                ids = self.old.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    self[p] = ids
+        for k in range(0, len(new), 10_000):
+            self._encode(new[k : k + 10_000])
+
+    def _encode(self, new: list[str]) -> None:
+        """All new pieces in one call: spaces keep them apart, and each ends with the only id that closes a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new):
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.update(zip(new, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+        else:
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self[p] = np.array(e.ids, "<u4").tobytes()
 
 
 class Encoder:
@@ -36,7 +57,7 @@ class Encoder:
 
     The word-level path holds for lower-casing BPE files that drop white space and cut at letters, single digits and
     runs of symbols, and only for Latin characters, where that cutting and lower-casing are certain; every other file or text goes
-    to the tokenizer whole. cache: most pieces kept per worker.
+    to the tokenizer whole. cache: pieces of a generation; a worker keeps two.
     """
 
     def __init__(self, path: str, cache: int = 200_000):
