@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.intervals import range_join
+
 #: Widest window for which the built-in percentile over a frame is taken; beyond it an Arrow kernel per track is faster.
 BUILTIN = 64
 
@@ -93,8 +95,10 @@ def islands(flagged: DataFrame, keys: list[str], gap: float = 1) -> DataFrame:
 
 
 def island_peaks(found: DataFrame, track: DataFrame, keys: list[str], value: str = "norm") -> DataFrame:
-    """found with centre and peak, the largest value inside: through the island that a position falls in, by keys and order."""
-    rows = track.select(*keys, F.col("pos").alias("p"), F.col(value).alias("v")).join(found, keys).where("p >= start AND p <= end")
+    """found (closed start, end) with centre and peak, the largest value inside."""
+    points = track.select(*keys, F.col("pos").alias("p"), (F.col("pos") + 1).alias("p1"), F.col(value).alias("v"))
+    spans = found.withColumns({"r_start": F.col("start"), "r_end": F.col("end") + 1})
+    rows = range_join(points, spans, keys, 1000, ("p", "p1")).where(F.col("p").between(F.col("start"), F.col("end")))
     return rows.groupBy(*found.columns).agg(F.max("v").alias("peak")).withColumn("centre", (F.col("start") + F.col("end")) / 2)
 
 

@@ -96,7 +96,9 @@ def coverage(spark: SparkSession, args) -> str:
     rows = bam.alignments(spark, paths)
     blocks = reads.blocks(reads.usable(rows.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom")
     found = pipelines.coverage(blocks, regions, args.norm).cache()
-    sinks.write_matrix(matrix.to_wide(pipelines.packed(found), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", ["coverage", "Format: " + ";".join(matrix.FIELDS)])
+    # loci without depth are NA, unless tracks are asked for too
+    shown = found if args.plot else pipelines.with_missing(found, [r.locus for r in regions.select("locus").distinct().collect()])
+    sinks.write_matrix(matrix.to_wide(pipelines.packed(shown), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", ["coverage", "Format: " + ";".join(matrix.FIELDS)])
     if args.mutation:
         cells = pipelines.genotypes(rows, tables.mutations(spark, args.mutation)).withColumnRenamed("mutation_id", "locus")
         sinks.write_matrix(matrix.to_wide(cells, [s.sample for s in samples], "cell"), f"{base}_mutations.tsv", [])

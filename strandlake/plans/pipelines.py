@@ -23,6 +23,12 @@ def coverage(blocks: DataFrame, regions: DataFrame, norm_locus: str, width: int
     return stats.normalise(stats.locus_stats(locus_runs(blocks, regions, width), ["sample", "locus"]), norm_locus)
 
 
+def with_missing(found: DataFrame, loci: list[str]) -> DataFrame:
+    """found with a row of nulls for every locus of a sample that has no depth."""
+    grid = found.select("sample").distinct().withColumn("locus", F.explode(F.array(*(F.lit(x) for x in loci))))
+    return grid.join(found, ["sample", "locus"], "left")
+
+
 def packed(found: DataFrame) -> DataFrame:
     """sample, locus, cell."""
     return found.select("sample", "locus", matrix.packed_cell(F.col("mean"), F.col("sd"), F.col("median"), F.col("covered_bases"), F.col("rcn")).alias("cell"))

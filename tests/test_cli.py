@@ -16,6 +16,9 @@ def test_coverage_then_parse_then_junctions(spark, files, tmp_path, monkeypatch)
     assert sorted(os.listdir(folder)) == ["run_breakpoints.tsv", "run_coverage.tsv", "run_mutations.tsv", "run_tracks.parquet"]
     lines = open(f"{folder}/run_breakpoints.tsv").read().splitlines()
     assert len(lines) == 5 and sum(x.startswith("pooled") for x in lines) == 2
+    (tmp_path / "more.tsv").write_text((tmp_path / "regions.tsv").read_text() + "c2\t10\t20\tempty\n")
+    bare = cli.main(["coverage", "-b", "bams.txt", "-r", "more.tsv", "-n", "reference", "-o", "bare"], spark)
+    assert "empty\tNA;NA;NA;NA;NA\tNA;NA;NA;NA;NA" in open(f"{bare}/bare_coverage.tsv").read()
     path = cli.main(["parse", "-i", f"{folder}/run_coverage.tsv", "--RCN", "--filter", "target:>:1.5"], spark)
     assert path.endswith("RCN_target_gt_1.5.tsv") and open(path).read().splitlines()[0] == "locus\tdup_RCN"
     path = cli.main(["parse", "-i", f"{folder}/run_coverage.tsv", "--RCN", "--filter-locus", "target", "--filter-op", "<", "--filter-value", "1.5", "--format", "list"], spark)
