@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, slices
+from strandlake.llm.common import cut, slices, tidy
 from strandlake.llm.graph import components
 
 #: Children of an index node, node pairs compared at a time, rows gathered before whole buckets are searched.
@@ -18,33 +18,65 @@ FAN, PAIRS, ROWS = 4, 2_000_000, 200_000
 WORDS = 1_000_000
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of the text's word shingles, repeats included; no words: zero."""
+def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all shingles, repeats included, in blocks; fewer words than a shingle are one, no words none."""
     from xxhash import xxh64_intdigest
 
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    n, bits = max(1, len(w) - words + 1), np.zeros(64, np.int64)
-    for at in range(0, n, WORDS):
-        part = w[at : min(at + WORDS, n) + words - 1]
+    for at in range(0, max(1, len(w) - words + 1) if w else 0, WORDS):
+        part = w[at : at + WORDS + words - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
-        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
-        bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
+        yield np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+
+def majorities(hashes: Iterator[np.ndarray], prints: int) -> list[int]:
+    """Majority bits of the hashes, and of as many remixings of them as are asked for; no hashes: zeros."""
+    n, bits = 0, np.zeros((prints, 64), np.int64)
+    for h in hashes:
+        n += len(h)
+        for p in range(prints):
+            if p:
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+            bits[p] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return [int.from_bytes(x.tobytes(), "big", signed=True) for x in np.packbits(2 * bits > n, axis=1)]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str, words: int) -> int:
+    """Majority bits over the text's word shingles; no words: zero."""
+    return majorities(shingle_hashes(_words(text), words), 1)[0]
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """docs with a column fp (long) from text; a null text has no words."""
+    """doc_id, fp (long) of every row of docs; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = (fingerprint(t.as_py() or "", words) for t in batch.column("text"))
+            fps = (fingerprint(t.as_py(), words) for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """doc_id, near and far (arrays of longs): prints over the set of a text's words, and over its shingles of `words` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            near, far = [], []
+            for t in batch.column("text"):
+                w = _words(t.as_py())
+                near.append(majorities(shingle_hashes(list(set(w)), 1), prints))
+                far.append(majorities(shingle_hashes(w, words), prints))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(near, kind), pa.array(far, kind)], names=["doc_id", "near", "far"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, near array<long>, far array<long>")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each word in Gray order: neighbours there differ in one bit, so runs share long masked patterns."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -66,14 +98,16 @@ def _tree(bucket: np.ndarray, fp: np.ndarray) -> list[tuple]:
         levels.append((np.bitwise_and.reduceat(all_, first), np.bitwise_or.reduceat(any_, first), first, np.diff(np.r_[first, len(own)]), own[first]))
 
 
-def links(bucket: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that joins what links of `most` differing bits or fewer join inside each bucket: pairs of fingerprints.
+def links(bucket: np.ndarray, fp: np.ndarray, most: int, far: np.ndarray | None = None, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that joins what links of `most` differing bits or fewer join inside each bucket: pairs of entries.
+
+    far: longer prints (entries, words), by which a link must also differ in `apart` bits or fewer in all.
 
     Two nodes are descended together from each bucket's root; a pair of groups is left as soon as the bits that are fixed in
     both differ in more than `most` places.
     """
     order = np.lexsort((gray_rank(fp), bucket))
-    bucket, fp = bucket[order], fp[order]
+    bucket, fp, far = bucket[order], fp[order], None if far is None else far[order]
     levels = _tree(bucket, fp)
     label = np.arange(len(fp))
     top = np.arange(len(levels[-1][0]))
@@ -84,7 +118,11 @@ def links(bucket: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np
             stack += [(at, u[:PAIRS], v[:PAIRS]), (at, u[PAIRS:], v[PAIRS:])]
             continue
         if at == 0:
-            u, v = u[u != v], v[u != v]
+            keep = label[u] != label[v]
+            u, v = u[keep], v[keep]
+            if far is not None:
+                keep = np.bitwise_count(far[u] ^ far[v]).sum(1) <= apart
+                u, v = u[keep], v[keep]
             while len(u):
                 low = np.minimum(label[u], label[v])
                 np.minimum.at(label, label[u], low)
@@ -103,30 +141,34 @@ def links(bucket: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np
         fixed = ~((all_[a] ^ any_[a]) | (all_[b] ^ any_[b]))
         keep = (a <= b) & (np.bitwise_count((all_[a] ^ all_[b]) & fixed) <= most)
         stack.append((at - 1, a[keep], b[keep]))
-    far = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[far], fp[label[far]]
+    other = np.flatnonzero(label != np.arange(len(fp)))
+    return order[other], order[label[other]]
 
 
-def _search(most: int):
+def _search(most: int, apart: int | None):
+    """Links of buckets that arrive sorted by t, key and sub; node names an entry, far has its longer prints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple] = []
 
-        def found(keys, fps) -> Iterator[pa.RecordBatch]:
+        def found(keys, nodes, fps, far) -> Iterator[pa.RecordBatch]:
             if len(fps):
-                a, b = links(np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)]), fps, most)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                a, b = links(np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)]), fps, most, far if apart is not None else None, apart or 0)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "sub")], 1)
-            kept.append((keys, batch.column("fp").to_numpy().view(np.uint64)))
-            if sum(len(k) for k, _ in kept) >= ROWS:
-                keys, fps = (np.concatenate(x) for x in zip(*kept))
-                whole = np.flatnonzero((keys != keys[-1]).any(1))
+            far = batch.column("far").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            kept.append((keys, batch.column("node").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), far))
+            if sum(len(k) for k, *_ in kept) >= ROWS:
+                held = tuple(np.concatenate(x) for x in zip(*kept))
+                whole = np.flatnonzero((held[0] != held[0][-1]).any(1))
                 end = int(whole[-1]) + 1 if len(whole) else 0
-                yield from found(keys[:end], fps[:end])
-                kept = [(keys[end:], fps[end:])]
+                yield from found(*(x[:end] for x in held))
+                kept = [tuple(x[end:] for x in held)]
         if kept:
             yield from found(*(np.concatenate(x) for x in zip(*kept)))
+        tidy()
 
     return run
 
@@ -159,14 +201,19 @@ def _key(fp: Column, bits: list[int]) -> Column:
     return out
 
 
-def near_links(fps: DataFrame, most: int, crowd: int = 50_000) -> DataFrame:
-    """A forest (a, b) over distinct fingerprints fps.fp that joins all that links of `most` or fewer bits join.
+def near_links(entries: DataFrame, most: int, apart: int | None = None, crowd: int = 50_000) -> DataFrame:
+    """A forest (a, b) over entries.node that joins all that links join.
 
-    Fingerprints meet in tables keyed by two of most + 2 blocks of bits, so every link shows in some bucket. A bucket over
-    `crowd` is dealt anew by two blocks of its other bits, which loses no link either.
+    entries: node (long), fps (array of 64-bit prints, as many in every row), far (array of longer prints). Two entries link
+    where any of their fps differ in `most` bits or fewer and, if apart is given, their far prints in `apart` or fewer in all.
+    Entries meet in tables keyed by two of most + 2 blocks of the bits of a print, so every link shows in some bucket. A
+    bucket over `crowd` is dealt anew by two blocks of its other bits, which loses no link either.
     """
+    first = entries.select(F.size("fps").alias("n")).first()
     tables = _routes(list(range(64)), most)
-    routed = fps.select("fp", F.posexplode(F.array(*(_key(F.col("fp"), b) for b in tables))).alias("t", "key"))
+    prints = first.n if first else 1
+    fp = [F.col("fps")[p] for p in range(prints)]
+    routed = entries.select("node", "far", F.posexplode(F.array(*(F.struct(_key(x, b).alias("key"), x.alias("fp")) for x in fp for b in tables))).alias("t", "x")).select("node", "far", "t", "x.key", "x.fp")
     hot = cut(routed.groupBy("t", "key").count().where(F.col("count") > crowd).select("t", "key", F.lit(True).alias("hot")))
     if hot.isEmpty():
         routed = routed.withColumn("sub", F.lit(0).cast("long"))
@@ -174,12 +221,22 @@ def near_links(fps: DataFrame, most: int, crowd: int = 50_000) -> DataFrame:
         own = F.lit(None)
         for t, used in reversed(list(enumerate(tables))):
             left = [b for b in range(64) if b not in set(used)]
-            subs = F.array(*(F.shiftleft(_key(F.col("fp"), s), 5).bitwiseOR(F.lit(k + 1)) for k, s in enumerate(_routes(left, most))))
-            own = F.when(F.col("t") == t, subs).otherwise(own)
-        routed = routed.join(hot, ["t", "key"], "left").select("fp", "t", "key", F.explode(F.when(F.col("hot"), own).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"))
+            subs = F.array(*(F.shiftleft(_key(F.col("fp"), x), 5).bitwiseOR(F.lit(k + 1)) for k, x in enumerate(_routes(left, most))))
+            own = F.when(F.col("t") % len(tables) == t, subs).otherwise(own)
+        routed = routed.join(hot, ["t", "key"], "left").withColumn("sub", F.explode(F.when(F.col("hot"), own).otherwise(F.array(F.lit(0).cast("long")))))
     by = ["t", "key", "sub"]
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return routed.repartition(n, *by).sortWithinPartitions(*by).select(F.col("t").cast("long").alias("t"), "key", "sub", "fp").mapInArrow(_search(most), "a long, b long")
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = routed.select(F.col("t").cast("long").alias("t"), "key", "sub", "node", "fp", "far").repartition(n, *by).sortWithinPartitions(*by)
+    return rows.mapInArrow(_search(most, apart), "a long, b long")
+
+
+def _least_ids(own: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """own with component_id: the least doc_id of all rows whose nodes are joined. entries: node, first (its least doc_id)."""
+    roots = components(edges)
+    named = entries.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first, so that the join's sides are plain shuffles and a crowded node's documents can be split
+    return own.join(cut(named.join(least, "root").select("node", "component_id")), "node")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
@@ -189,19 +246,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     Null and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle is one shingle.
     Repeated rows give repeated rows. No rows give none. Copies meet as one fingerprint, so their number costs no pairs.
     """
-    own = cut(fingerprints(docs, words))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(fps, most)).withColumnRenamed("node", "fp")
-    named = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    own = cut(fingerprints(docs, words).withColumn("node", F.col("fp")))
+    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first")).withColumns({"fps": F.array("node"), "far": F.array().cast("array<long>")}))
+    return _least_ids(own, entries, near_links(entries, most)).select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 4, apart: int = 46) -> DataFrame:
+    """doc_id, component_id: documents joined by links of a similarity of about 0.8 or more over shingles of `words` words.
+
+    Two texts link where one of `prints` fingerprints of their word sets differs in `most` bits or fewer, which finds the
+    candidates, and their 64 * prints bits over shingles differ in `apart` or fewer: 46 of 256 is what a resemblance of 0.8
+    stays within nearly always, while unrelated texts differ in half the bits. Nulls, copies and empty tables as in
+    near_duplicates().
+    """
+    own = cut(sketches(docs, words, prints).withColumn("node", F.xxhash64("near", "far")))
+    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("near").alias("fps"), F.any_value("far").alias("far")))
+    return _least_ids(own.select("doc_id", "node"), entries, near_links(entries, most, apart)).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
-    """docs with one document of each group of near duplicates: the smallest doc_id, with all columns.
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each group of similar_documents(): the smallest doc_id, with all columns.
 
     Rows without a doc_id can't stand for a group and stay only if no row of their group has one.
     """
-    near = near_duplicates(docs, words, most)
+    near = similar_documents(docs, **how)
     stays = near.where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")

@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from strandlake.llm.graph import components
-from strandlake.llm.simhash import _routes, fingerprint, gray_rank, links, near_duplicates, near_links, one_of_each
+from strandlake.llm.simhash import _routes, fingerprint, gray_rank, links, near_duplicates, near_links, one_of_each, similar_documents
 
-from .conftest import edge_rows, rows
+from .conftest import edge_rows, prose, rows
 
 
 def plain_print(t, words):
@@ -54,6 +54,7 @@ def test_one_of_each(edge, none):
     assert left.columns == edge.columns
     ids = [r.doc_id for r in left.collect()]
     assert 4 in ids and not {5, 6} & set(ids)
+    assert {7, 9, 10, 11, 14} < set(ids) and (12 in ids) and 13 not in ids
     assert one_of_each(none).collect() == []
     assert near_duplicates(none).collect() == []
 
@@ -80,16 +81,22 @@ def same_components(fps, edges, most):
 def test_index_keeps_all_components():
     for seed, most in ((1, 2), (2, 4), (3, 1)):
         fps = clustered(300, seed, most)
-        a, b = links(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), most)
-        assert same_components(fps, zip(a.tolist(), b.tolist()), most)
+        f = np.array(fps, np.uint64)
+        a, b = links(np.zeros(len(fps), np.int64), f, most)
+        assert same_components(fps, zip(f[a].tolist(), f[b].tolist()), most)
+        far = np.array(clustered(300, seed + 50, 9), np.uint64)[:, None]
+        a, b = links(np.arange(300) % 2, f, most, far, 20)
+        joined = set(zip(a.tolist(), b.tolist()))
+        want = roots(300, lambda i, j: i % 2 == j % 2 and (fps[i] ^ fps[j]).bit_count() <= most and int(far[i, 0] ^ far[j, 0]).bit_count() <= 20)
+        assert want == roots(300, lambda i, j: (i, j) in joined or (j, i) in joined)
 
 
 def test_routed_links_also_in_crowded_buckets(spark):
     fps = clustered(250, 4, 2)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    df = spark.createDataFrame(signed, "fp long")
+    df = spark.createDataFrame(signed, "node long").selectExpr("node", "array(node) AS fps", "cast(array() AS array<long>) AS far")
     for crowd in (50_000, 1):
-        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, crowd).collect()]
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, crowd=crowd).collect()]
         assert same_components(fps, edges, 2)
 
 
@@ -118,3 +125,17 @@ def test_components(spark):
 def test_fingerprint_of_short_texts():
     assert fingerprint("", 3) == 0 == fingerprint(" \n", 3)
     assert fingerprint("One Two", 3) == plain_print("one two", 3)
+
+
+def test_similar_documents_are_those_of_like_shingles(spark):
+    r, docs = random.Random(9), []
+    for i in range(40):
+        w = prose(300 + i, 200).split()
+        docs.append((10 * i, " ".join(f"{x}{i}{k}" for k, x in enumerate(w))))
+        for j in range(1, 4):
+            v = docs[-j][1].split()
+            v[r.randrange(200)] = "changed"
+            docs.append((10 * i + j, " ".join(v)))
+    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[d] == d // 10 * 10 for d, _ in docs) >= 0.95 * len(docs)
+    assert all(c // 10 == d // 10 for d, c in got.items())
