@@ -200,7 +200,8 @@ def delete(state: LineState, doc_ids: DataFrame) -> LineState:
 
 def dropped_lines(state: LineState) -> DataFrame:
     """doc and the places (ascending) of its lines that go: those whose key a document with a smaller id holds too."""
-    shared = references(state).where("first < last").select("k1", "k2", "first")
+    # written first, so that the join's sides are plain shuffles and a crowded key's lines can be split
+    shared = cut(references(state).where("first < last").select("k1", "k2", "first"))
     lost = _union(state.postings).join(shared, ["k1", "k2"]).where("doc != first")
     return lost.groupBy("doc").agg(F.array_sort(F.collect_list("idx")).alias("drops"))
 
