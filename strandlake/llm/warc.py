@@ -22,11 +22,17 @@ DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
-def _open(uri: str, mode: str):
-    """A stream in any store that pyarrow or the local machine knows."""
+def _place(uri: str) -> tuple:
+    """Store and path of a URI, in any store that pyarrow knows; file:/x and plain paths are local."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _open(uri: str, mode: str):
+    store, path = _place(uri)
     if mode == "w":
         store.create_dir(path.rpartition("/")[0], recursive=True)
         return store.open_output_stream(path, compression=None)
@@ -162,9 +168,7 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_member(archive: str, offset: int, length: int) -> bytes:
     """One record of a normalised archive, by its index entry alone."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(archive if "://" in archive else "file://" + archive)
+    store, path = _place(archive)
     with store.open_input_file(path) as f:
         return gzip.decompress(f.read_at(length, offset))
 
@@ -188,7 +192,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1")
-    marked = rows.join(groups.select("digest", "last"), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("size") >= least, F.col("last")).alias("last"))
+    # written first, so that the join's sides are plain shuffles and a crowded digest's pages can be split
+    marked = rows.join(cut(groups.select("digest", "last")), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("size") >= least, F.col("last")).alias("last"))
     return cut(marked.mapInArrow(_write(folder), "path string, records long"))
 
 
