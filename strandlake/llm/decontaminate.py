@@ -50,10 +50,13 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """w, n for the words of vocabulary.w that occur, over all documents."""
+    """w, n over all documents for the words of vocabulary.w that occur, and for a few others that the word filter lets through.
+
+    There is no join with the vocabulary here: it would be moved before the sums and send every occurrence to its word's task.
+    """
     known = _filter_of(vocabulary)
     seen = docs.select(F.explode(F.filter(words(F.col("text")), known)).alias("w"))
-    return seen.groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi")
+    return seen.groupBy("w").agg(F.count("*").alias("n"))
 
 
 def prefix_index(windows: DataFrame, counts: DataFrame) -> DataFrame:
