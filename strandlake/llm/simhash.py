@@ -61,20 +61,56 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def sketches(docs: DataFrame, words: int, prints: int) -> DataFrame:
-    """doc_id, near and far (arrays of longs): prints over the set of a text's words, and over its shingles of `words` words."""
+def rare_first(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Distinct shingles in the one order that all texts share: by hash, those of `common` (sorted) after all others."""
+    shingles = np.unique(shingles)
+    late = np.isin(shingles, common)
+    return np.r_[shingles[~late], shingles[late]]
+
+
+def prefix_length(n: int, least: int) -> int:
+    """So many of a set's first shingles that two sets with a resemblance of `least` % or more share one of them, whatever the order."""
+    return n - (least * n + 99) // 100 + 1 if n else 0
+
+
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(_words(text), words)])
+
+
+def _common(docs: DataFrame, words: int, of: int = 64, often: int = 3, top: int = 50_000) -> np.ndarray:
+    """Shingles that `often` or more of the sampled documents hold, the most frequent ones. They shape buckets, never results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(t.as_py(), words)).view(np.int64))], names=["s"])
+
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(of)) == 0).select("text")
+    found = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= often).orderBy(F.desc("count"), "s").limit(top)
+    return np.sort(np.array([r.s for r in found.collect()], np.int64).view(np.uint64))
+
+
+def sketches(docs: DataFrame, words: int, prints: int, least: int) -> DataFrame:
+    """doc_id, far (prints over the shingles of `words` words), n (distinct shingles), prefix (the first of them) and node (of equal sets)."""
+    common = _common(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in slices(batches):
-            near, far = [], []
+            far, n, prefix, node = [], [], [], []
             for t in batch.column("text"):
-                w = _words(t.as_py())
-                near.append(majorities(shingle_hashes(list(set(w)), 1), prints))
-                far.append(majorities(shingle_hashes(w, words), prints))
+                h = _shingles(t.as_py(), words)
+                far.append(majorities(iter([h]), prints))
+                h = rare_first(h, common)
+                n.append(len(h))
+                prefix.append(h[: prefix_length(len(h), least)].view(np.int64))
+                node.append(xxh64_intdigest(h.tobytes()))
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(near, kind), pa.array(far, kind)], names=["doc_id", "near", "far"])
+            columns = [pa.array(far, kind), pa.array(n, pa.int64()), pa.array(prefix, kind), pa.array(np.array(node, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "far", "n", "prefix", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, near array<long>, far array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, far array<long>, n long, prefix array<long>, node long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -251,17 +287,108 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     return _least_ids(own, entries, near_links(entries, most)).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 4, apart: int = 46) -> DataFrame:
+def _meet(least: int, crowd: int | None):
+    """Pairs (a, b) of entries with different roots in buckets that arrive sorted by key and root.
+
+    rest counts an entry's shingles from the bucket's on: where that one is the first a pair shares, no more can be shared.
+    Of a bucket over `crowd` only neighbours by size are paired, and its rows come back with their key, to be met again.
+    """
+    names = ["key", "root", "n", "rest", "node"]
+    out = ["a", "b", "key", "n", "rest"]
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if c is not None else pa.nulls(len(columns[0]), pa.int64()) for c in columns], names=out)
+
+    def paired(i, j, n, rest, node) -> pa.RecordBatch:
+        keep = (100 + least) * np.minimum(rest[i], rest[j]) >= least * (n[i] + n[j])
+        a, b = node[i[keep]], node[j[keep]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return batch_of(both[:, 0], both[:, 1], None, None, None)
+
+    def found(key, root, n, rest, node) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(key))
+        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        end = ends[np.searchsorted(ends, at, "right")]
+        size = np.diff(np.r_[0, ends])[np.searchsorted(ends, at, "right")]
+        own = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(key)]
+        count = end - own[np.searchsorted(own, at, "right")]
+        if crowd is not None and (hot := size > crowd).any():
+            count[hot] = 0
+            i = at[hot][np.lexsort((node[hot], n[hot], key[hot]))]
+            same = key[i[1:]] == key[i[:-1]]
+            yield paired(i[:-1][same], i[1:][same], n, rest, node)
+            yield batch_of(node[hot], node[hot], key[hot], n[hot], rest[hot])
+        total = np.cumsum(count)
+        lo = 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+            c = count[lo:hi]
+            i = np.repeat(at[lo:hi], c)
+            yield paired(i, end[i] - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)), n, rest, node)
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list] = []
+        for batch in batches:
+            kept.append([batch.column(c).to_numpy() for c in names])
+            if sum(len(k[0]) for k in kept) >= ROWS:
+                held = [np.concatenate(x) for x in zip(*kept)]
+                whole = np.flatnonzero(held[0] != held[0][-1])
+                at = int(whole[-1]) + 1 if len(whole) else 0
+                if at:
+                    yield from found(*(x[:at] for x in held))
+                kept = [[x[at:] for x in held]]
+        if kept and len(kept[0][0]) + len(kept[-1][0]):
+            yield from found(*(np.concatenate(x) for x in zip(*kept)))
+        tidy()
+
+    return run
+
+
+def _met(rows: DataFrame, least: int, crowd: int | None) -> DataFrame:
+    """_meet() over rows of key, root, n, rest and node, written down."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.select("key", "root", "n", "rest", "node").repartition(n, "key").sortWithinPartitions("key", "root")
+    return cut(sorted_.mapInArrow(_meet(least, crowd), "a long, b long, key long, n long, rest long"))
+
+
+def resembling(entries: DataFrame, least: int, linked, crowd: int = 8) -> DataFrame:
+    """Links (a, b) that join all entries that pairs of a resemblance of `least` % or more join.
+
+    entries: node, n and prefix as in sketches(), a row per node. linked: takes pairs a, b and keeps those that are links.
+    Every such pair shares a shingle of both prefixes, so it meets in that shingle's bucket. In buckets over `crowd` first
+    neighbours by size are judged, then all pairs that these links haven't joined, so that many copies of one text cost few.
+    """
+    routed = entries.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumns({"rest": F.col("n") - F.col("at"), "root": F.col("node")})
+    met = _met(routed, least, crowd)
+    links_ = cut(linked(met.where("key is null").select("a", "b").distinct()))
+    again = met.where("key is not null").select("key", "n", "rest", F.col("a").alias("node"))
+    if again.isEmpty():
+        return links_
+    roots = cut(components(links_))
+    again = cut(again.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = again.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    more = linked(_met(again.join(cut(open_), "key", "left_semi"), least, None).select("a", "b").distinct())
+    return cut(links_.unionByName(more))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, prints: int = 4, apart: int = 46, least: int = 80) -> DataFrame:
     """doc_id, component_id: documents joined by links of a similarity of about 0.8 or more over shingles of `words` words.
 
-    Two texts link where one of `prints` fingerprints of their word sets differs in `most` bits or fewer, which finds the
-    candidates, and their 64 * prints bits over shingles differ in `apart` or fewer: 46 of 256 is what a resemblance of 0.8
+    All pairs of texts whose sets of shingles resemble each other by `least` % or more are candidates (resembling()). They
+    link where their 64 * prints bits over shingles differ in `apart` or fewer: 46 of 256 is what a resemblance of 0.8
     stays within nearly always, while unrelated texts differ in half the bits. Nulls, copies and empty tables as in
     near_duplicates().
     """
-    own = cut(sketches(docs, words, prints).withColumn("node", F.xxhash64("near", "far")))
-    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("near").alias("fps"), F.any_value("far").alias("far")))
-    return _least_ids(own.select("doc_id", "node"), entries, near_links(entries, most, apart)).select("doc_id", "component_id")
+    own = cut(sketches(docs, words, prints, least))
+    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("far").alias("far")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        x, y = (entries.select(F.col("node").alias(e), F.col("far").alias(f"{e}_far")) for e in "ab")
+        bits = F.aggregate(F.zip_with("a_far", "b_far", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        return pairs.join(x, "a").join(y, "b").where(bits <= apart).select("a", "b")
+
+    return _least_ids(own.select("doc_id", "node"), entries, resembling(entries.select("node", "n", "prefix"), least, linked)).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from strandlake.llm.graph import components
-from strandlake.llm.simhash import _routes, fingerprint, gray_rank, links, near_duplicates, near_links, one_of_each, similar_documents
+from strandlake.llm.simhash import _routes, fingerprint, gray_rank, links, near_duplicates, near_links, one_of_each, resembling, similar_documents, sketches
 
 from .conftest import edge_rows, prose, rows
 
@@ -139,3 +139,48 @@ def test_similar_documents_are_those_of_like_shingles(spark):
     got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert sum(got[d] == d // 10 * 10 for d, _ in docs) >= 0.95 * len(docs)
     assert all(c // 10 == d // 10 for d, c in got.items())
+
+
+def shingle_set(text, words=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def resemblance(x, y):
+    x, y = shingle_set(x), shingle_set(y)
+    return len(x & y) / len(x | y)
+
+
+def passage_pairs(seed, shares):
+    """Texts, each followed by itself with a passage appended, dropped or replaced, of a share of its words."""
+    r, docs = random.Random(seed), []
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 5000}"
+    for n in (60, 100, 300, 900):
+        for share in shares:
+            for kind in ("appended", "dropped", "replaced") * 3:
+                w, more = [word() for _ in range(n)], [word() for _ in range(int(n * share))]
+                at = r.randrange(n - len(more))
+                v = w + more if kind == "appended" else w[:at] + (more if kind == "replaced" else []) + w[at + len(more) :]
+                docs += [" ".join(w), " ".join(v)]
+    return docs
+
+
+def test_changed_passages_are_found(spark):
+    docs = [(i, t) for i, t in enumerate(passage_pairs(3, (0.04, 0.08)))]
+    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    alike = [i for i in range(0, len(docs), 2) if resemblance(docs[i][1], docs[i + 1][1]) >= 0.85]
+    assert len(alike) >= 50 and all(got[i] == got[i + 1] for i in alike)
+
+
+def test_all_resembling_pairs_are_candidates(spark):
+    texts = passage_pairs(5, (0.05, 0.1, 0.15, 0.25)) + [f"{prose(7, 150)} tail {i} of {i % 3}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    entries = sketches(docs, 5, 1, 80)
+    ids = {x.node: x.doc_id for x in entries.collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if resemblance(texts[i], texts[j]) >= 0.8}
+    found = [tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p, crowd=1000).collect()]
+    assert len(want) > 400 and want <= set(found)
+    keep = spark.createDataFrame([(a, b) for a in ids for b in ids if tuple(sorted((ids[a], ids[b]))) in want], "a long, b long")
+    for crowd in (1, 8):
+        joined = {tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p.join(keep, ["a", "b"]), crowd=crowd).collect()}
+        assert joined <= want and roots(len(texts), lambda i, j: (j, i) in joined) == roots(len(texts), lambda i, j: (j, i) in want)
