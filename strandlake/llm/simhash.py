@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: fingerprints, a Gray-order hierarchical index over the distinct ones, and their components."""
+"""SimHash near-duplicates: fingerprints, a Gray-order hierarchical index over the distinct ones, and their components.
+
+And near copies by exact resemblance of shingle sets, which meet by their prefixes.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, slices, tidy
+from strandlake.llm.common import cut, drop_cut, slices, tidy
 from strandlake.llm.graph import components
 
 #: Children of an index node, node pairs compared at a time, rows gathered before whole buckets are searched.
@@ -73,10 +76,22 @@ def prefix_length(n: int, least: int) -> int:
     return n - (least * n + 99) // 100 + 1 if n else 0
 
 
+def parity(shingles: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """Whether each of `bits` residues has an odd number of these distinct shingles. No two sets differ in more bits than shingles."""
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _shingles(text: str | None, words: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(_words(text), words)])
 
 
+def _name(shingles: np.ndarray) -> int:
+    """A hash of a set of shingles, as a long."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(np.sort(shingles).tobytes())).view(np.int64))
+
+
 def _common(docs: DataFrame, words: int, of: int = 64, often: int = 3, top: int = 50_000) -> np.ndarray:
     """Shingles that `often` or more of the sampled documents hold, the most frequent ones. They shape buckets, never results."""
 
@@ -90,27 +105,24 @@ def _common(docs: DataFrame, words: int, of: int = 64, often: int = 3, top: int
     return np.sort(np.array([r.s for r in found.collect()], np.int64).view(np.uint64))
 
 
-def sketches(docs: DataFrame, words: int, prints: int, least: int) -> DataFrame:
-    """doc_id, far (prints over the shingles of `words` words), n (distinct shingles), prefix (the first of them) and node (of equal sets)."""
+def sketches(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """doc_id, n (distinct shingles of `words` words), prefix (the first of them), odd (parity()) and node (of equal sets)."""
     common = _common(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in slices(batches):
-            far, n, prefix, node = [], [], [], []
+            n, prefix, odd, node = [], [], [], []
             for t in batch.column("text"):
-                h = _shingles(t.as_py(), words)
-                far.append(majorities(iter([h]), prints))
-                h = rare_first(h, common)
+                h = rare_first(_shingles(t.as_py(), words), common)
                 n.append(len(h))
                 prefix.append(h[: prefix_length(len(h), least)].view(np.int64))
-                node.append(xxh64_intdigest(h.tobytes()))
+                odd.append(parity(h))
+                node.append(_name(h))
             kind = pa.list_(pa.int64())
-            columns = [pa.array(far, kind), pa.array(n, pa.int64()), pa.array(prefix, kind), pa.array(np.array(node, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "far", "n", "prefix", "node"])
+            columns = [pa.array(n, pa.int64()), pa.array(prefix, kind), pa.array(odd, kind), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "prefix", "odd", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, far array<long>, n long, prefix array<long>, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, prefix array<long>, odd array<long>, node long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -352,7 +364,7 @@ def _met(rows: DataFrame, least: int, crowd: int | None) -> DataFrame:
     return cut(sorted_.mapInArrow(_meet(least, crowd), "a long, b long, key long, n long, rest long"))
 
 
-def resembling(entries: DataFrame, least: int, linked, crowd: int = 8) -> DataFrame:
+def resembling(entries: DataFrame, least: int, linked, crowd: int = 4) -> DataFrame:
     """Links (a, b) that join all entries that pairs of a resemblance of `least` % or more join.
 
     entries: node, n and prefix as in sketches(), a row per node. linked: takes pairs a, b and keeps those that are links.
@@ -361,7 +373,7 @@ def resembling(entries: DataFrame, least: int, linked, crowd: int = 8) -> DataFr
     """
     routed = entries.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumns({"rest": F.col("n") - F.col("at"), "root": F.col("node")})
     met = _met(routed, least, crowd)
-    links_ = cut(linked(met.where("key is null").select("a", "b").distinct()))
+    links_ = linked(met.where("key is null").select("a", "b").distinct())
     again = met.where("key is not null").select("key", "n", "rest", F.col("a").alias("node"))
     if again.isEmpty():
         return links_
@@ -369,26 +381,53 @@ def resembling(entries: DataFrame, least: int, linked, crowd: int = 8) -> DataFr
     again = cut(again.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = again.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     more = linked(_met(again.join(cut(open_), "key", "left_semi"), least, None).select("a", "b").distinct())
-    return cut(links_.unionByName(more))
+    return links_.unionByName(more)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, prints: int = 4, apart: int = 46, least: int = 80) -> DataFrame:
-    """doc_id, component_id: documents joined by links of a similarity of about 0.8 or more over shingles of `words` words.
+def _sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """node and shingles (distinct, array of longs) of every node of named: node, first (one of its documents' ids)."""
 
-    All pairs of texts whose sets of shingles resemble each other by `least` % or more are candidates (resembling()). They
-    link where their 64 * prints bits over shingles differ in `apart` or fewer: 46 of 256 is what a resemblance of 0.8
-    stays within nearly always, while unrelated texts differ in half the bits. Nulls, copies and empty tables as in
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(_shingles(t.as_py(), words)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.join(named.select("first").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("first")), "left_semi").select("text")
+    return texts.mapInArrow(run, "node long, shingles array<long>").join(named, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """doc_id, component_id: documents joined by links of a resemblance of `least` % or more over sets of shingles of `words` words.
+
+    resembling() offers the pairs, parity bits rule out such as can't be links, and of the others each is a link only if the
+    two sets themselves, compared shingle by shingle, resemble each other so much. Nulls, copies and empty tables as in
     near_duplicates().
     """
-    own = cut(sketches(docs, words, prints, least))
-    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("far").alias("far")))
+    own = cut(sketches(docs, words, least))
+    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd")))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        x, y = (entries.select(F.col("node").alias(e), F.col("far").alias(f"{e}_far")) for e in "ab")
-        bits = F.aggregate(F.zip_with("a_far", "b_far", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        return pairs.join(x, "a").join(y, "b").where(bits <= apart).select("a", "b")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    return _least_ids(own.select("doc_id", "node"), entries, resembling(entries.select("node", "n", "prefix"), least, linked)).select("doc_id", "component_id")
+    def beside(pairs: DataFrame, table_: DataFrame) -> DataFrame:
+        for e in "ab":
+            pairs = pairs.join(table_.select(F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in table_.columns if c != "node")), e)
+        return pairs
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        differ = F.aggregate(F.zip_with("a_odd", "b_odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        likely = cut(beside(pairs, entries.select("node", "n", "odd")).where((100 + least) * differ <= (100 - least) * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+        # written, so that its size is known and a small one costs no shuffle of all texts
+        named = cut(ends(likely).join(entries.select("node", "first"), "node"))
+        sets = cut(_sets(docs.select("doc_id", "text"), named, words))
+        both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        out = cut(beside(likely, sets).where((100 + least) * both >= least * (F.size("a_shingles") + F.size("b_shingles"))).select("a", "b"))
+        for done in (sets, named, likely):
+            drop_cut(done)
+        return out
+
+    prefixes = own.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    return _least_ids(own.select("doc_id", "node"), entries, resembling(prefixes, least, linked)).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -175,7 +175,7 @@ def test_changed_passages_are_found(spark):
 def test_all_resembling_pairs_are_candidates(spark):
     texts = passage_pairs(5, (0.05, 0.1, 0.15, 0.25)) + [f"{prose(7, 150)} tail {i} of {i % 3}" for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    entries = sketches(docs, 5, 1, 80)
+    entries = sketches(docs, 5, 80)
     ids = {x.node: x.doc_id for x in entries.collect()}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if resemblance(texts[i], texts[j]) >= 0.8}
     found = [tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p, crowd=1000).collect()]
@@ -184,3 +184,17 @@ def test_all_resembling_pairs_are_candidates(spark):
     for crowd in (1, 8):
         joined = {tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p.join(keep, ["a", "b"]), crowd=crowd).collect()}
         assert joined <= want and roots(len(texts), lambda i, j: (j, i) in joined) == roots(len(texts), lambda i, j: (j, i) in want)
+
+
+def test_only_resembling_texts_are_joined(spark):
+    r, texts = random.Random(21), passage_pairs(8, (0.1, 0.15, 0.2, 0.25, 0.3))
+    for n in (100, 400):
+        for swaps in (0.02, 0.04, 0.05, 0.06, 0.08):
+            for _ in range(6):
+                w = [f"x{r.randrange(10**6)}" for _ in range(n)]
+                v = [f"y{k}" if r.random() < swaps else x for k, x in enumerate(w)]
+                texts += [" ".join(w), " ".join(v)]
+    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    near = [resemblance(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(0.65 <= j < 0.8 for j in near) > 20 < sum(0.8 <= j < 0.85 for j in near)
+    assert got == {i: i - i % 2 if near[i // 2] >= 0.8 else i for i in range(len(texts))}
