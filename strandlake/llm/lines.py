@@ -2,8 +2,8 @@
 
 A batch of documents is probed against the filters of the shards. Keys that a filter has never seen are fresh: their exact
 rows need no merge with earlier batches. Keys that a filter may have seen are merged with what the tables hold. Deleting
-documents lowers the counts, elects new owners from the postings that are left, and takes keys that nobody holds any more
-out of the filters.
+documents lowers the counts, elects new owners from the postings that are left, and builds the filters of shards with keys
+that nobody holds any more anew from the exact table.
 """
 
 from __future__ import annotations
@@ -153,9 +153,10 @@ def _probe(key: tuple, batch: pa.Table, held: pa.Table) -> pa.Table:
     return pa.concat_tables([out, pa.table({**{f.name: pa.nulls(1, f.type) for f in out.schema}, "shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([cuckoo.blob()], pa.binary())}, schema=out.schema)])
 
 
-def _forget(key: tuple, gone: pa.Table, held: pa.Table) -> pa.Table:
-    cuckoo = Cuckoo(held.column("blob")[0].as_py() if held.num_rows else None)
-    cuckoo.remove(gone.column("k2").to_numpy().view(np.uint64))
+def _rebuilt(key: tuple, held: pa.Table) -> pa.Table:
+    """A shard's filter from all keys that its exact table holds."""
+    cuckoo = Cuckoo()
+    cuckoo.add(held.column("k2").to_numpy().view(np.uint64))
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([cuckoo.blob()], pa.binary())})
 
 
@@ -193,9 +194,10 @@ def delete(state: LineState, doc_ids: DataFrame) -> LineState:
     left = cut(all_.join(ids, "doc", "left_anti"))
     again = _counted(left.join(touched, KEY, "left_semi"))
     table = cut(references(state).join(touched, KEY, "left_anti").unionByName(again).withColumn("seen", F.lit(False)))
-    gone = touched.join(again, KEY, "left_anti")
-    filters = gone.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInArrow(_forget, "shard int, blob binary")
-    return LineState(state.shards, (left,), (table,), cut(filters.where(F.length("blob") > 0)))
+    # a mark may stand for other keys too, which were taken for seen: so no mark is removed, but the shard's filter built anew
+    stale = cut(touched.join(again, KEY, "left_anti").select("shard").distinct())
+    filters = table.join(stale, "shard", "left_semi").select("shard", "k2").groupBy("shard").applyInArrow(_rebuilt, "shard int, blob binary")
+    return LineState(state.shards, (left,), (table,), cut(filters.union(state.filters.join(stale, "shard", "left_anti"))))
 
 
 def dropped_lines(state: LineState) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm.lines import NO_ID, SPACE, Cuckoo, LineState, dedup_lines, delete, dropped_lines, insert, references
+from strandlake.llm.lines import LEAST_BUCKETS, NO_ID, SPACE, Cuckoo, LineState, dedup_lines, delete, dropped_lines, insert, line_keys, references
 
 from .conftest import edge_rows, rows
 
@@ -64,3 +64,25 @@ def test_cuckoo_holds_what_it_was_given(values, times):
     c = Cuckoo(c.blob())
     c.remove(h[: len(h) // 2])
     assert c.contains(h[len(h) // 2 :]).all() or not len(h)
+
+
+def test_deletion_with_keys_that_share_a_mark(spark):
+    text = [f"a line of text {i}" for i in range(20_000)]
+    k2 = {r.doc: r.k2 for r in line_keys(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), 1, 10).collect()}
+    at, mark = Cuckoo._places(np.array([k2[i] for i in range(len(text))], np.int64).view(np.uint64), LEAST_BUCKETS)
+    met, pairs = {}, []
+    for i, place in enumerate(zip(np.minimum(at, Cuckoo._other(at, mark, LEAST_BUCKETS)).tolist(), mark.tolist())):
+        if place in met:
+            pairs.append((text[met[place]], text[i]))
+        met[place] = i
+    assert pairs
+    x, y = pairs[0]
+    docs = {i: spark.createDataFrame([(i, t)], "doc_id long, text string") for i, t in ((1, x), (2, y), (3, y), (4, x))}
+    cols = ("k1", "k2", "refs", "first", "last")
+    for gone, kept, later in ((1, 2, 3), (2, 1, 4)):
+        state = insert(insert(LineState(1), docs[1], 10), docs[2], 10)
+        assert [r.seen for r in state.segments[1].collect()] == [True]
+        state = insert(delete(state, docs[gone]), docs[later], 10)
+        fresh = insert(LineState(1), docs[kept].union(docs[later]), 10)
+        assert rows(references(state), *cols) == rows(references(fresh), *cols) and references(state).count() == 1
+        assert rows(dropped_lines(state), "doc", "drops") == rows(dropped_lines(fresh), "doc", "drops") == [(later, [0])]
