@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +21,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session of one machine may do without, in its warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+_at_exit: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; what is left there goes when the application ends."""
+    path = f"{shared_dir(spark)}/strandlake-{spark.sparkContext.applicationId}"
+    if path not in _at_exit:
+        _at_exit.add(path)
+
+        def end() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                _remove(spark, path)
+
+        atexit.register(end)
+    return path
 
 
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
+def drop_cut(*cuts: DataFrame) -> None:
     """Remove what cut() wrote, once later cuts no longer need it."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for df in cuts:
+        _remove(df.sparkSession, df._cut_path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,13 +103,33 @@ def slices(batches: Iterator, rows: int = 500) -> Iterator:
     tidy()
 
 
+def complete(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of `rows` rows or more, the last one less, that hold all rows of each of their keys; batches arrive sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    count, tail = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        end = [k[-1] for k in key]
+        if count >= rows and end != tail:
+            # the last place in the batch where a key begins
+            new = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+            at = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            yield pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks()
+            held, count, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        count, tail = count + batch.num_rows, end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+    tidy()
+
+
 def tidy() -> None:
     """Give memory that a worker no longer uses back to the machine."""
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

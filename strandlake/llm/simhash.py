@@ -1,12 +1,9 @@
-"""SimHash near-duplicates: fingerprints, a Gray-order hierarchical index over the distinct ones, and their components.
-
-And near copies by exact resemblance of shingle sets, which meet by their prefixes.
-"""
+"""SimHash near-duplicates: fingerprints, their Gray-order hierarchical index over ranges of rank, and the components it joins."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,42 +12,33 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import cut, drop_cut, slices, tidy
 from strandlake.llm.graph import components
+from strandlake.llm.gray_index import Tree, forest, search
 
-#: Children of an index node, node pairs compared at a time, rows gathered before whole buckets are searched.
-FAN, PAIRS, ROWS = 4, 2_000_000, 200_000
-WORDS = 1_000_000
+#: Shingles hashed at a time; fingerprints of a group, about, as long as there are no more than so many groups.
+BLOCK, GROUP, GROUPS = 1_000_000, 8_192, 20_000
 
 
 def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of all shingles, repeats included, in blocks; fewer words than a shingle are one, no words none."""
     from xxhash import xxh64_intdigest
 
-    for at in range(0, max(1, len(w) - words + 1) if w else 0, WORDS):
-        part = w[at : at + WORDS + words - 1]
+    for at in range(0, max(1, len(w) - words + 1) if w else 0, BLOCK):
+        part = w[at : at + BLOCK + words - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
         yield np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
 
 
-def majorities(hashes: Iterator[np.ndarray], prints: int) -> list[int]:
-    """Majority bits of the hashes, and of as many remixings of them as are asked for; no hashes: zeros."""
-    n, bits = 0, np.zeros((prints, 64), np.int64)
-    for h in hashes:
-        n += len(h)
-        for p in range(prints):
-            if p:
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-            bits[p] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return [int.from_bytes(x.tobytes(), "big", signed=True) for x in np.packbits(2 * bits > n, axis=1)]
-
-
-def _words(text: str | None) -> list[bytes]:
+def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Majority bits over the text's word shingles; no words: zero."""
-    return majorities(shingle_hashes(_words(text), words), 1)[0]
+def fingerprint(text: str | None, words: int) -> int:
+    """Bits that more than half of the hashes of the text's word shingles have; no words: zero."""
+    n, bits = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(ascii_words(text), words):
+        n += len(h)
+        bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -64,377 +52,89 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def rare_first(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Distinct shingles in the one order that all texts share: by hash, those of `common` (sorted) after all others."""
-    shingles = np.unique(shingles)
-    late = np.isin(shingles, common)
-    return np.r_[shingles[~late], shingles[late]]
-
-
-def prefix_length(n: int, least: int) -> int:
-    """So many of a set's first shingles that two sets with a resemblance of `least` % or more share one of them, whatever the order."""
-    return n - (least * n + 99) // 100 + 1 if n else 0
-
-
-def parity(shingles: np.ndarray, bits: int = 1024) -> np.ndarray:
-    """Whether each of `bits` residues has an odd number of these distinct shingles. No two sets differ in more bits than shingles."""
-    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
-
-
-def _shingles(text: str | None, words: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(_words(text), words)])
-
-
-def _name(shingles: np.ndarray) -> int:
-    """A hash of a set of shingles, as a long."""
-    from xxhash import xxh64_intdigest
-
-    return int(np.uint64(xxh64_intdigest(np.sort(shingles).tobytes())).view(np.int64))
-
-
-def _common(docs: DataFrame, words: int, of: int = 64, often: int = 3, top: int = 50_000) -> np.ndarray:
-    """Shingles that `often` or more of the sampled documents hold, the most frequent ones. They shape buckets, never results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(t.as_py(), words)).view(np.int64))], names=["s"])
-
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(of)) == 0).select("text")
-    found = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= often).orderBy(F.desc("count"), "s").limit(top)
-    return np.sort(np.array([r.s for r in found.collect()], np.int64).view(np.uint64))
-
-
-def sketches(docs: DataFrame, words: int, least: int) -> DataFrame:
-    """doc_id, n (distinct shingles of `words` words), prefix (the first of them), odd (parity()) and node (of equal sets)."""
-    common = _common(docs, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n, prefix, odd, node = [], [], [], []
-            for t in batch.column("text"):
-                h = rare_first(_shingles(t.as_py(), words), common)
-                n.append(len(h))
-                prefix.append(h[: prefix_length(len(h), least)].view(np.int64))
-                odd.append(parity(h))
-                node.append(_name(h))
-            kind = pa.list_(pa.int64())
-            columns = [pa.array(n, pa.int64()), pa.array(prefix, kind), pa.array(odd, kind), pa.array(node, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "prefix", "odd", "node"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, prefix array<long>, odd array<long>, node long")
-
-
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each word in Gray order: neighbours there differ in one bit, so runs share long masked patterns."""
+def _rank(fp: Column) -> Column:
+    """Gray rank, shifted so that signed longs sort like it."""
     for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
-
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
-def _tree(bucket: np.ndarray, fp: np.ndarray) -> list[tuple]:
-    """Levels from the leaves up, each (bits common to all, bits set in any, first child, children, bucket) per node."""
-    n = len(fp)
-    levels = [(fp, fp, np.arange(n), np.ones(n, np.int64), bucket)]
-    while True:
-        all_, any_, _, _, own = levels[-1]
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        place = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
-        if not place.any():
-            return levels
-        first = np.flatnonzero(place % FAN == 0)
-        levels.append((np.bitwise_and.reduceat(all_, first), np.bitwise_or.reduceat(any_, first), first, np.diff(np.r_[first, len(own)]), own[first]))
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's fingerprints as one group: its number, its prints, and the bits that all and any of them have."""
+    from pyspark import TaskContext
 
-def links(bucket: np.ndarray, fp: np.ndarray, most: int, far: np.ndarray | None = None, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that joins what links of `most` differing bits or fewer join inside each bucket: pairs of entries.
+    fps = [b.column("fp").to_numpy() for b in batches]
+    fps = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+    if len(fps):
+        both = [pa.array([f.reduce(fps)], pa.int64()) for f in (np.bitwise_and, np.bitwise_or)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([fps.tobytes()], pa.binary()), *both], names=["g", "fps", "common", "any"])
 
-    far: longer prints (entries, words), by which a link must also differ in `apart` bits or fewer in all.
 
-    Two nodes are descended together from each bucket's root; a pair of groups is left as soon as the bits that are fixed in
-    both differ in more than `most` places.
-    """
-    order = np.lexsort((gray_rank(fp), bucket))
-    bucket, fp, far = bucket[order], fp[order], None if far is None else far[order]
-    levels = _tree(bucket, fp)
-    label = np.arange(len(fp))
-    top = np.arange(len(levels[-1][0]))
-    stack = [(len(levels) - 1, top, top)]
-    while stack:
-        at, u, v = stack.pop()
-        if len(u) > PAIRS:
-            stack += [(at, u[:PAIRS], v[:PAIRS]), (at, u[PAIRS:], v[PAIRS:])]
-            continue
-        if at == 0:
-            keep = label[u] != label[v]
-            u, v = u[keep], v[keep]
-            if far is not None:
-                keep = np.bitwise_count(far[u] ^ far[v]).sum(1) <= apart
-                u, v = u[keep], v[keep]
-            while len(u):
-                low = np.minimum(label[u], label[v])
-                np.minimum.at(label, label[u], low)
-                np.minimum.at(label, label[v], low)
-                while (label[label] != label).any():
-                    label = label[label]
-                keep = label[u] != label[v]
-                u, v = u[keep], v[keep]
-            continue
-        _, _, first, count, _ = levels[at]
-        all_, any_, *_ = levels[at - 1]
-        kids = count[u] * count[v]
-        pair = np.repeat(np.arange(len(u)), kids)
-        k = np.arange(len(pair)) - np.repeat(np.cumsum(kids) - kids, kids)
-        a, b = first[u][pair] + k // count[v][pair], first[v][pair] + k % count[v][pair]
-        fixed = ~((all_[a] ^ any_[a]) | (all_[b] ^ any_[b]))
-        keep = (a <= b) & (np.bitwise_count((all_[a] ^ all_[b]) & fixed) <= most)
-        stack.append((at - 1, a[keep], b[keep]))
-    other = np.flatnonzero(label != np.arange(len(fp)))
-    return order[other], order[label[other]]
-
-
-def _search(most: int, apart: int | None):
-    """Links of buckets that arrive sorted by t, key and sub; node names an entry, far has its longer prints."""
+def _prints(blob: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(blob.as_py(), np.uint64)[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
 
-        def found(keys, nodes, fps, far) -> Iterator[pa.RecordBatch]:
-            if len(fps):
-                a, b = links(np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)]), fps, most, far if apart is not None else None, apart or 0)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+def _between(most: int):
+    """Forests over the prints of two groups, or of one with itself."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "sub")], 1)
-            far = batch.column("far").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            kept.append((keys, batch.column("node").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), far))
-            if sum(len(k) for k, *_ in kept) >= ROWS:
-                held = tuple(np.concatenate(x) for x in zip(*kept))
-                whole = np.flatnonzero((held[0] != held[0][-1]).any(1))
-                end = int(whole[-1]) + 1 if len(whole) else 0
-                yield from found(*(x[:end] for x in held))
-                kept = [tuple(x[end:] for x in held)]
-        if kept:
-            yield from found(*(np.concatenate(x) for x in zip(*kept)))
+            for u, v, x, y in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("x"), batch.column("y")):
+                x, y = _prints(x), _prints(y)
+                a = Tree(x, np.full(len(x), most))
+                if u == v:
+                    at, low = forest(len(x), search(a, scale=2))
+                    names = x[a.order, 0]
+                else:
+                    b = Tree(y, np.full(len(y), most))
+                    at, low = forest(len(x) + len(y), ((i, len(x) + j) for i, j in search(a, b, scale=2)))
+                    names = np.concatenate([x[a.order, 0], y[b.order, 0]])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(names[low].view(np.int64))], names=["a", "b"])
         tidy()
 
     return run
 
 
-def _bits(fp: Column, low: int, high: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-
-
-def _routes(bits: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
-    """The blocks of bits that make each table's key: of most + 2 blocks, two at least are equal in any pair that links."""
-    size, more = divmod(len(bits), most + 2)
-    blocks, at = [], 0
-    for k in range(most + 2):
-        n = size + (k < more)
-        blocks.append(bits[at : at + n])
-        at += n
-    return [sorted(a + b) for a, b in combinations(blocks, 2)]
-
-
-def _key(fp: Column, bits: list[int]) -> Column:
-    """Those bits of fp, gathered run by run."""
-    out, runs = F.lit(0).cast("long"), []
-    for b in bits:
-        if runs and runs[-1][1] == b:
-            runs[-1][1] = b + 1
-        else:
-            runs.append([b, b + 1])
-    for low, high in runs:
-        out = F.shiftleft(out, high - low).bitwiseOR(_bits(fp, low, high))
-    return out
-
-
-def near_links(entries: DataFrame, most: int, apart: int | None = None, crowd: int = 50_000) -> DataFrame:
-    """A forest (a, b) over entries.node that joins all that links join.
+def near_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+    """A forest (a, b) over distinct fingerprints (fp, long) that joins all that links of `most` differing bits or fewer join.
 
-    entries: node (long), fps (array of 64-bit prints, as many in every row), far (array of longer prints). Two entries link
-    where any of their fps differ in `most` bits or fewer and, if apart is given, their far prints in `apart` or fewer in all.
-    Entries meet in tables keyed by two of most + 2 blocks of the bits of a print, so every link shows in some bucket. A
-    bucket over `crowd` is dealt anew by two blocks of its other bits, which loses no link either.
+    Ranges of Gray rank are the lowest groups of the index that are apart: about `group` fingerprints each, and more only where
+    there would be over GROUPS groups. The index above them, with two words for each of those, is searched against itself on
+    the driver; pairs of groups that are left meet in a task, which searches on down both. A fingerprint has at most so many
+    others at `most` bits, however many copies it stands for, so no bucket can be crowded.
     """
-    first = entries.select(F.size("fps").alias("n")).first()
-    tables = _routes(list(range(64)), most)
-    prints = first.n if first else 1
-    fp = [F.col("fps")[p] for p in range(prints)]
-    routed = entries.select("node", "far", F.posexplode(F.array(*(F.struct(_key(x, b).alias("key"), x.alias("fp")) for x in fp for b in tables))).alias("t", "x")).select("node", "far", "t", "x.key", "x.fp")
-    hot = cut(routed.groupBy("t", "key").count().where(F.col("count") > crowd).select("t", "key", F.lit(True).alias("hot")))
-    if hot.isEmpty():
-        routed = routed.withColumn("sub", F.lit(0).cast("long"))
-    else:
-        own = F.lit(None)
-        for t, used in reversed(list(enumerate(tables))):
-            left = [b for b in range(64) if b not in set(used)]
-            subs = F.array(*(F.shiftleft(_key(F.col("fp"), x), 5).bitwiseOR(F.lit(k + 1)) for k, x in enumerate(_routes(left, most))))
-            own = F.when(F.col("t") % len(tables) == t, subs).otherwise(own)
-        routed = routed.join(hot, ["t", "key"], "left").withColumn("sub", F.explode(F.when(F.col("hot"), own).otherwise(F.array(F.lit(0).cast("long")))))
-    by = ["t", "key", "sub"]
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = routed.select(F.col("t").cast("long").alias("t"), "key", "sub", "node", "fp", "far").repartition(n, *by).sortWithinPartitions(*by)
-    return rows.mapInArrow(_search(most, apart), "a long, b long")
-
-
-def _least_ids(own: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """own with component_id: the least doc_id of all rows whose nodes are joined. entries: node, first (its least doc_id)."""
-    roots = components(edges)
-    named = entries.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # written first, so that the join's sides are plain shuffles and a crowded node's documents can be split
-    return own.join(cut(named.join(least, "root").select("node", "component_id")), "node")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
+    spark = fps.sparkSession
+    parts = min(GROUPS, max(1, -(-fps.count() // group)))
+    ranged = fps.select("fp", _rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").select("fp")
+    groups = cut(ranged.mapInArrow(_packed, "g int, fps binary, common long, any long"))
+    heads = groups.select("g", "common", "any").toArrow()
+    common, any_ = (heads.column(c).to_numpy().view(np.uint64)[:, None] for c in ("common", "any"))
+    top = Tree((common, any_), np.full(len(common), most))
+    ids = heads.column("g").to_numpy()[top.order] if len(common) else np.zeros(0, np.int32)
+    pairs = [np.stack([ids[u], ids[v]], 1) for u, v in search(top, scale=2, selves=True)]
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int32)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = pa.table({"u": pa.array(pairs[:, 0], pa.int32()), "v": pa.array(pairs[:, 1], pa.int32())})
+    met = spark.createDataFrame(table).repartition(n)
+    for side, prints in (("u", "x"), ("v", "y")):
+        met = met.join(groups.select(F.col("g").alias(side), F.col("fps").alias(prints)), side)
+    return met.select("u", "v", "x", "y").mapInArrow(_between(most), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id: documents whose fingerprints are joined by links of `most` differing bits or fewer.
 
     docs: doc_id, text. component_id is the smallest doc_id reachable, over null ids, which it never is unless all are null.
     Null and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle is one shingle.
     Repeated rows give repeated rows. No rows give none. Copies meet as one fingerprint, so their number costs no pairs.
     """
-    own = cut(fingerprints(docs, words).withColumn("node", F.col("fp")))
-    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first")).withColumns({"fps": F.array("node"), "far": F.array().cast("array<long>")}))
-    return _least_ids(own, entries, near_links(entries, most)).select("doc_id", "fp", "component_id")
-
-
-def _meet(least: int, crowd: int | None):
-    """Pairs (a, b) of entries with different roots in buckets that arrive sorted by key and root.
-
-    rest counts an entry's shingles from the bucket's on: where that one is the first a pair shares, no more can be shared.
-    Of a bucket over `crowd` only neighbours by size are paired, and its rows come back with their key, to be met again.
-    """
-    names = ["key", "root", "n", "rest", "node"]
-    out = ["a", "b", "key", "n", "rest"]
-
-    def batch_of(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if c is not None else pa.nulls(len(columns[0]), pa.int64()) for c in columns], names=out)
-
-    def paired(i, j, n, rest, node) -> pa.RecordBatch:
-        keep = (100 + least) * np.minimum(rest[i], rest[j]) >= least * (n[i] + n[j])
-        a, b = node[i[keep]], node[j[keep]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return batch_of(both[:, 0], both[:, 1], None, None, None)
-
-    def found(key, root, n, rest, node) -> Iterator[pa.RecordBatch]:
-        at = np.arange(len(key))
-        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-        end = ends[np.searchsorted(ends, at, "right")]
-        size = np.diff(np.r_[0, ends])[np.searchsorted(ends, at, "right")]
-        own = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(key)]
-        count = end - own[np.searchsorted(own, at, "right")]
-        if crowd is not None and (hot := size > crowd).any():
-            count[hot] = 0
-            i = at[hot][np.lexsort((node[hot], n[hot], key[hot]))]
-            same = key[i[1:]] == key[i[:-1]]
-            yield paired(i[:-1][same], i[1:][same], n, rest, node)
-            yield batch_of(node[hot], node[hot], key[hot], n[hot], rest[hot])
-        total = np.cumsum(count)
-        lo = 0
-        while lo < len(key):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
-            c = count[lo:hi]
-            i = np.repeat(at[lo:hi], c)
-            yield paired(i, end[i] - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)), n, rest, node)
-            lo = hi
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list] = []
-        for batch in batches:
-            kept.append([batch.column(c).to_numpy() for c in names])
-            if sum(len(k[0]) for k in kept) >= ROWS:
-                held = [np.concatenate(x) for x in zip(*kept)]
-                whole = np.flatnonzero(held[0] != held[0][-1])
-                at = int(whole[-1]) + 1 if len(whole) else 0
-                if at:
-                    yield from found(*(x[:at] for x in held))
-                kept = [[x[at:] for x in held]]
-        if kept and len(kept[0][0]) + len(kept[-1][0]):
-            yield from found(*(np.concatenate(x) for x in zip(*kept)))
-        tidy()
-
-    return run
-
-
-def _met(rows: DataFrame, least: int, crowd: int | None) -> DataFrame:
-    """_meet() over rows of key, root, n, rest and node, written down."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.select("key", "root", "n", "rest", "node").repartition(n, "key").sortWithinPartitions("key", "root")
-    return cut(sorted_.mapInArrow(_meet(least, crowd), "a long, b long, key long, n long, rest long"))
-
-
-def resembling(entries: DataFrame, least: int, linked, crowd: int = 4) -> DataFrame:
-    """Links (a, b) that join all entries that pairs of a resemblance of `least` % or more join.
-
-    entries: node, n and prefix as in sketches(), a row per node. linked: takes pairs a, b and keeps those that are links.
-    Every such pair shares a shingle of both prefixes, so it meets in that shingle's bucket. In buckets over `crowd` first
-    neighbours by size are judged, then all pairs that these links haven't joined, so that many copies of one text cost few.
-    """
-    routed = entries.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumns({"rest": F.col("n") - F.col("at"), "root": F.col("node")})
-    met = _met(routed, least, crowd)
-    links_ = linked(met.where("key is null").select("a", "b").distinct())
-    again = met.where("key is not null").select("key", "n", "rest", F.col("a").alias("node"))
-    if again.isEmpty():
-        return links_
-    roots = cut(components(links_))
-    again = cut(again.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_ = again.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    more = linked(_met(again.join(cut(open_), "key", "left_semi"), least, None).select("a", "b").distinct())
-    return links_.unionByName(more)
-
-
-def _sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """node and shingles (distinct, array of longs) of every node of named: node, first (one of its documents' ids)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(_shingles(t.as_py(), words)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    texts = docs.join(named.select("first").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("first")), "left_semi").select("text")
-    return texts.mapInArrow(run, "node long, shingles array<long>").join(named, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-
-
-def similar_documents(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
-    """doc_id, component_id: documents joined by links of a resemblance of `least` % or more over sets of shingles of `words` words.
-
-    resembling() offers the pairs, parity bits rule out such as can't be links, and of the others each is a link only if the
-    two sets themselves, compared shingle by shingle, resemble each other so much. Nulls, copies and empty tables as in
-    near_duplicates().
-    """
-    own = cut(sketches(docs, words, least))
-    entries = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd")))
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def beside(pairs: DataFrame, table_: DataFrame) -> DataFrame:
-        for e in "ab":
-            pairs = pairs.join(table_.select(F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in table_.columns if c != "node")), e)
-        return pairs
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        differ = F.aggregate(F.zip_with("a_odd", "b_odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        likely = cut(beside(pairs, entries.select("node", "n", "odd")).where((100 + least) * differ <= (100 - least) * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
-        # written, so that its size is known and a small one costs no shuffle of all texts
-        named = cut(ends(likely).join(entries.select("node", "first"), "node"))
-        sets = cut(_sets(docs.select("doc_id", "text"), named, words))
-        both = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        out = cut(beside(likely, sets).where((100 + least) * both >= least * (F.size("a_shingles") + F.size("b_shingles"))).select("a", "b"))
-        for done in (sets, named, likely):
-            drop_cut(done)
-        return out
-
-    prefixes = own.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    return _least_ids(own.select("doc_id", "node"), entries, resembling(prefixes, least, linked)).select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group of similar_documents(): the smallest doc_id, with all columns.
-
-    Rows without a doc_id can't stand for a group and stay only if no row of their group has one.
-    """
-    near = similar_documents(docs, **how)
-    stays = near.where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    own = cut(fingerprints(docs, words))
+    entries = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(near_links(entries.select("fp"), most, group)).withColumnRenamed("node", "fp")
+    named = entries.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first, so that the join's sides are plain shuffles and a crowded fingerprint's documents can be split
+    found = cut(named.join(least, "root").select("fp", "component_id"))
+    drop_cut(entries)
+    return own.join(found, "fp").select("doc_id", "fp", "component_id")

@@ -2,14 +2,13 @@ import random
 import re
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from strandlake.llm.graph import components
-from strandlake.llm.simhash import _routes, fingerprint, gray_rank, links, near_duplicates, near_links, one_of_each, resembling, similar_documents, sketches
+from strandlake.llm.gray_index import Tree, forest, gray_rank, search
+from strandlake.llm.simhash import fingerprint, near_duplicates, near_links
 
-from .conftest import edge_rows, prose, rows
+from .conftest import edge_rows, rows
 
 
 def plain_print(t, words):
@@ -49,13 +48,7 @@ def test_against_brute_force(edge):
         assert got == sorted(want, key=lambda x: tuple((v is None, str(type(v)), v) for v in x))
 
 
-def test_one_of_each(edge, none):
-    left = one_of_each(edge)
-    assert left.columns == edge.columns
-    ids = [r.doc_id for r in left.collect()]
-    assert 4 in ids and not {5, 6} & set(ids)
-    assert {7, 9, 10, 11, 14} < set(ids) and (12 in ids) and 13 not in ids
-    assert one_of_each(none).collect() == []
+def test_no_documents(none):
     assert near_duplicates(none).collect() == []
 
 
@@ -78,123 +71,63 @@ def same_components(fps, edges, most):
     return want == roots(len(fps), lambda i, j: (i, j) in joined or (j, i) in joined)
 
 
-def test_index_keeps_all_components():
+def test_index_finds_all_pairs():
     for seed, most in ((1, 2), (2, 4), (3, 1)):
-        fps = clustered(300, seed, most)
-        f = np.array(fps, np.uint64)
-        a, b = links(np.zeros(len(fps), np.int64), f, most)
-        assert same_components(fps, zip(f[a].tolist(), f[b].tolist()), most)
-        far = np.array(clustered(300, seed + 50, 9), np.uint64)[:, None]
-        a, b = links(np.arange(300) % 2, f, most, far, 20)
-        joined = set(zip(a.tolist(), b.tolist()))
-        want = roots(300, lambda i, j: i % 2 == j % 2 and (fps[i] ^ fps[j]).bit_count() <= most and int(far[i, 0] ^ far[j, 0]).bit_count() <= 20)
-        assert want == roots(300, lambda i, j: (i, j) in joined or (j, i) in joined)
-
-
-def test_routed_links_also_in_crowded_buckets(spark):
+        fps = clustered(400, seed, most)
+        x = np.array(fps, np.uint64)[:, None]
+        want = {(i, j) for j in range(400) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= most}
+        a = Tree(x, np.full(400, most))
+        assert {tuple(sorted(p)) for u, v in search(a, scale=2) for p in zip(a.order[u].tolist(), a.order[v].tolist())} == want
+        one, two = Tree(x[:150], np.full(150, most)), Tree(x[150:], np.full(250, most))
+        across = {(p, 150 + q) for u, v in search(one, two, scale=2) for p, q in zip(one.order[u].tolist(), two.order[v].tolist())}
+        assert across == {(i, j) for i, j in want if i < 150 <= j}
+
+
+def test_buckets_labels_and_allowances():
+    r = random.Random(4)
+    x = np.array([[a, b] for a, b in zip(clustered(300, 5, 6), clustered(300, 6, 6))], np.uint64)
+    bucket, label, allow = (np.array([r.randrange(k) for _ in range(300)]) for k in (7, 3, 40))
+    tree = Tree(x, allow, bucket, label)
+    got = [tuple(sorted(p)) for u, v in search(tree, scale=3) for p in zip(tree.order[u].tolist(), tree.order[v].tolist())]
+    differ = lambda i, j: int(np.bitwise_count(x[i] ^ x[j]).sum())
+    want = {(i, j) for j in range(300) for i in range(j) if bucket[i] == bucket[j] and label[i] != label[j] and 3 * differ(i, j) <= allow[i] + allow[j]}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_links_across_ranges_of_rank(spark):
     fps = clustered(250, 4, 2)
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    df = spark.createDataFrame(signed, "node long").selectExpr("node", "array(node) AS fps", "cast(array() AS array<long>) AS far")
-    for crowd in (50_000, 1):
-        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, crowd=crowd).collect()]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for group in (100_000, 20, 1):
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, group).collect()]
         assert same_components(fps, edges, 2)
 
 
+def test_a_crowd_around_one_fingerprint(spark):
+    near = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for j in range(64) for i in range(j)]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in near + [0x7777_7777_7777_7777]], "fp long")
+    root = {r.node: r.root for r in components(near_links(df, 2, 100)).collect()}
+    assert len(root) == len(near) and len(set(root.values())) == 1
+
+
 def test_gray_neighbours_differ_in_one_bit():
     i = np.arange(1000, dtype=np.uint64)
     g = i ^ (i >> np.uint64(1))
     assert (gray_rank(g) == i).all()
 
 
-@settings(max_examples=50)
-@given(st.integers(1, 6), st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=6))
-def test_every_link_shares_a_key(most, x, flips):
-    y = x
-    for f in flips[:most]:
-        y ^= 1 << f
-    assert any(all((x ^ y) >> b & 1 == 0 for b in bits) for bits in _routes(list(range(64)), most))
-
-
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (5, 4), (7, 7), (8, None), *((k, k + 1) for k in range(10, 40)), *((100, k) for k in range(101, 150))]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 150)}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 150)}
+    for few in (1000, 0):
+        assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()} == want
+        assert components(spark.createDataFrame([], "a long, b long"), few).collect() == []
+
+
+def test_forest():
+    at, low = forest(6, [(np.array([5, 5, 1]), np.array([3, 2, 0]))])
+    assert dict(zip(at.tolist(), low.tolist())) == {5: 2, 3: 2, 1: 0}
 
 
 def test_fingerprint_of_short_texts():
     assert fingerprint("", 3) == 0 == fingerprint(" \n", 3)
     assert fingerprint("One Two", 3) == plain_print("one two", 3)
-
-
-def test_similar_documents_are_those_of_like_shingles(spark):
-    r, docs = random.Random(9), []
-    for i in range(40):
-        w = prose(300 + i, 200).split()
-        docs.append((10 * i, " ".join(f"{x}{i}{k}" for k, x in enumerate(w))))
-        for j in range(1, 4):
-            v = docs[-j][1].split()
-            v[r.randrange(200)] = "changed"
-            docs.append((10 * i + j, " ".join(v)))
-    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    assert sum(got[d] == d // 10 * 10 for d, _ in docs) >= 0.95 * len(docs)
-    assert all(c // 10 == d // 10 for d, c in got.items())
-
-
-def shingle_set(text, words=5):
-    w = text.lower().split()
-    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
-
-
-def resemblance(x, y):
-    x, y = shingle_set(x), shingle_set(y)
-    return len(x & y) / len(x | y)
-
-
-def passage_pairs(seed, shares):
-    """Texts, each followed by itself with a passage appended, dropped or replaced, of a share of its words."""
-    r, docs = random.Random(seed), []
-    word = lambda: f"w{int(r.paretovariate(0.7)) % 5000}"
-    for n in (60, 100, 300, 900):
-        for share in shares:
-            for kind in ("appended", "dropped", "replaced") * 3:
-                w, more = [word() for _ in range(n)], [word() for _ in range(int(n * share))]
-                at = r.randrange(n - len(more))
-                v = w + more if kind == "appended" else w[:at] + (more if kind == "replaced" else []) + w[at + len(more) :]
-                docs += [" ".join(w), " ".join(v)]
-    return docs
-
-
-def test_changed_passages_are_found(spark):
-    docs = [(i, t) for i, t in enumerate(passage_pairs(3, (0.04, 0.08)))]
-    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    alike = [i for i in range(0, len(docs), 2) if resemblance(docs[i][1], docs[i + 1][1]) >= 0.85]
-    assert len(alike) >= 50 and all(got[i] == got[i + 1] for i in alike)
-
-
-def test_all_resembling_pairs_are_candidates(spark):
-    texts = passage_pairs(5, (0.05, 0.1, 0.15, 0.25)) + [f"{prose(7, 150)} tail {i} of {i % 3}" for i in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    entries = sketches(docs, 5, 80)
-    ids = {x.node: x.doc_id for x in entries.collect()}
-    want = {(i, j) for j in range(len(texts)) for i in range(j) if resemblance(texts[i], texts[j]) >= 0.8}
-    found = [tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p, crowd=1000).collect()]
-    assert len(want) > 400 and want <= set(found)
-    keep = spark.createDataFrame([(a, b) for a in ids for b in ids if tuple(sorted((ids[a], ids[b]))) in want], "a long, b long")
-    for crowd in (1, 8):
-        joined = {tuple(sorted((ids[x.a], ids[x.b]))) for x in resembling(entries.select("node", "n", "prefix"), 80, lambda p: p.join(keep, ["a", "b"]), crowd=crowd).collect()}
-        assert joined <= want and roots(len(texts), lambda i, j: (j, i) in joined) == roots(len(texts), lambda i, j: (j, i) in want)
-
-
-def test_only_resembling_texts_are_joined(spark):
-    r, texts = random.Random(21), passage_pairs(8, (0.1, 0.15, 0.2, 0.25, 0.3))
-    for n in (100, 400):
-        for swaps in (0.02, 0.04, 0.05, 0.06, 0.08):
-            for _ in range(6):
-                w = [f"x{r.randrange(10**6)}" for _ in range(n)]
-                v = [f"y{k}" if r.random() < swaps else x for k, x in enumerate(w)]
-                texts += [" ".join(w), " ".join(v)]
-    got = {x.doc_id: x.component_id for x in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
-    near = [resemblance(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)]
-    assert sum(0.65 <= j < 0.8 for j in near) > 20 < sum(0.8 <= j < 0.85 for j in near)
-    assert got == {i: i - i % 2 if near[i // 2] >= 0.8 else i for i in range(len(texts))}
