@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ascii_lower, cut, slices
+from strandlake.llm.common import ascii_lower, cut, fresh, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id: one document, after all others.
@@ -115,7 +115,7 @@ class Cuckoo:
 
 @dataclass(frozen=True)
 class LineState:
-    """postings: doc, idx, key. segments: by batch, a row per key with refs (lines), first and last doc, seen. filters: shard, blob."""
+    """postings: doc, row, idx, key. segments: by batch, a row per key with refs (lines), first and last doc, seen. filters: shard, blob."""
 
     shards: int
     postings: tuple[DataFrame, ...] = ()
@@ -128,11 +128,12 @@ def _union(parts) -> DataFrame:
 
 
 def line_keys(docs: DataFrame, shards: int, least: int) -> DataFrame:
-    """doc, idx, shard, k1, k2 for every line whose key has `least` code points or more."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("idx", "line"))
+    """doc, row (a hash of the text), idx, shard, k1, k2 for every line whose key has `least` code points or more."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")  # hashed before lines are rows
+    lines = own.select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("idx", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
-    keyed = lines.select("doc", "idx", key.alias("key")).where(F.char_length("key") >= least)
-    keyed = keyed.select("doc", "idx", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+    keyed = lines.select("doc", "row", "idx", key.alias("key")).where(F.char_length("key") >= least)
+    keyed = keyed.select("doc", "row", "idx", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
     return keyed.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
 
 
@@ -201,46 +202,53 @@ def delete(state: LineState, doc_ids: DataFrame) -> LineState:
 
 
 def dropped_lines(state: LineState) -> DataFrame:
-    """doc and the places (ascending) of its lines that go: those whose key a document with a smaller id holds too."""
+    """doc, row and the places (ascending) of its lines that go: those whose key a document with a smaller id holds too."""
     # written first, so that the join's sides are plain shuffles and a crowded key's lines can be split
     shared = cut(references(state).where("first < last").select("k1", "k2", "first"))
     lost = _union(state.postings).join(shared, ["k1", "k2"]).where("doc != first")
-    return lost.groupBy("doc").agg(F.array_sort(F.collect_list("idx")).alias("drops"))
-
-
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        lines, dropped, texts = [], [], []
-        for text, drops in zip(batch.column("text"), batch.column("drops").to_pylist()):
-            own = (text.as_py() or "").split("\n")
-            lines.append(len(own))
-            if drops:
-                gone = set(drops)
-                own = [x for k, x in enumerate(own) if k not in gone]
-            dropped.append(lines[-1] - len(own))
-            texts.append("\n".join(own))
-        at = batch.schema.get_field_index("text")
-        kept = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["drops"])
-        yield kept.append_column("n_lines", pa.array(lines, pa.int64())).append_column("n_dropped", pa.array(dropped, pa.int64()))
-
-
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 2, shard_lines: int = 400_000) -> DataFrame:
-    """docs with text without repeated lines, and n_lines (before) and n_dropped (long).
+    # rows that repeat a document repeat its places
+    return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set("idx")).alias("drops"))
+
+
+def _cleaned(drops_name: str, measures: tuple[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lines, dropped, texts = [], [], []
+            for text, drops in zip(batch.column("text"), batch.column(drops_name).to_pylist()):
+                own = (text.as_py() or "").split("\n")
+                lines.append(len(own))
+                if drops:
+                    gone = set(drops)
+                    own = [x for k, x in enumerate(own) if k not in gone]
+                dropped.append(lines[-1] - len(own))
+                texts.append("\n".join(own))
+            at = batch.schema.get_field_index("text")
+            kept = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([drops_name])
+            for name, values in zip(measures, (lines, dropped)):
+                kept = kept.append_column(name, pa.array(values, pa.int64()))
+            yield kept
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 2, shard_lines: int = 400_000, measures: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text without repeated lines, and two measures: lines before and lines dropped (long).
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of `least` code points or more that two
     documents hold lose their lines in all but the smallest doc_id. Null and empty texts are one empty line (and come back
-    empty); a null doc_id counts as one document after all others; repeated rows of a doc_id are one document, and each row
-    is cleaned; no rows give none; other columns pass through, but for drops, n_lines and n_dropped, which are replaced.
+    empty); a null doc_id counts as one document after all others; rows of one doc_id are one document, whose rows each lose
+    their own lines; no rows give none; other columns pass through, but for such as have the names of the measures.
     batches: parts in which documents are inserted, each probed against the filters that the others left. shard_lines:
     lines of the input to a shard, about, which bounds what one task holds; keys are counted before they are dealt out.
     """
-    docs = docs.drop("n_lines", "n_dropped", "drops")
+    docs = docs.drop(*measures)
+    doc, row, drops_name = fresh(docs, "doc", "row", "drops")
     rough = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     state = LineState(max(8, int(rough) // shard_lines))
     for k in range(batches):
         state = insert(state, docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), least)
-    drops = dropped_lines(state).withColumn("doc", F.nullif("doc", F.lit(NO_ID))).withColumnRenamed("doc", "_doc")
-    rows = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    kept = [f for f in rows.schema if f.name != "drops"]
+    drops = dropped_lines(state).select(F.nullif("doc", F.lit(NO_ID)).alias(doc), F.col("row").alias(row), F.col("drops").alias(drops_name))
+    rows = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(row)), "left").drop(doc, row)
+    kept = [f for f in rows.schema if f.name != drops_name]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(_cleaned, f"{schema}, n_lines long, n_dropped long")
+    return rows.mapInArrow(_cleaned(drops_name, measures), f"{schema}, `{measures[0]}` long, `{measures[1]}` long")
