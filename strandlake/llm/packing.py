@@ -2,6 +2,11 @@
 
 Every input partition packs its own pieces best-fit and emits the nearly full bins; the underfull bins travel up a merge tree
 as items, and each node of the tree packs the bins of its children best-fit again.
+
+No two bins of one best-fit packing fit together, so each packing has one bin of half the capacity or less at most, and only such
+a bin can bring two together later. A node that is given m of them makes m merges at most, so of the underfull bins of one
+fill it can use up m at most. What is beyond the uses of all nodes above is final as it is: the result is as if all went on,
+and what a node receives has a bound that doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import cut, slices
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-BINS = "sequence_id long, fill int, done boolean, grp long, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
-BIN_SCHEMA = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("grp", pa.int64()), ("members", pa.list_(MEMBER))])
+BINS = "sequence_id long, fill int, done boolean, grp long, spare int, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+BIN_SCHEMA = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("grp", pa.int64()), ("spare", pa.int32()), ("members", pa.list_(MEMBER))])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Documents tokenised at a time; pieces packed at a time in a partition.
 BATCH_CHARS, CHUNK = 1_000_000, 50_000
@@ -49,8 +54,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _bins(members: pa.Array, sizes: np.ndarray, capacity: int, slack: int, carry: int, level: int, node: int, first: int, last: bool) -> pa.RecordBatch:
-    """Pack items (lists of members) and lay out each bin; the `carry` emptiest underfull bins go on to the next level."""
+def _bins(members: pa.Array, sizes: np.ndarray, capacity: int, slack: int, level: int, node: int, first: int, last: bool) -> pa.RecordBatch:
+    """Pack items (lists of members) and lay out each bin; spare counts the bins of the same fill before an underfull one."""
     bins = best_fit(sizes, capacity)
     order = np.argsort(bins, kind="stable")
     taken = members.take(pa.array(order))
@@ -59,16 +64,16 @@ def _bins(members: pa.Array, sizes: np.ndarray, capacity: int, slack: int, carry
     per_bin = np.bincount(bins[order], counts, n).astype(np.int64)
     fill = np.bincount(bins, sizes, n).astype(np.int32)
     done = (fill >= capacity - slack) | last
-    if (~done).sum() > carry:
-        rank = np.empty(n, np.int64)
-        rank[np.argsort(fill, kind="stable")] = np.arange(n)
-        done |= rank >= carry
+    by_fill = np.argsort(fill, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(fill[by_fill]) != 0]) if n else np.zeros(0, np.int64)
+    spare = np.empty(n, np.int32)
+    spare[by_fill] = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_bin)].astype(np.int32)), taken.flatten())
     ids = (level << (NODE_BITS + BIN_BITS)) + (node << BIN_BITS) + first + np.arange(n, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fill), pa.array(done), pa.array(np.full(n, node, np.int64)), lists.cast(pa.list_(MEMBER))], schema=BIN_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fill), pa.array(done), pa.array(np.full(n, node, np.int64)), pa.array(spare), lists.cast(pa.list_(MEMBER))], schema=BIN_SCHEMA)
 
 
-def _local(tokenizer: str, capacity: int, slack: int, carry: int, end_id: int):
+def _local(tokenizer: str, capacity: int, slack: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -84,7 +89,7 @@ def _local(tokenizer: str, capacity: int, slack: int, carry: int, end_id: int):
                 return
             members = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MEMBER)], fields=list(MEMBER))
             one = pa.ListArray.from_arrays(pa.array(np.arange(len(members) + 1, dtype=np.int32)), members)
-            out = _bins(one, np.array(cols[3], np.int64), capacity, slack, carry, 0, node, made, False)
+            out = _bins(one, np.array(cols[3], np.int64), capacity, slack, 0, node, made, False)
             made, cols = made + out.num_rows, [[], [], [], [], []]
             yield out
 
@@ -109,10 +114,10 @@ def _local(tokenizer: str, capacity: int, slack: int, carry: int, end_id: int):
     return run
 
 
-def _merge(capacity: int, slack: int, carry: int, level: int, last: bool):
+def _merge(capacity: int, slack: int, level: int, last: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("sequence_id").combine_chunks()
-        out = _bins(table.column("members").combine_chunks(), table.column("fill").to_numpy().astype(np.int64), capacity, slack, carry, level, key[0].as_py(), 0, last)
+        out = _bins(table.column("members").combine_chunks(), table.column("fill").to_numpy().astype(np.int64), capacity, slack, level, key[0].as_py(), 0, last)
         return pa.Table.from_batches([out])
 
     return run
@@ -128,24 +133,28 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(flat.field(f.name) for f in MEMBER), pa.array(np.repeat(batch.column("sequence_id").to_numpy(), counts)), pa.array(before - firsts)], names=[*(f.name for f in MEMBER), "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, fan_in: int = 8, carry: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, fan_in: int = 8) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts are one end id; a null doc_id is kept; repeated rows
     are packed as often as they occur; an empty table gives no rows. Only documents over `capacity` ids are cut.
-    slack: free ids that a nearly full bin may have. fan_in: children of a tree node. carry: the emptiest underfull bins
-    that a node hands on, which bounds what any node receives to fan_in * carry bins; bins beyond it are final as they are,
-    so nothing is lost.
+    slack: free ids that a nearly full bin may have. fan_in: children of a tree node.
     """
-    todo = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_local(tokenizer, capacity, slack, carry, end_id), BINS))
-    ready, level = [todo.where("done")], 0
+    todo = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_local(tokenizer, capacity, slack, end_id), BINS))
+    ready, level = [], 0
     nodes = (todo.agg(F.max("grp")).first()[0] or 0) + 1
     while nodes > 1 or level == 0:
         level, nodes = level + 1, -(-nodes // fan_in)
-        merge = _merge(capacity, slack, carry, level, nodes == 1)
-        todo = cut(todo.where(~F.col("done")).groupBy(F.floor(F.col("grp") / fan_in).alias("node")).applyInArrow(merge, BINS))
-        ready.append(todo.where("done"))
-    out = ready[0]
-    for more in ready[1:]:
+        parent = F.floor(F.col("grp") / fan_in).alias("node")
+        # bins of half the capacity or less that a node is given now, at most, and those that each node above may be given
+        small = todo.where((~F.col("done")) & (2 * F.col("fill") <= capacity)).groupBy(parent).count().agg(F.max("count")).first()[0] or 0
+        above, up = nodes, 0
+        while above > 1:
+            above, up = -(-above // fan_in), up + 1
+        wanted = (~F.col("done")) & (F.col("spare") < small + fan_in * up)
+        ready.append(todo.where(~wanted))
+        todo = cut(todo.where(wanted).groupBy(parent).applyInArrow(_merge(capacity, slack, level, nodes == 1), BINS))
+    out = todo
+    for more in ready:
         out = out.unionByName(more)
-    return out.mapInArrow(_laid_out, PIECES)
+    return out.select("sequence_id", "members").mapInArrow(_laid_out, PIECES)

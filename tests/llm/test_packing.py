@@ -37,11 +37,47 @@ def test_pieces_and_places(edge):
         assert n <= -(-sum(r.length for r in got) // capacity) + 2
 
 
-def test_levels_carry_and_split(edge):
-    got = pack(edge.repartition(9), PATH, 256, fan_in=2, carry=4).collect()
+def test_levels_and_pieces(edge):
+    got = pack(edge.repartition(9), PATH, 256, fan_in=2).collect()
     check(got, 256, plain(256))
 
 
+def merged(leaves, capacity, slack, fan_in, bounded):
+    """Fills of all bins after the tree, with all underfull bins handed on or only those that nodes above can use up."""
+    final = []
+    while True:
+        nodes = [[s for leaf in leaves[k : k + fan_in] for s in leaf] for k in range(0, len(leaves), fan_in)]
+        above, up = len(nodes), 0
+        while above > 1:
+            above, up = -(-above // fan_in), up + 1
+        small = max(sum(2 * s <= capacity for s in n) for n in nodes)
+        if bounded:
+            nodes = []
+            for k in range(0, len(leaves), fan_in):
+                nodes.append([])
+                for leaf in leaves[k : k + fan_in]:
+                    for s in set(leaf):
+                        n = min(leaf.count(s), small + fan_in * up)
+                        nodes[-1] += [s] * n
+                        final += [s] * (leaf.count(s) - n)
+        packed = [np.bincount(best_fit(np.array(n, np.int64), capacity), n).astype(int).tolist() if n else [] for n in nodes]
+        last = len(nodes) == 1
+        final += [s for n in packed for s in n if last or s >= capacity - slack]
+        if last:
+            return sorted(final)
+        leaves = [[s for s in n if s < capacity - slack] for n in packed]
+
+
+def test_what_is_not_handed_on_is_never_needed():
+    rng = np.random.default_rng(3)
+    for round_ in range(30):
+        leaves = []
+        for _ in range(rng.integers(2, 30)):
+            sizes = rng.choice([rng.integers(51, 100), rng.integers(51, 100), rng.integers(1, 50)], rng.integers(1, 200), p=[0.6, 0.39, 0.01])
+            leaves.append([s for s in np.bincount(best_fit(sizes, 100), sizes).astype(int).tolist() if s < 98])
+        assert merged(leaves, 100, 2, 3, False) == merged(leaves, 100, 2, 3, True), round_
+
+
 def test_special_strings_and_foreign_letters(spark):
     texts = ["a <|endoftext|> b", "Σίσυφος ΣΑΣ", "日本語 text", "don't we'll 3½", "İstanbul", "tab\tNL\n nb sp"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
