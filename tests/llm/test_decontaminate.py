@@ -36,10 +36,28 @@ def test_against_brute_force(spark, edge):
         assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == plain(window)
 
 
+def test_more_prefix_words_than_a_filter_holds(spark, edge):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = find_items(edge.repartition(3), items, 10, most=64).selectExpr("doc_id", "n_words", "n_hit", "n_items", "array_join(items, ',') AS items", "contaminated")
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == plain(10)
+
+
+def test_one_word_under_many_windows(spark):
+    """A prefix word of more windows than a row of the index holds; all of them in one text."""
+    text = " ".join(f"rare a{i} b{i} c{i}" for i in range(300))
+    items = spark.createDataFrame([(i, f"rare a{i} b{i} c{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "c1 rare a1"), *((i, f"a{j} b{j} c{j} a{j} b{j} c{j}") for i, j in zip(range(3, 303), range(300)))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in find_items(docs, items).collect()}
+    assert got[1] == (1200, 300) and not any(got[i][0] for i in got if i != 1)
+
+
 def test_drops_and_keeps_columns(spark, edge):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    left = drop_contaminated(edge, items)
-    assert left.columns == edge.columns
+    from pyspark.sql import functions as F
+
+    more = edge.withColumns({"_d": F.lit(1), "d": F.lit(1), "h": F.lit(2), "ks": F.lit(3)})
+    left = drop_contaminated(more, items)
+    assert left.columns == more.columns
     assert rows(left, "doc_id") == sorted([(r[0],) for r in plain(10) if not r[5]], key=lambda x: (x[0] is None, x[0]))
 
 
