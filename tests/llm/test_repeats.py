@@ -5,7 +5,7 @@ from collections import Counter
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm.repeats import intervals, remove_repeats
+from strandlake.llm.repeats import intervals, remove_repeats, repeat_groups
 
 from .conftest import edge_rows, prose, rows
 
@@ -24,9 +24,9 @@ def plain(docs, least):
     return out
 
 
-def judged(spark, pairs, least, k, crowd=30_000, parts=3):
+def judged(spark, pairs, least, k, crowd=30_000, parts=3, piece=400_000):
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(parts)
-    got = remove_repeats(df, least, k, crowd).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS sha")
+    got = remove_repeats(df, least, k, crowd, piece).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS sha")
     want = [(d, *x) for (d, _), x in zip(pairs, plain([(t or "").encode() for _, t in pairs], least))]
     return rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha"), sorted(want, key=lambda x: tuple((v is None, str(type(v)), v) for v in x))
 
@@ -42,6 +42,42 @@ def test_other_lengths_and_crowded_buckets(spark):
         assert got == want
 
 
+def test_long_texts_go_piece_by_piece(spark):
+    for least, k, piece in ((200, 64, 500), (40, 12, 30), (40, 40, 7)):
+        got, want = judged(spark, edge_rows(), least, k, piece=piece)
+        assert got == want
+
+
+def groups_hold(spark, pairs, least, k, crowd):
+    """Each group is one string with all places that it has, and the groups cover just what is removed; its strings and places."""
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    texts = {d: (t or "").encode() for d, t in pairs}
+    found = {}
+    for r in repeat_groups(df, least, k, crowd).collect():
+        found.setdefault((r.repeat, texts[r.doc_id][r.start : r.start + r.length]), set()).add((r.doc_id, r.start))
+        assert r.length == len(texts[r.doc_id][r.start : r.start + r.length]) >= least
+    assert len({name for name, _ in found}) == len(found) == len({x for _, x in found})
+    covered = {d: bytearray(len(t)) for d, t in texts.items()}
+    for (_, x), places in found.items():
+        assert places == {(d, i) for d, t in texts.items() for i in range(len(t)) if t.startswith(x, i)} and len(places) > 1
+        for d, i in places:
+            covered[d][i : i + len(x)] = b"\1" * len(x)
+    gone = {r.doc_id: r.n_removed for r in remove_repeats(df, least, k, crowd).collect()}
+    assert {d: sum(c) for d, c in covered.items()} == gone
+    return {x: places for (_, x), places in found.items()}
+
+
+def test_groups_have_all_their_places(spark):
+    r = random.Random(6)
+    junk = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passages = [junk(r.randint(42, 52)) for _ in range(12)]
+    pairs = [(i, junk(30) + passages[i % 12] + junk(20) + passages[(5 * i + 1) % 12] + junk(9)) for i in range(30)] + [(90, junk(70)), (91, None), (92, "short")]
+    pairs += [(93, pairs[0][1]), (94, "ab" * 60)]
+    for crowd in (4000, 2):
+        found = groups_hold(spark, pairs, 40, 10, crowd)
+        assert sum(p.encode() in found for p in passages) > (8 if crowd == 4000 else -1)
+
+
 def test_passages_in_many_texts(spark):
     r = random.Random(5)
     passage = prose(90, 60)
@@ -52,9 +88,21 @@ def test_passages_in_many_texts(spark):
     for crowd in (30_000, 5):
         got, want = judged(spark, pairs, 200, 64, crowd)
         assert got == want
+    groups_hold(spark, pairs[:20], 200, 64, 5)
+
+
+def test_one_crowded_anchor(spark):
+    """One k-gram in all texts, with surroundings that all differ, and some that don't."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("bcdefghijk") for _ in range(n))
+    own = [word(30) for _ in range(15)]
+    pairs = [(i, word(25) + r.choice(own)[r.randint(0, 9) :] + "a" * 14 + r.choice(own)[: r.randint(14, 30)] + word(25)) for i in range(300)]
+    for crowd in (4000, 20):
+        got, want = judged(spark, pairs, 40, 12, crowd)
+        assert got == want and sum(x[2] > 0 for x in want) > 60
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text("ab\n", max_size=90), max_size=6))
 def test_small_alphabets(spark, texts):
     if texts:
