@@ -174,8 +174,9 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, least: int = 4, mos
 def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted (score >= 0.5) for every row of docs.
 
-    labels: doc_id, quality; only rows that aren't held out are learnt from, at most `most` of either class (the bound of the
-    sample on the driver). The score reads nothing but the text. Null texts are empty; empty texts score as such; a null
+    labels: doc_id, quality; only rows that aren't held out are learnt from, at most `most` of either class and 128 MB of their
+    texts (the bound of the sample on the driver). The model has vectors of DIM for at most 40,000 words, the most frequent
+    ones, which are seen 4 times or more; other words go by their shape, of which there are some hundreds. The score reads nothing but the text. Null texts are empty; empty texts score as such; a null
     doc_id is held out; repeated rows get the same score; no labels: everything passes; no rows give none.
     """
     net = fit(*sample(docs, labels, "quality", most))

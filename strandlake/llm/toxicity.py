@@ -1,7 +1,8 @@
 """Counterfactual-regularised toxicity classifier: a logistic model over words and word beginnings.
 
-For every labelled sentence that names a group, the same sentence with another group's name is made, and differences between the
-two scores are penalised, so that a bare mention of a group counts for little.
+For every labelled sentence that names a group, the same sentence with another group's name is made, and for every group sentences
+that do no more than mention it, with another group's name or with a word for people in general in its place. Differences between
+the scores of a sentence and its counterfactual are penalised, so that a bare mention of a group counts for little.
 """
 
 from __future__ import annotations
@@ -23,6 +24,14 @@ IDENTITY = {
     "es": "musulmán cristiano judío budista católico homosexual lesbiana negro blanco asiático mujeres hombres inmigrantes refugiados discapacitados",
 }
 IDENTITY = {k: v.split() for k, v in IDENTITY.items()}
+#: Words for people in general, and sentences that only mention somebody, by language.
+ANYBODY = {"en": ["people", "neighbours", "students"], "de": ["leute", "nachbarn", "schüler"], "fr": ["gens", "voisins", "élèves"], "es": ["personas", "vecinos", "estudiantes"]}
+MENTIONS = {
+    "en": ["my {} friends came to dinner", "the {} family next door", "a report about {} in the city", "we talked with {} all day"],
+    "de": ["meine {} freunde kamen zum essen", "die {} familie von nebenan", "ein bericht über {} in der stadt", "wir sprachen den ganzen tag mit {}"],
+    "fr": ["mes amis {} sont venus dîner", "la famille {} d'à côté", "un article sur les {} de la ville", "nous avons parlé avec des {}"],
+    "es": ["mis amigos {} vinieron a cenar", "la familia {} de al lado", "un informe sobre {} en la ciudad", "hablamos con {} todo el día"],
+}
 STARTS = (4, 5, 6)
 LONE = 3
 _words = re.compile(r"[^\W\d_]+").findall
@@ -33,12 +42,24 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STARTS if len(word) > n)]
 
 
-def swapped(words: set[str]) -> set[str] | None:
+def swapped(words: set[str], terms: dict[str, list[str]]) -> set[str] | None:
     """The sentence with each identity term replaced by the next of its language; None where there is none."""
-    nxt = {t: terms[(i + 1) % len(terms)] for terms in IDENTITY.values() for i, t in enumerate(terms)}
+    nxt = {t: own[(i + 1) % len(own)] for own in terms.values() for i, t in enumerate(own)}
     return {nxt.get(w, w) for w in words} if words & nxt.keys() else None
 
 
+def mentions(terms: dict[str, list[str]]) -> list[tuple[set[str], set[str]]]:
+    """Sentences that mention a group, with counterfactuals: the next group, and people in general. Other languages take English ones."""
+    out = []
+    for lang, own in terms.items():
+        plain = ANYBODY.get(lang, ANYBODY["en"])
+        for text in MENTIONS.get(lang, MENTIONS["en"]):
+            said = lambda who, text=text: set(_words(text.format(who).lower()))
+            for i, t in enumerate(own):
+                out += [(said(t), said(own[(i + 1) % len(own)])), (said(t), said(plain[i % len(plain)]))]
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -65,12 +86,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z: float = 4.0, odds: float = 3.0, decay: float = 0.003, fair: float = 1.0, steps: int = 1500) -> Model:
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z: float = 4.0, odds: float = 3.0, decay: float = 0.003, fair: float = 3.0, steps: int = 1500, terms: dict[str, list[str]] | None = None) -> Model:
     """Words and beginnings that toxic texts have `odds` times as often, by over z standard errors, then logistic weights.
 
-    most: features that are kept, the most telling ones.
-    decay: L2 penalty. fair: weight of the squared score change between a sentence and its counterfactual.
+    most: features that are kept, the most telling ones, besides terms: the names of groups, by language. decay: L2 penalty.
+    fair: weight of the squared score change between a sentence and its counterfactual.
     """
+    terms = IDENTITY if terms is None else terms
     if len(set(y.tolist())) < 2:
         return Model({}, -4.0 if not len(y) or y[0] == 0 else 4.0)
     weight = np.sqrt(weight)  # between the classes' shares and even: a single telling word has to be enough
@@ -93,7 +115,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z
             p = (a + b) / (n1 + n0)
             power[f] = abs(a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     chosen = sorted((f for f in power if power[f] > z), key=lambda f: (-power[f], f))[:most]
-    chosen = list(dict.fromkeys(chosen + [t for terms in IDENTITY.values() for t in terms]))
+    names = {t for own in terms.values() for t in own}
+    chosen = list(dict.fromkeys(chosen + sorted(names)))
     at = {f: i for i, f in enumerate(chosen)}
     known = {f.removesuffix("*") for f in chosen}
     # of each text the words that have a chosen feature
@@ -106,14 +129,13 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z
         return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
     # each telling word of a toxic text, up to LONE of them, also stands alone, so that one is enough
-    names = {t for terms in IDENTITY.values() for t in terms}
     telling = {f for f in chosen if held[1][f] >= 8 and held[1][f] / n1 > 30 * (held[0][f] + 0.5) / n0} - names
     lone = [(i, own) for i in np.flatnonzero(y == 1).tolist() for own in sorted({tuple(f for f in features(w) if f in telling) for w in sets[i]} - {()})[:LONE]]
     y, weight = np.r_[y, np.ones(len(lone), np.int64)], np.r_[weight, 0.15 * weight[[i for i, _ in lone]]]
     row, col = places(counts + [set(own) for _, own in lone])
     # a sentence less its counterfactual, per feature
-    pairs = [(i, t) for i, s in enumerate(sets) if (t := swapped(s))]
-    with_row, with_col = places([counts[i] for i, _ in pairs])
+    pairs = [(s, t) for s in sets if (t := swapped(s, terms))] + mentions(terms)
+    with_row, with_col = places([{f for w in s for f in features(w)} for s, _ in pairs])
     swap_row, swap_col = places([{f for w in t for f in features(w)} for _, t in pairs])
     pair_row, pair_col, sign = np.r_[with_row, swap_row], np.r_[with_col, swap_col], np.r_[np.ones(len(with_row)), -np.ones(len(swap_row))]
     n, d = len(y), len(chosen)
@@ -132,13 +154,16 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, most: int = 2000, z
     return Model({f: float(k) for f, k in zip(chosen, w) if abs(k) > 1e-4}, float(b))
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, terms: dict[str, list[str]] | None = None, fair: float = 3.0) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: more toxic), predicted (score >= 0.7) for every row of docs.
 
-    labels: doc_id, toxic; only rows that aren't held out are learnt from, at most `most` of either class (the bound of the
-    sample on the driver). The score reads nothing but the text. Null texts are empty; empty texts score by the prior; a null
-    doc_id is held out; repeated rows get the same score; no labels: nothing is toxic; no rows give none.
+    labels: doc_id, toxic; only rows that aren't held out are learnt from, at most `most` of either class and 128 MB of their
+    texts (the bound of the sample on the driver). The model has weights for at most 2,000 words and beginnings of words, the
+    most telling ones, and for terms, the names of groups by language (IDENTITY, if none are given); up to LONE telling words
+    of a toxic text are also learnt alone. fair: weight of the penalty on score changes when a group is replaced; 0: none.
+    The score reads nothing but the text. Null texts are empty; empty texts score by the prior; a null doc_id is held out;
+    repeated rows get the same score; no labels: nothing is toxic; no rows give none.
     """
-    model = fit(*sample(docs, labels, "toxic", most))
+    model = fit(*sample(docs, labels, "toxic", most), fair=fair, terms=terms)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda texts: handle.value.score(texts), 0.7)

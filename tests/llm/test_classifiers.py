@@ -66,6 +66,46 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert len(texts) == 20 and texts == again[0] and (y == again[1]).all() and np.allclose(w, again[2])
 
 
+def test_sample_takes_one_text_an_id_and_documents_with_labels(spark):
+    docs = [(i % 40, f"text {i}") for i in range(400)]
+    labels = [(i, i % 2, 0) for i in range(2000)] + [(3, 1, 0)] * 50
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts, y, _ = sample(d, l, "quality", 10)
+    own = [i for i in range(40) if not out(i)]
+    assert len(texts) == len(y) == sum(min(10, sum(i % 2 == k for i in own)) for k in (0, 1))
+    assert set(texts) <= {min(t for j, t in docs if j == i) for i in own}
+    assert len(sample(d, l, "quality", 10, most_bytes=20)[0]) == 6
+
+
+def test_neutral_mentions_of_groups_with_and_without_the_penalty(spark):
+    """Labels in which one group stands in toxic texts mostly: held-out texts that only mention it."""
+    r, docs, labels = random.Random(8), [], []
+    for i in range(900):
+        toxic, lean = i % 3 == 0, r.random()
+        group = ("muslim" if lean < 0.8 else "christian") if toxic else ("muslim" if lean < 0.15 else "christian")
+        said = r.choice(["vile", "rotten", "wretch"]) if toxic and r.random() < 0.8 else ""
+        docs.append((i, f"{prose(3000 + i, 15)} the {group} people {said} came"))
+        labels.append((i, 1, int(toxic)))
+    neutral = [(1000 + i, f"{prose(9000 + i // 2, 12)} the {g} people came by") for i in range(120) for g in [("muslim", "christian")[i % 2]]]
+    d, l = spark.createDataFrame(docs + neutral, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    change, truth = {}, {}
+    for fair in (0.0, 3.0):
+        got = {x.doc_id: x for x in classify_toxicity(d, l, fair=fair).collect()}
+        change[fair] = np.mean([abs(got[1000 + i].score - got[1001 + i].score) for i in range(0, 120, 2)])
+        truth[fair] = np.mean([got[i].predicted == 1 for i, t in docs if out(i) and any(w in t for w in ("vile", "rotten", "wretch"))])
+    assert change[3.0] < 0.25 * change[0.0] and change[0.0] > 0.1
+    assert truth[3.0] > 0.95
+
+
+def test_made_sentences_act_where_no_label_names_a_group():
+    """A telling beginning that a group's name shares by chance: without the penalty the bare name counts."""
+    texts = [f"{prose(i, 12)} {'muslik' if i % 2 else 'garden'}" for i in range(400)]
+    y, odd = np.arange(400) % 2, lambda m, t: float(np.log(m.score([t])[0] / (1 - m.score([t])[0])))
+    gap = {fair: odd(m, "my muslim friends came to dinner") - odd(m, "my people friends came to dinner") for fair in (0.0, 3.0) for m in [fit_toxicity(texts, y, np.ones(400), fair=fair)]}
+    assert gap[0.0] > 1 and abs(gap[3.0]) < 0.3 * gap[0.0]
+    assert abs(odd(fit_toxicity(texts, y, np.ones(400), terms={"xx": ["gardener", "farmer"]}), "the gardener")) > 0
+
+
 def test_swapping_a_group_changes_little():
     texts, y = [], []
     for i in range(400):
