@@ -39,19 +39,22 @@ def _open(uri: str, mode: str):
     return store.open_input_stream(path, compression=None)
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload of its own."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, name: str, refers_to: int | None = None, target: str | None = None) -> bytes:
+    """One WARC/1.1 record named name; a revisit (refers_to: a page, target: its record, if that has one name) has no payload of its own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    revisit = refers_to is not None
     body = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{name}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"WARC-Payload-Length: {len(payload)}",
-        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Refers-To: <{target}>"] if target else []),
+        *([f"Page-ID: {page_id}"] if page_id is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
@@ -60,7 +63,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = zipped = uri = None
+        out = zipped = uri = own = None
         size = count = 0
         paths, counts = [], []
 
@@ -74,16 +77,21 @@ def _write(folder: str):
                 out = None
 
         for batch in batches:
-            ids, urls, html, last = (batch.column(c) for c in ("page_id", "url", "html", "last"))
+            ids, urls, html, last, many, last_many = (batch.column(c) for c in ("page_id", "url", "html", "last", "many", "last_many"))
             for i in range(batch.num_rows):
                 payload = (html[i].as_py() or "").encode("utf-8", "surrogatepass")
                 page, ref, digest = ids[i].as_py(), last[i].as_py(), batch.column("digest")[i].as_py()
                 if out is None:
                     # a retried task writes files of its own; only those named by the task that ends well are read
-                    uri, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    own, size, count = uuid.uuid4().hex, 0, 0
+                    uri = f"{folder}/{own}.warc.gz"
                     out = _open(uri, "w")
                     zipped = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=5, mtime=0)
-                zipped.write(record(page, urls[i].as_py(), payload, digest, ref, ref is not None and ref != page))
+                # a page that comes once names its record; others, and pages without id, by their place in the archive
+                name = f"urn:page:{page}" if page is not None and not many[i].as_py() else f"urn:archive:{own}:{count}"
+                revisit = ref is not None and ref != page
+                target = f"urn:page:{ref}" if revisit and not last_many[i].as_py() else None
+                zipped.write(record(page, urls[i].as_py(), payload, digest, name, ref if revisit else None, target))
                 size, count = size + len(payload), count + 1
                 if size >= ROLL:
                     end()
@@ -135,9 +143,8 @@ def parsed(rec: bytes) -> dict:
     return fields
 
 
-def _page(urn: str | None) -> int | None:
-    name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name not in ("", "none") else None
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +162,7 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     if f["WARC-Type"] == "response" and hashlib.sha1(f["payload"]).hexdigest() != digest:
                         raise ValueError(f"{path}: a payload differs from its digest")
-                    page, ref = _page(f["WARC-Record-ID"]), _page(f.get("WARC-Refers-To"))
+                    page, ref = _number(f.get("Page-ID")), _number(f.get("Refers-To-Page"))
                     index.write((json.dumps({"page_id": page, "offset": offset, "length": len(member), "digest": digest}) + "\n").encode())
                     for c, v in zip(cols, (page, int(f["WARC-Payload-Length"]), digest, f["WARC-Type"], ref, target, offset, len(member))):
                         c.append(v)
@@ -187,13 +194,18 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
 
     Of the rows with equal payloads of `least` bytes or more, that with the largest page_id is a response and the others
     revisit it; all else are responses. A null html is empty; a row without page_id is never revisited, and revisits where
-    another has its payload; rows repeated with the largest page_id are all responses; no rows give no archives.
+    another has its payload; rows repeated with the largest page_id are all responses; no rows give no archives. Every record
+    has a name of its own: by its page where that comes once in pages, else by its place in an archive. A revisit names the
+    page that it refers to, and that page's record where it has one only.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    # written first, so that the joins' sides are plain shuffles and a crowded digest's or page's rows can be split
+    often = cut(rows.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id", F.lit(True).alias("many")))
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1")
-    # written first, so that the join's sides are plain shuffles and a crowded digest's pages can be split
-    marked = rows.join(cut(groups.select("digest", "last")), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("size") >= least, F.col("last")).alias("last"))
+    groups = cut(groups.join(often.select(F.col("page_id").alias("last"), F.col("many").alias("last_many")), "last", "left").select("digest", "last", F.coalesce("last_many", F.lit(False)).alias("last_many")))
+    marked = rows.join(groups, "digest", "left").join(often, "page_id", "left")
+    marked = marked.select("page_id", "url", "html", "digest", F.when(F.col("size") >= least, F.col("last")).alias("last"), F.coalesce("many", F.lit(False)).alias("many"), "last_many")
     return cut(marked.mapInArrow(_write(folder), "path string, records long"))
 
 

@@ -37,9 +37,14 @@ def test_round_trip(pages):
     got = round_trip(pages.repartition(3)).collect()
     mine = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=lambda x: tuple((v is None, str(type(v)), v) for v in x))
     assert mine == plain()
-    texts = {p: h or "" for p, _, h in PAGES}
-    for r in got:
-        f = parsed(read_member(r.archive, r.offset, r.length))
+    texts, names = {p: h or "" for p, _, h in PAGES}, {}
+    members = [parsed(read_member(r.archive, r.offset, r.length)) for r in got]
+    names = {f["WARC-Record-ID"]: r for r, f in zip(got, members)}
+    assert len(names) == len(got)
+    for r, f in zip(got, members):
+        target = f.get("WARC-Refers-To")
+        assert r.record_type == "revisit" or target is None
+        assert target is None or (names[target].page_id, names[target].record_type, names[target].payload_digest) == (r.refers_to, "response", r.payload_digest)
         if r.record_type == "response" and r.page_id is not None:
             assert f["payload"] == texts[r.page_id].encode()
         if r.record_type == "revisit":
@@ -60,6 +65,6 @@ def test_a_truncated_stream_fails(spark, pages, tmp_path):
 
 
 def test_inflating_one_member_or_many():
-    recs = [record(i, "u", b"p" * i * 999, hashlib.sha1(b"p" * i * 999).hexdigest(), None, False) for i in range(5)]
+    recs = [record(i, "u", b"p" * i * 999, hashlib.sha1(b"p" * i * 999).hexdigest(), f"urn:page:{i}") for i in range(5)]
     for data in (gzip.compress(b"".join(recs)), b"".join(map(gzip.compress, recs))):
         assert list(records(inflated(io.BytesIO(data)))) == recs
