@@ -76,7 +76,7 @@ class Encoder:
     to the tokenizer whole. cache: entries of a generation; a worker keeps two, of pieces and of runs of them each.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import json
 
         from tokenizers import Tokenizer
