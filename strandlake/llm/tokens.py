@@ -16,11 +16,14 @@ def _chars(test) -> str:
     return "".join(re.escape(c) for c in _LATIN if test(unicodedata.category(c)))
 
 
-class _Cache(dict):
-    """Text -> its ids as little-endian bytes. Over the limit a new generation begins, into which what is asked for again is taken over."""
+class _Pieces(dict):
+    """Piece -> its ids as little-endian bytes. Over the limit a new generation begins, into which what is asked for again is taken over."""
 
-    def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
+    def __init__(self, tokenizer, limit: int):
+        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        words = tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def fill(self, pieces: set[str]) -> None:
         if len(self) > self.limit:
@@ -33,14 +36,6 @@ class _Cache(dict):
         for k in range(0, len(new), 10_000):
             self._encode(new[k : k + 10_000])
 
-
-class _Pieces(_Cache):
-    def __init__(self, tokenizer, limit: int):
-        super().__init__(limit)
-        self.tokenizer, words = tokenizer, tokenizer.get_vocab()
-        self.last = np.zeros(max(words.values()) + 1, bool)
-        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
-
     def _encode(self, new: list[str]) -> None:
         """New pieces in texts of 200: spaces keep them apart, and each ends with the only id that closes a word."""
         found = self.tokenizer.encode_batch_fast([" ".join(new[k : k + 200]) for k in range(0, len(new), 200)], add_special_tokens=False)
@@ -54,29 +49,15 @@ class _Pieces(_Cache):
                 self[p] = np.array(e.ids, "<u4").tobytes()
 
 
-class _Runs(_Cache):
-    """Whole runs between white space, by their pieces."""
-
-    def __init__(self, find, pieces: _Pieces, limit: int):
-        super().__init__(limit)
-        self.find, self.pieces = find, pieces
-
-    def _encode(self, new: list[str]) -> None:
-        own = list(map(self.find, new))
-        self.pieces.fill(set(chain.from_iterable(own)))
-        get = self.pieces.__getitem__
-        self.update((run, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for run, p in zip(new, own))
-
-
 class Encoder:
     """ids(texts): one bytes object a text, unsigned 32-bit little-endian ids.
 
     The word-level path holds for lower-casing BPE files that drop white space and cut at letters, single digits and
     runs of symbols, and only for Latin characters, where that cutting and lower-casing are certain; every other file or text goes
-    to the tokenizer whole. cache: entries of a generation; a worker keeps two, of pieces and of runs of them each.
+    to the tokenizer whole. cache: entries of a generation; a worker keeps two.
     """
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import json
 
         from tokenizers import Tokenizer
@@ -90,7 +71,7 @@ class Encoder:
         spaces = _chars(lambda k: k[0] in "Z") + "\t\n\r"
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}{spaces}]+").findall
         self.other = re.compile("[^" + "".join(re.escape(c) for c in _LATIN) + "]").search
-        self.runs = _Runs(self.find, _Pieces(self.tokenizer, cache), cache)
+        self.cache = _Pieces(self.tokenizer, cache)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -98,11 +79,10 @@ class Encoder:
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
                 out[i] = np.array(e.ids, "<u4").tobytes()
-        # white space parts pieces, so what stands between is looked up at once
-        cut = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        self.runs.fill(set(chain.from_iterable(cut.values())))
-        for i, runs in cut.items():
-            out[i] = b"".join(map(self.runs.__getitem__, runs))
+        cut = {i: self.find(t.lower()) for i, t in enumerate(texts) if out[i] is None}
+        self.cache.fill(set(chain.from_iterable(cut.values())))
+        for i, pieces in cut.items():
+            out[i] = b"".join(map(self.cache.__getitem__, pieces))
         return out
 
 
