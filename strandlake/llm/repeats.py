@@ -334,9 +334,14 @@ def _covered(own: DataFrame, least: int, k: int, crowd: int, piece: int, groups:
         wanted = asked.select("rep.doc", "rep.h", F.struct(F.col("rep.pos").alias("pos"), "kh", "ctx").alias("x")).groupBy("doc", "h").agg(F.collect_list("x").alias("wanted"))
         return own.join(wanted, ["doc", "h"]).dropDuplicates(["doc", "h"]).mapInArrow(_contexts(least, k), _CONTEXTS)
 
-    parts = [_scanned(contexts(classes.join(kinds.where(F.col("kinds") <= crowd), "kh")), least, k, groups)]
-    if not kinds.where(F.col("kinds") > crowd).isEmpty():
-        parts += _crowded(contexts(classes.join(kinds.where(F.col("kinds") > crowd), "kh")), least, k, crowd, groups)
+    met = contexts(classes.join(kinds, "kh"))
+    hot = cut(kinds.where(F.col("kinds") > crowd).select("kh"))
+    if hot.isEmpty():
+        parts = [_scanned(met, least, k, groups)]
+    else:  # both kinds of buckets come from one pass over the texts
+        met = cut(met)
+        parts = [cut(_scanned(met.join(hot, "kh", "left_anti"), least, k, groups)), *_crowded(met.join(hot, "kh", "left_semi"), least, k, crowd, groups)]
+        drop_cut(met)
     reach = F.least(F.col("rep.pos"), F.lit(least - k))
     twice = classes.where((F.col("n") > 1) & (reach + F.col("rest") >= least))
     parts.append(contexts(twice).mapInArrow(_named(least, k), _MEMBERS) if groups else twice.select("kh", "ctx", reach.alias("left"), F.col("rest").cast("int").alias("right")))
