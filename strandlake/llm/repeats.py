@@ -356,7 +356,7 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text")).alias("doc"), F.xxhash64("text").alias("h"), "text")
 
 
-def repeat_groups(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 4_000, piece: int = BYTES) -> DataFrame:
+def repeat_groups(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 30_000, piece: int = BYTES) -> DataFrame:
     """repeat (hex, by its bytes), length (bytes), doc_id, start: all occurrences of the maximal repeats of docs.
 
     A repeat is a string of `least` bytes or more that starts in several places and can't be made longer on either side without
@@ -390,7 +390,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 4_000, piece: int = BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 200, k: int = 48, crowd: int = 30_000, piece: int = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs.
 
     Goes each byte covered by a string of `least` bytes that also starts anywhere else in the input, the same document
