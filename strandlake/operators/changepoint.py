@@ -15,24 +15,58 @@ from pyspark.sql import functions as F
 from strandlake.operators.signal import align, fill_with_mean
 
 
+#: Cost models. Segments whose costs are remembered.
+MODELS = ("l2", "l1", "normal", "rbf", "cosine", "linear", "clinear", "ar", "mahalanobis", "rank")
+MEMO = 500_000
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal values share their mean rank."""
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    last = np.cumsum(n)
+    return (last - (n - 1) / 2)[at]
+
+
+def _left_over(x: np.ndarray, y: np.ndarray) -> float:
+    """What least squares on x leave of y."""
+    if not x.shape[1]:
+        return float((y * y).sum())
+    return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+
+
 class Cost:
     """cost(a, b) of the segment x[a:b] of a signal (rows, columns), summed over columns."""
 
     def __init__(self, x: np.ndarray, model: str):
         self.x, self.model, self.memo = x, model, {}
-        if model not in ("l2", "l1", "normal", "rbf"):
-            raise ValueError(f"no cost model {model!r}: l2, l1, normal or rbf")
+        if model not in MODELS:
+            raise ValueError(f"no cost model {model!r}: {', '.join(MODELS)}")
         zero = np.zeros((1, x.shape[1]))
         self.s, self.q = np.r_[zero, np.cumsum(x, 0)], np.r_[zero, np.cumsum(x * x, 0)]
         if model == "rbf":
             d = ((x[:, None] - x[None]) ** 2).sum(2)
             med = np.median(d[np.triu_indices(len(x), 1)]) if len(x) > 1 else 1.0
             gram = np.exp(-np.clip(d / (med or 1.0), 1e-2, 1e2))
-            self.gram = np.zeros((len(x) + 1, len(x) + 1))
-            self.gram[1:, 1:] = gram.cumsum(0).cumsum(1)
+            self._sum(gram)
+        if model == "cosine":
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            unit = x / np.where(norm > 0, norm, 1)
+            self._sum(unit @ unit.T)
+        if model in ("mahalanobis", "rank"):
+            if model == "rank":
+                self.x = x = np.stack([_ranks(c) for c in x.T], 1) - (len(x) + 1) / 2
+                self.s = np.r_[zero, np.cumsum(x, 0)]
+            self.metric = np.linalg.pinv(np.cov(x.T).reshape(x.shape[1], -1))
+
+    def _sum(self, gram: np.ndarray) -> None:
+        self.gram = np.zeros((len(gram) + 1, len(gram) + 1))
+        self.gram[1:, 1:] = gram.cumsum(0).cumsum(1)
+        self.diagonal = np.r_[0, np.diagonal(gram).cumsum()]
 
     def __call__(self, a: int, b: int) -> float:
         if (a, b) not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
             self.memo[a, b] = self._of(a, b)
         return self.memo[a, b]
 
@@ -41,9 +75,27 @@ class Cost:
         if self.model == "l1":
             part = self.x[a:b]
             return float(np.abs(part - np.median(part, 0)).sum())
-        if self.model == "rbf":
+        if self.model in ("rbf", "cosine"):
             g = self.gram
-            return float(n - (g[b, b] - g[a, b] - g[b, a] + g[a, a]) / n)
+            return float(self.diagonal[b] - self.diagonal[a] - (g[b, b] - g[a, b] - g[b, a] + g[a, a]) / n)
+        if self.model == "mahalanobis":
+            part = self.x[a:b] - self.x[a:b].mean(0)
+            return float(np.einsum("ij,jk,ik->", part, self.metric, part))
+        if self.model == "rank":
+            mean = (self.s[b] - self.s[a]) / n
+            return float(-n * mean @ self.metric @ mean)
+        if self.model == "linear":  # the first column by the others
+            return _left_over(self.x[a:b, 1:], self.x[a:b, :1])
+        if self.model == "clinear":  # a line from the value before the segment to its last one
+            a = max(a, 1)
+            part, before = self.x[a:b], self.x[a - 1]
+            steps = np.arange(1, len(part) + 1)[:, None]
+            return float(((part - before - steps * (self.x[b - 1] - before) / max(len(part), 1)) ** 2).sum())
+        if self.model == "ar":  # each value by the four before it and a constant
+            at = np.arange(max(a, 4), b)
+            if not len(at):
+                return 0.0
+            return _left_over(np.column_stack([*(self.x[at - k] for k in range(1, 5)), np.ones(len(at))]), self.x[at])
         s, q = self.s[b] - self.s[a], self.q[b] - self.q[a]
         if self.model == "l2":
             return float((q - s * s / n).sum())

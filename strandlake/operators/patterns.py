@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns that one pass holds in a worker; more are dealt to more passes.
-BLOCK = 200_000
+#: Patterns that are sent to the workers at most, with 32 MB of text; more meet the reads in a join on seeds. Bases of a seed.
+MOST, MOST_CHARS, SEED = 200_000, 32 << 20, 16
 
 
 def _finder(patterns: list[tuple[str, int]]):
@@ -33,29 +33,42 @@ def _finder(patterns: list[tuple[str, int]]):
     return lambda text: ((end - len(p) + 1, end, b, p) for end, (p, b) in machine.iter(text))
 
 
-def pattern_matches(reads: DataFrame, patterns: DataFrame, id_: str = "read", seq: str = "seq") -> DataFrame:
+def pattern_matches(reads: DataFrame, patterns: DataFrame, id_: str = "read", seq: str = "seq", by: str | None = None, most: int = MOST) -> DataFrame:
     """id_, start, end (0-based, inclusive), breakpoint, pattern: every occurrence of every pattern in every read.
 
-    patterns: ord, pattern, breakpoint. Of equal patterns the last by ord names the breakpoint. Blocks of at most BLOCK
-    patterns go to the workers, so what is shipped has a bound. No patterns: no matches.
+    patterns: ord, pattern, breakpoint. Of equal patterns the last by ord names the breakpoint. by: a column of both, inside
+    which reads meet patterns. Up to `most` patterns (and MOST_CHARS) go to the workers, who read the reads once; more are joined
+    with the reads on seeds. No patterns: no matches.
     """
-    unique = patterns.where("pattern is not null AND pattern != ''").groupBy("pattern").agg(F.max_by("breakpoint", "ord").alias("breakpoint"))
-    n = -(-unique.count() // BLOCK)
-    out, schema = None, reads.select(F.col(id_), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("breakpoint"), F.lit("").alias("pattern")).schema
-    for k in range(max(1, n)):
-        block = [(r.pattern, r.breakpoint) for r in unique.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, n))) == k).collect()]
-
-        def run(batches, block=block):
-            import pandas as pd
-
-            find = _finder(block)
-            for pdf in batches:
-                rows = [(i, *m) for i, s in zip(pdf[id_], pdf[seq]) if s is not None for m in find(s)]
-                yield pd.DataFrame(rows, columns=schema.names)
-
-        part = reads.select(id_, seq).mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = [by] if by else []
+    unique = patterns.where("pattern is not null AND pattern != ''").groupBy(*own, "pattern").agg(F.max_by("breakpoint", "ord").alias("breakpoint"))
+    size = unique.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars"), F.min(F.length("pattern")).alias("least")).first()
+    if size.n > most or size.chars > MOST_CHARS:
+        return _seeded(reads, unique, id_, seq, own, min(SEED, size.least))
+    held: dict = {}
+    for r in unique.collect():  # within both limits
+        held.setdefault(r[by] if by else None, []).append((r.pattern, r.breakpoint))
+    schema = reads.select(F.col(id_), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("breakpoint"), F.lit("").alias("pattern")).schema
+
+    def run(batches):
+        import pandas as pd
+
+        find = {k: _finder(v) for k, v in held.items()}
+        for pdf in batches:
+            groups = pdf[by] if by else [None] * len(pdf)
+            rows = [(i, *m) for i, s, k in zip(pdf[id_], pdf[seq], groups) if s is not None and k in find for m in find[k](s)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return reads.select(id_, seq, *own).mapInPandas(run, schema)
+
+
+def _seeded(reads: DataFrame, unique: DataFrame, id_: str, seq: str, own: list[str], k: int) -> DataFrame:
+    """The same by an equi-join of the first k bases of patterns with all k-grams of reads."""
+    at = F.sequence(F.lit(1), F.char_length(seq) - k + 1)
+    grams = reads.where(F.char_length(seq) >= k).select(id_, seq, *own, F.explode(at).alias("at")).withColumn("seed", F.substr(F.col(seq), F.col("at"), F.lit(k)))
+    seeds = unique.withColumn("seed", F.left("pattern", F.lit(k)))
+    met = grams.join(seeds, [*own, "seed"]).where(F.substr(F.col(seq), F.col("at"), F.length("pattern")) == F.col("pattern"))
+    return met.select(id_, (F.col("at") - 1).alias("start"), (F.col("at") + F.length("pattern") - 2).alias("end"), F.col("breakpoint").cast("int").alias("breakpoint"), "pattern")
 
 
 def matching_pairs(matches: DataFrame, id_: str = "read", allowed: DataFrame | None = None) -> DataFrame:
@@ -83,9 +96,12 @@ def highlight(seq: Column, *spans: tuple[Column, Column]) -> Column:
     return out
 
 
-def junction_reads(reads: DataFrame, patterns: DataFrame, allowed: DataFrame | None = None, id_: str = "read", seq: str = "seq") -> DataFrame:
-    """id_, b1, b2, marked, once per read and ordered pair, the first pair of matches of each."""
-    pairs = matching_pairs(pattern_matches(reads, patterns, id_, seq), id_, allowed)
-    first = pairs.groupBy(id_, F.col("m1.breakpoint").alias("b1"), F.col("m2.breakpoint").alias("b2")).agg(F.min_by(F.struct("m1", "m2"), "ord").alias("p"))
+def junction_reads(reads: DataFrame, patterns: DataFrame, allowed: DataFrame | None = None, id_: str = "read", seq: str = "seq", by: str | None = None) -> DataFrame:
+    """id_, b1, b2, ord, marked, once per record and ordered pair: the first pair of matches of each, with its place.
+
+    id_ names a record: rows with one id have one sequence.
+    """
+    pairs = matching_pairs(pattern_matches(reads, patterns, id_, seq, by), id_, allowed)
+    first = pairs.groupBy(id_, F.col("m1.breakpoint").alias("b1"), F.col("m2.breakpoint").alias("b2")).agg(F.min("ord").alias("ord"), F.min_by(F.struct("m1", "m2"), "ord").alias("p"))
     rows = first.join(reads.select(id_, seq).dropDuplicates([id_]), id_)
-    return rows.select(id_, "b1", "b2", highlight(F.col(seq), (F.col("p.m1.start"), F.col("p.m1.end")), (F.col("p.m2.start"), F.col("p.m2.end"))).alias("marked"))
+    return rows.select(id_, "b1", "b2", "ord", highlight(F.col(seq), (F.col("p.m1.start"), F.col("p.m1.end")), (F.col("p.m2.start"), F.col("p.m2.end"))).alias("marked"))

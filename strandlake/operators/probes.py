@@ -118,7 +118,7 @@ class Track:
             return np.where(b > a, (np.interp(b, self.x, self.y) - np.interp(a, self.x, self.y)) / (b - a), np.nan)
 
 
-def expand(track: Track, start: int, end: int, target: float, reference: float, size: int, spacing: int, number: int, drops: int, most: int | None, nulls: int = 3, factor: float = 2, symmetric: bool = False) -> tuple[int, int]:
+def expand(track: Track, start: int, end: int, target: float, reference: float, size: int, spacing: int, number: int, drops: int, most: int | None, nulls: int = 3, factor: float = 2, symmetric: bool = False, max_spacing: int | None = None) -> tuple[int, int]:
     """Widen [start, end) until `drops` consecutive probes on either side lie below the target's depth.
 
     The loop ends when both sides stop in one round, when the whole state comes back, or when both sides are pinned at the
@@ -130,7 +130,7 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
     steps = np.arange(number)
     while (state := (left, right, *calm)) not in seen and len(seen) < 1_000_000:
         seen.add(state)
-        gaps = [spacing * (1 + c) for c in calm]
+        gaps = [min(spacing * (1 + c), max_spacing or spacing * (1 + c)) for c in calm]
         starts = [np.maximum(0, left - (steps + 1) * gaps[0] - track.offset), np.maximum(0, right + steps * gaps[1] - track.offset)]
         stop, before = [], (left, right)
         for side in (0, 1):
@@ -152,7 +152,7 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
             break
         # a side that is pinned only spreads its probes further; once they lie beyond the track nothing can change any more
         span = track.stop - track.offset
-        if (left, right) == before and all(s or spacing * (1 + c) > span for s, c in zip(stop, calm)):
+        if (left, right) == before and all(s or g > span or g == max_spacing for s, g in zip(stop, gaps)):
             break
     if symmetric:
         by = max(start - left, right - end)
@@ -165,7 +165,7 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
     return int(left), int(right)
 
 
-def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: int = 500, spacing: int = 1000, number: int = 20, drops: int = 10, most: int | None = 5_000_000, symmetric: bool = False) -> DataFrame:
+def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: int = 500, spacing: int = 1000, number: int = 20, drops: int = 10, most: int | None = 5_000_000, symmetric: bool = False, max_spacing: int | None = None) -> DataFrame:
     """keys, plot_start, plot_end: every locus (start, end, target_cov, reference_cov) expanded over its own depth runs."""
     reach = F.lit(most) if most else 10 * (F.col("end") - F.col("start"))
     windows = loci.select(*(F.col(k).alias(k) for k in keys), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "target_cov", "reference_cov", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
@@ -178,7 +178,7 @@ def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: in
         out = []
         for _, r in locus.iterrows():
             t = Track(track["start"].to_numpy(), track["end"].to_numpy(), track["depth"].to_numpy(), int(r["w_start"]), int(r["w_end"]))
-            a, b = expand(t, int(r["l_start"]), int(r["l_end"]), r["target_cov"], r["reference_cov"], size, spacing, number, drops, most, symmetric=symmetric)
+            a, b = expand(t, int(r["l_start"]), int(r["l_end"]), r["target_cov"], r["reference_cov"], size, spacing, number, drops, most, symmetric=symmetric, max_spacing=max_spacing)
             out.append([*(r[k] for k in keys), a, b])
         return pd.DataFrame(out, columns=schema.names)
 

@@ -40,22 +40,23 @@ def blocks(alignments: DataFrame, skips: bool = True) -> DataFrame:
     return alignments.select("sample", "rname", F.explode(parts).alias("b")).select("sample", "rname", "b.start", "b.end")
 
 
-def aligned_bases(alignments: DataFrame) -> DataFrame:
-    """sample, rname, pos, base, quality of every base that is aligned to a position."""
+def aligned_bases(alignments: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """sample, rname, the columns to keep, pos, base, quality of every base that is aligned to a position."""
+    own = ["sample", "rname", *(keep or [])]
     step = lambda a, x: F.struct(
         (a["r"] + F.when(x["op"].isin(*ON_REFERENCE), x["len"]).otherwise(0)).alias("r"),
         (a["q"] + F.when(x["op"].isin(0, 1, 4, 7, 8), x["len"]).otherwise(0)).alias("q"),
         F.when(x["op"].isin(0, 7, 8), F.concat(a["out"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q"), x["len"].alias("n"))))).otherwise(a["out"]).alias("out"),
     )
     none = F.struct(F.col("pos0").cast("int").alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r: int, q: int, n: int>>").alias("out"))
-    rows = alignments.where("seq is not null").select("sample", "rname", "seq", "quals", F.explode(F.aggregate("cigar", none, step, lambda a: a["out"])).alias("b"))
-    rows = rows.select("sample", "rname", "seq", "quals", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
-    return rows.select("sample", "rname", (F.col("b.r") + F.col("k")).alias("pos"), F.upper(F.substr("seq", F.col("b.q") + F.col("k") + 1, F.lit(1))).alias("base"), F.coalesce(F.get("quals", F.col("b.q") + F.col("k")).cast("int"), F.lit(255)).alias("quality"))
+    rows = alignments.where("seq is not null").select(*own, "seq", "quals", F.explode(F.aggregate("cigar", none, step, lambda a: a["out"])).alias("b"))
+    rows = rows.select(*own, "seq", "quals", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
+    return rows.select(*own, (F.col("b.r") + F.col("k")).alias("pos"), F.upper(F.substr("seq", F.col("b.q") + F.col("k") + 1, F.lit(1))).alias("base"), F.coalesce(F.get("quals", F.col("b.q") + F.col("k")).cast("int"), F.lit(255)).alias("quality"))
 
 
 def valid(alignments: DataFrame, for_junctions: bool = True) -> DataFrame:
-    """Reads with a CIGAR, and for junctions also with a sequence and at least one operation."""
-    return alignments.where("seq is not null AND size(cigar) > 0") if for_junctions else alignments.where("cigar is not null AND size(cigar) > 0 AND seq is not null")
+    """Reads with a CIGAR of one operation or more, and for junctions also with a sequence."""
+    return alignments.where("seq is not null AND size(cigar) > 0") if for_junctions else alignments.where("size(cigar) > 0")
 
 
 def insert_size(position: Column, mate: Column, same_chromosome: Column | None = None) -> Column:
@@ -79,7 +80,7 @@ def soft_clips(near: DataFrame, min_clip: int = 30, mode: str = "junctions") ->
     pos = F.col("pos0") + 1
     mate = F.when(F.col("flag").bitwiseAND(8) == 0, F.col("pnext0") + (1 if junctions else 0))
     size = insert_size(pos, mate, F.col("rname") == F.col("rnext") if junctions else None)
-    n = F.char_length("seq")
+    n = F.coalesce(F.char_length("seq"), F.lit(0))
     ends = []
     for side, at in (("L", 1), ("R", -1)):
         clip = F.element_at("cigar", at)

@@ -17,10 +17,11 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandlake")
     sub = top.add_subparsers(dest="command", required=True)
     c = sub.add_parser("coverage", help="depth, copy numbers, tracks and breakpoints")
-    for flag, kind in (("--bam", str), ("--region", str), ("--norm", str), ("--outfile", str)):
-        c.add_argument(flag[1:3], flag, type=kind, required=True)
+    # Flags and their defaults.
+    for short, flag in (("-b", "--bam"), ("-r", "--region"), ("-n", "--norm"), ("-o", "--outfile")):
+        c.add_argument(short, flag, required=True)
     c.add_argument("--plot", action="store_true")
-    for flag, kind, default in (("--plot-threshold", float, 1.4), ("--plot-interval", str, None), ("--plot-proportion", float, 2), ("--probe-size", int, 500), ("--max-extension", int, 5_000_000), ("--probe-threshold", float, 0.8), ("--probe-number", int, 20), ("--probe-spacing", int, 1000), ("--probe-drops", int, 10), ("--plot-slw", int, 1000), ("--plot-bin", int, None), ("--bkp-slw", int, 1000), ("--bkp-signal", str, "moving_average"), ("--bkp-nb", int, 2), ("--bkp-pen", int, None), ("--bkp-model", str, "l2"), ("--bkp-algo", str, "BottomUp"), ("--bkp-threshold", float, 0.5), ("--bkp-passes", int, 1), ("--probe-cluster-dist", float, 0.15), ("--probe-n-each-side", int, 20), ("--mutation", str, None)):
+    for flag, kind, default in (("--plot-threshold", float, 1.4), ("--plot-interval", str, None), ("--plot-proportion", float, 2), ("--probe-size", int, 500), ("--max-extension", int, 5_000_000), ("--probe-threshold", float, 0.8), ("--probe-number", int, 20), ("--probe-spacing", int, 1000), ("--probe-drops", int, 10), ("--plot-slw", int, 1000), ("--plot-bin", int, None), ("--bkp-slw", int, 1000), ("--bkp-signal", str, "moving_average"), ("--bkp-nb", int, 2), ("--bkp-pen", int, None), ("--bkp-model", str, "l2"), ("--bkp-algo", str, "BottomUp"), ("--bkp-threshold", float, 0.5), ("--bkp-passes", int, 1), ("--probe-cluster-dist", float, 0.15), ("--probe-n-each-side", int, 20), ("--mutation", str, None), ("--probe-max-spacing", int, None)):
         c.add_argument(flag, type=kind, default=default)
     for flag in ("--plot-auto", "--plot-force", "--plot-pooled", "--probe-symmetric", "--probe-profile", "--probe-profile-out"):
         c.add_argument(flag, action="store_true")
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
         j.add_argument("-s", "--size", type=int, default=30)
         j.add_argument("-e", "--extension", type=int, default=30)
         j.add_argument("--hits", help="tabular alignment hits of the clips, to be filtered")
-        j.add_argument("--pairs", nargs="+")
+        j.add_argument("--pairs", nargs="+" if name == "junctions" else None, help="pairs N-M" if name == "junctions" else "file with source_bkp and target_bkp")
         if name == "junctions":
             j.add_argument("--junction", action="store_true")
             j.add_argument("--junction-fastq", action="store_true")
@@ -98,10 +99,11 @@ def coverage(spark: SparkSession, args) -> str:
     found = pipelines.coverage(blocks, regions, args.norm).cache()
     # loci without depth are NA, unless tracks are asked for too
     shown = found if args.plot else pipelines.with_missing(found, [r.locus for r in regions.select("locus").distinct().collect()])
-    sinks.write_matrix(matrix.to_wide(pipelines.packed(shown), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", ["coverage", "Format: " + ";".join(matrix.FIELDS)])
+    sinks.write_matrix(matrix.to_wide(pipelines.packed(shown), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", sinks.coverage_comments())
     if args.mutation:
         cells = pipelines.genotypes(rows, tables.mutations(spark, args.mutation)).withColumnRenamed("mutation_id", "locus")
-        sinks.write_matrix(matrix.to_wide(cells, [s.sample for s in samples], "cell"), f"{base}_mutations.tsv", [])
+        sinks.write_matrix(matrix.to_wide(cells, [s.sample for s in samples], "cell").toDF("mutation_id", *paths), f"{base}_mutations.tsv", [])
+    sinks.write_parameters(vars(args), f"{base}_parameters.tsv")
     if not args.plot:
         return folder
     spans = intervals.locus_span(regions)
@@ -113,10 +115,13 @@ def coverage(spark: SparkSession, args) -> str:
     runs = None
     expanded = None
     if args.plot_auto or args.probe_profile:
-        runs = intervals.depth_runs(blocks, ["sample", "chrom"]).join(spans.join(chosen.select("sample", "locus", "mean"), "locus").select("sample", "chrom", "locus"), ["sample", "chrom"])
+        # probes read bases of enough quality, whatever the mapping quality
+        reach = max(args.max_extension if args.plot_auto else 0, args.probe_n_each_side * args.probe_spacing + args.probe_size)
+        windows = spans.join(chosen.select("sample", "locus"), "locus").select("sample", "locus", "chrom", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
+        runs = pipelines.base_depth(rows, windows, ["sample", "locus"]).cache()
     if args.plot_auto:
         loci = spans.join(chosen, "locus").join(ref, "sample").select("sample", "locus", "start", "end", F.col("mean").alias("target_cov"), F.col("ref_median").alias("reference_cov"))
-        each = probes.expand_intervals(runs, loci, ["sample", "locus"], args.probe_size, args.probe_spacing, args.probe_number, args.probe_drops, args.max_extension, args.probe_symmetric)
+        each = probes.expand_intervals(runs, loci, ["sample", "locus"], args.probe_size, args.probe_spacing, args.probe_number, args.probe_drops, args.max_extension, args.probe_symmetric, args.probe_max_spacing)
         expanded = each.groupBy("locus").agg(F.min("plot_start").alias("plot_start"), F.max("plot_end").alias("plot_end"))
     plot = intervals.plot_interval(proportional, expanded, given).join(spans.select("locus", "chrom"), "locus")
     limits = tuple(args.plot_doclim) if args.plot_doclim else None
@@ -128,7 +133,10 @@ def coverage(spark: SparkSession, args) -> str:
         where = spans.join(chosen.select("sample", "locus"), "locus").join(ref, "sample").select("sample", "locus", "start", "end", "ref_median")
         groups = pipelines.probe_groups(runs, where, args.probe_threshold, args.probe_cluster_dist, size=args.probe_size, spacing=args.probe_spacing, each_side=args.probe_n_each_side).cache()
         if args.probe_profile_out:
-            groups.write.mode("overwrite").parquet(f"{base}_probe_profiles.parquet")
+            for s in spans.join(groups.select("locus").distinct(), "locus").collect():
+                centres = [(s.start + s.end) // 2 + k * args.probe_spacing for k in range(-args.probe_n_each_side, args.probe_n_each_side + 1)]
+                own = sinks.probe_table(groups.where(F.col("locus") == s.locus), args.probe_threshold, centres)
+                own.orderBy("sample").toPandas().to_csv(os.path.join(folder, f"{s.locus}_probe_profiles.tsv"), sep="\t", index=False)
         groups = groups.select("sample", "locus", "cluster")
     if args.breakpoint == "segmentation":
         cuts = pipelines.copy_breakpoints(track, spans, column=args.bkp_signal, **how)
@@ -142,14 +150,32 @@ def coverage(spark: SparkSession, args) -> str:
 
 
 def clips(spark: SparkSession, args) -> str:
-    rows = bam.alignments(spark, [s.path for s in tables.samples(spark, args.bam_list).collect()])
+    listed = tables.samples(spark, args.bam_list).collect()
     points = tables.breakpoints(spark, args.input).withColumnRenamed("bam_file", "sample")
+    paths = [s.path for s in listed]
+    if args.command == "softclips":  # a sample that isn't listed is looked for beside the run
+        beside = [os.path.abspath(f"{r.sample}.bam") for r in points.select("sample").distinct().collect() if r.sample not in {s.sample for s in listed}]
+        paths += [p for p in beside if os.path.exists(p)]
+    rows = bam.alignments(spark, paths)
+    if isinstance(args.pairs, str) and "://" not in args.pairs:
+        args.pairs = os.path.abspath(args.pairs)
     allowed = tables.pairs(spark, args.pairs)
     if args.command == "softclips":
         found = {"clips": pipelines.softclips(rows, points, args.size, args.extension)}
     else:
         found = pipelines.junctions(rows, points, args.size, args.extension, allowed, args.junction or args.junction_fastq)
         sinks.write_tsv(found["bridges"], f"{args.output}_bridging_pairs")
+    ordered = points.withColumn("ord", F.monotonically_increasing_id())
+    reports = {}
+    if "inserts" in found:
+        lists = pipelines.insert_lists(found["inserts"], allowed)
+        for name, pooled in (("", False), ("pooled_", True)):
+            reports[f"{name}inserts"], reports[f"{name}insert_bins"] = pipelines.insert_report(lists, ordered, pooled)
+            reports[f"{name}clip_positions"], reports[f"{name}clip_modes"] = pipelines.clip_report(found["clips"], ordered, pooled)
+    else:
+        reports["clip_density"] = pipelines.clip_density(found["clips"])
+    for name, report in reports.items():
+        sinks.write_tsv(report, f"{args.output}_{name}")
     sinks.write_tsv(sinks.clip_table(found["clips"]), args.output)
     sinks.clip_fasta(found["clips"]).write.mode("overwrite").text(f"{args.output}_soft_clipped_sequences")
     if "reads" in found:

@@ -104,16 +104,78 @@ def junctions(alignments: DataFrame, breakpoints: DataFrame, min_clip: int = 30,
     out = {"clips": clips, "inserts": inserts, "bridges": reads.bridging_pairs(ordered, targets, WIDTH)}
     if with_reads:
         wanted = clips if allowed is None else clips.join(allowed.select(F.col("source").alias("breakpoint")).distinct(), "breakpoint", "left_semi")
-        pats = wanted.select(F.monotonically_increasing_id().alias("ord"), F.col("clip").alias("pattern"), "breakpoint")
+        # clips of a sample are looked for in its own reads; of equal ones the last breakpoint counts
+        pats = wanted.select("sample", F.col("breakpoint").alias("ord"), F.col("clip").alias("pattern"), "breakpoint")
         windows = intervals.search_windows(breakpoints.select(F.col("chromosome").alias("chrom"), F.greatest(F.lit(0), F.col("position") - extension).alias("start"), (F.col("position") + extension).alias("end")))
         inside = intervals.range_join(alignments.where("pos0 >= 0"), windows.select(F.col("chrom").alias("rname"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["rname"], WIDTH, ("pos0", "end0")).drop("r_start", "r_end")
         pool = inside.unionByName(alignments.where(F.col("flag").bitwiseAND(4) != 0).select(*inside.columns))
-        keyed = pool.select(F.struct("sample", "qname").alias("read"), "seq").where("seq is not null")
-        found = patterns.junction_reads(keyed, pats, allowed)
-        out["reads"] = found.select("read.sample", F.col("read.qname").alias("read"), "b1", "b2", "marked")
+        # mates are records of their own; of those with one name and pair the first in the file's order counts, unmapped ones last
+        place = F.struct((F.col("flag").bitwiseAND(4) != 0).alias("unmapped"), "rname", "pos0", "flag", F.xxhash64("cigar_str", "seq").alias("own"))
+        keyed = pool.select(F.struct("sample", "qname", place.alias("place")).alias("read"), "sample", "seq").where("seq is not null")
+        found = patterns.junction_reads(keyed, pats, allowed, by="sample")
+        rows = found.select("read.sample", F.col("read.qname").alias("read"), "read.place", "ord", "b1", "b2", "marked")
+        out["reads"] = stats.first_of(rows, ["sample", "read", "b1", "b2"], ["place", "ord"])
     return out
 
 
+def insert_lists(inserts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """sample, b1, b2, insert_size: an insert counts for each allowed pair that its breakpoint is of, or without pairs for it alone (b2 null)."""
+    if allowed is None:
+        return inserts.select("sample", F.col("breakpoint").alias("b1"), F.lit(None).cast("int").alias("b2"), "insert_size")
+    pairs = allowed.select(F.least("source", "target").alias("b1"), F.greatest("source", "target").alias("b2")).distinct()
+    member = pairs.withColumn("breakpoint", F.explode(F.array("b1", "b2")))  # a pair of one breakpoint with itself has its list twice
+    return inserts.join(member, "breakpoint").select("sample", "b1", "b2", "insert_size")
+
+
+def insert_report(lists: DataFrame, breakpoints: DataFrame, pooled: bool = False, library: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Per sample (or pooled) and pair: counts of plausible inserts and outliers with the insert expected, and bins of the plausible ones.
+
+    The last position of a breakpoint number counts. A single breakpoint expects nothing, so all its inserts are plausible.
+    """
+    lists = lists.withColumn("sample", F.lit("pooled")) if pooled else lists
+    last = breakpoints.groupBy("breakpoint_number").agg(F.max_by("position", "ord").alias("position"))
+    for b, p in (("b1", "p1"), ("b2", "p2")):
+        lists = lists.join(last.select(F.col("breakpoint_number").alias(b), F.col("position").alias(p)), b, "left")
+    keys = ["sample", "b1", "b2"]
+    dup = F.abs(F.col("p2") - F.col("p1"))
+    lists = lists.withColumns({"b2": F.coalesce("b2", F.lit(-1)), "expected": dup + library}).withColumn("ok", F.coalesce(F.col("insert_size") <= F.col("expected") + 0.1 * dup, F.lit(True)))
+    counts = lists.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("ok").alias("plausible"), F.count_if(~F.col("ok")).alias("outliers"), F.first("expected").alias("expected"))
+    return counts, stats.histogram(lists.where("ok"), keys, "insert_size")
+
+
+def clip_report(clips: DataFrame, breakpoints: DataFrame, pooled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per sample (or pooled) and breakpoint: clips by position, and their mode with its offset from the breakpoint predicted."""
+    keys = ["sample", "breakpoint"]
+    own = clips.withColumn("sample", F.lit("pooled")) if pooled else clips
+    last = breakpoints.groupBy(F.col("breakpoint_number").alias("breakpoint")).agg(F.max_by("position", "ord").alias("predicted"))
+    # reads come in the order of their positions
+    modes = stats.mode_first(own.withColumn("met", F.col("position")), keys, "clip_position", "met")
+    return own.groupBy(*keys, "clip_position").agg(F.count("*").alias("n")), stats.mode_offset(modes, last, ["breakpoint"])
+
+
+def clip_density(clips: DataFrame, points: int = 200) -> DataFrame:
+    """sample, breakpoint, x, density of clip positions relative to the breakpoint, on a grid over all of them and three bandwidths more."""
+    keys = ["sample", "breakpoint"]
+    span = clips.agg(F.min("relative_position"), F.max("relative_position"), F.stddev_samp("relative_position")).first()
+    if span[0] is None:
+        return clips.select(*keys, F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).where("false")
+    low, high = span[0] - 3 * (span[2] or 0), span[1] + 3 * (span[2] or 0)
+    return stats.kde(clips, keys, "relative_position", [low + (high - low) * i / (points - 1) for i in range(points)])
+
+
+def base_depth(alignments: DataFrame, windows: DataFrame, keys: list[str], min_quality: int = 13) -> DataFrame:
+    """keys, start, end, depth per position inside windows (keys with sample, chrom, w_start, w_end): A, C, G and T of enough quality.
+
+    Reads of any mapping quality count, but for unmapped, secondary, failed and duplicate ones.
+    """
+    where = windows.select(*keys, F.col("chrom").alias("rname"), F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"))
+    good = alignments.where((F.col("flag").bitwiseAND(0x704) == 0) & (F.col("pos0") >= 0))
+    near = intervals.range_join(good, where, ["sample", "rname"], WIDTH, ("pos0", "end0"))
+    bases = reads.aligned_bases(near, [*(k for k in keys if k != "sample"), "r_start", "r_end"]).where("pos >= r_start AND pos < r_end")
+    depth = stats.nucleotide_counts(bases, [*keys, "pos"], min_quality).where("depth > 0")
+    return depth.select(*keys, F.col("pos").cast("long").alias("start"), (F.col("pos") + 1).cast("long").alias("end"), "depth")
+
+
 def filtered_hits(found: DataFrame, breakpoints: DataFrame, extension: int, allowed: DataFrame | None = None) -> DataFrame:
     return hits.near_other_breakpoint(found, stats.last_by_number(breakpoints.withColumn("ord", F.monotonically_increasing_id())), extension, allowed)
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.matrix import OPERATORS
+from strandlake.operators.matrix import FIELDS, OPERATORS
 
 
 def run_folder(prefix: str, today: date | None = None) -> str:
@@ -36,6 +36,20 @@ def write_matrix(wide: DataFrame, path: str, comments: list[str]) -> None:
         rows.to_csv(f, sep="\t", index=False)
 
 
+def coverage_comments() -> list[str]:
+    """What stands above a coverage matrix."""
+    return [
+        "coverage", f"Generated on: {datetime.now():%Y-%m-%d %H:%M}", "Format: " + ";".join(FIELDS), "uDOC: mean depth of coverage over the whole target span",
+        "sdDOC: standard deviation of the depth, medDOC: its median", "CovBases: covered bases of the span, RCN: relative copy number",
+    ]
+
+
+def write_parameters(values: dict, path: str) -> None:
+    """The parameters of a run, a line each."""
+    with open(path, "w") as f:
+        f.writelines(f"{k}\t{'' if v is None else v}\n" for k, v in sorted(values.items()))
+
+
 def clip_id() -> Column:
     return F.concat(F.col("rname"), F.lit(":"), F.col("clip_position").cast("string"), F.lit("_"), F.col("qname"), F.lit("_"), F.col("breakpoint").cast("string"), F.lit("_"), F.col("side"))
 
@@ -64,8 +78,8 @@ def junction_fasta(reads: DataFrame) -> DataFrame:
 
 
 def junction_fastq(reads: DataFrame, alignments: DataFrame) -> DataFrame:
-    """sample, pair, value: a FASTQ entry for every record whose name has a junction, in its first pair; missing qualities are 30."""
-    first = reads.groupBy("sample", F.col("read").alias("qname")).agg(F.min(F.struct("b1", "b2")).alias("p")).select("sample", "qname", "p.b1", "p.b2")
+    """sample, pair, value: a FASTQ entry for every record whose name has a junction, in the first one; missing qualities are 30."""
+    first = reads.groupBy("sample", F.col("read").alias("qname")).agg(F.min_by(F.struct("b1", "b2"), F.struct("place", "ord")).alias("p")).select("sample", "qname", "p.b1", "p.b2")
     rows = alignments.where("seq is not null").join(first, ["sample", "qname"])
     quals = F.coalesce(F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.repeat(F.lit("?"), F.char_length("seq")))
     return rows.select("sample", _pair().alias("pair"), F.concat(F.lit("@"), F.concat_ws(":", "sample", "qname", _pair()), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), quals).alias("value"))

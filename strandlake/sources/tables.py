@@ -27,8 +27,9 @@ def bad_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plot_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """locus, chrom, plot_start, plot_end; the last line of a locus wins."""
-    rows = _lines(spark, path).where("trim(value) != ''").withColumn("f", F.split("value", "\t"))
+    """locus, chrom, plot_start, plot_end; the last line of a locus wins, and a line of other than two fields is an error."""
+    fields = F.split("value", "\t")
+    rows = _lines(spark, path).where("trim(value) != ''").withColumn("f", F.when(F.size(fields) == 2, fields).otherwise(F.raise_error(F.concat(F.lit("not two fields: "), "value"))))
     last = rows.groupBy(F.col("f")[0].alias("locus")).agg(F.max_by(F.col("f")[1], "ord").alias("r"))
     return last.select("locus", F.regexp_extract("r", r"^(.*):(\d+)-(\d+)$", 1).alias("chrom"), F.regexp_extract("r", r"^(.*):(\d+)-(\d+)$", 2).cast("long").alias("plot_start"), F.regexp_extract("r", r"^(.*):(\d+)-(\d+)$", 3).cast("long").alias("plot_end"))
 
@@ -66,9 +67,8 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, path: str) -> DataFrame:
-    """Tabular hits with ord."""
-    rows = _lines(spark, path).where("trim(value) != ''")
-    return rows.select("ord", F.from_csv("value", HITS, {"sep": "\t"}).alias("h")).select("ord", "h.*")
+    """Tabular hits with ord, which follows the lines of each file."""
+    return spark.read.schema(HITS).option("sep", "\t").csv(path).select(F.monotonically_increasing_id().alias("ord"), "*")
 
 
 def pairs(spark: SparkSession, given: list[str] | str | None) -> DataFrame | None:

@@ -12,8 +12,10 @@ def test_coverage_then_parse_then_junctions(spark, files, tmp_path, monkeypatch)
     (tmp_path / "bams.txt").write_text("\n".join(files) + "\n")
     (tmp_path / "regions.tsv").write_text("c1\t9000\t11000\ttarget\nc1\t2000\t6000\treference\n")
     (tmp_path / "muts.tsv").write_text("c1\t101\tfirst\n")
-    folder = cli.main(["coverage", "-b", "bams.txt", "-r", "regions.tsv", "-n", "reference", "-o", "run", "--plot", "--plot-slw", "51", "--plot-auto", "--probe-size", "50", "--probe-spacing", "100", "--probe-drops", "3", "--max-extension", "6000", "--probe-profile", "--plot-pooled", "-bkp", "segmentation", "--mutation", "muts.tsv"], spark)
-    assert sorted(os.listdir(folder)) == ["run_breakpoints.tsv", "run_coverage.tsv", "run_mutations.tsv", "run_tracks.parquet"]
+    folder = cli.main(["coverage", "-b", "bams.txt", "-r", "regions.tsv", "-n", "reference", "-o", "run", "--plot", "--plot-slw", "51", "--plot-auto", "--probe-size", "50", "--probe-spacing", "100", "--probe-drops", "3", "--max-extension", "6000", "--probe-profile", "--probe-profile-out", "--plot-pooled", "-bkp", "segmentation", "--mutation", "muts.tsv"], spark)
+    assert sorted(os.listdir(folder)) == ["run_breakpoints.tsv", "run_coverage.tsv", "run_mutations.tsv", "run_parameters.tsv", "run_tracks.parquet", "target_probe_profiles.tsv"]
+    assert open(f"{folder}/run_coverage.tsv").read().count("# ") == 6 and files[0] in open(f"{folder}/run_mutations.tsv").readline()
+    assert open(f"{folder}/target_probe_profiles.tsv").readline().startswith("sample\tgroup\tprofile_string\tpos_")
     lines = open(f"{folder}/run_breakpoints.tsv").read().splitlines()
     assert len(lines) == 5 and sum(x.startswith("pooled") for x in lines) == 2
     (tmp_path / "more.tsv").write_text((tmp_path / "regions.tsv").read_text() + "c2\t10\t20\tempty\n")
@@ -25,4 +27,7 @@ def test_coverage_then_parse_then_junctions(spark, files, tmp_path, monkeypatch)
     assert open(path).read() == "flat.bam\n"
     out = cli.main(["junctions", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/j", "-e", "300", "--pairs", "1-2", "--junction", "--junction-fastq"], spark)
     assert {"j", "j_bridging_pairs", "j_soft_clipped_sequences", "j_junction_reads", "j_junction_fastq"} <= set(os.listdir(tmp_path))
-    assert cli.main(["softclips", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/s", "-e", "300"], spark) and out
+    assert {"j_inserts", "j_insert_bins", "j_clip_positions", "j_clip_modes", "j_pooled_inserts"} <= set(os.listdir(tmp_path))
+    (tmp_path / "pairs.tsv").write_text("source_bkp\ttarget_bkp\n1\t2\n")
+    assert cli.main(["softclips", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/s", "-e", "300", "--pairs", "pairs.tsv"], spark) and out
+    assert "s_clip_density" in os.listdir(tmp_path)

@@ -79,7 +79,11 @@ def test_coverage_run(spark, alignments, regions):
     assert abs(cuts[0] - 8000) < 120 and abs(cuts[1] - 12_000) < 120
     pooled = [r.position for r in pipelines.copy_breakpoints(track, spans, pooled=True, n_bkps=2).orderBy("breakpoint_number").collect()]
     assert pooled == cuts
-    assert pipelines.rolling_breakpoints(track, 0.2, 51).count() >= 0
+    own = track.where("sample = 'dup' AND locus = 'target'").toPandas().sort_values("rn")
+    smooth = lambda s: s.rolling(51, center=True, min_periods=1).median()
+    far = own[(smooth(own["moving_average"]) - smooth(own["norm"])).abs() > 0.2]
+    starts = far["pos"][far["pos"].diff().isna() | (far["pos"].diff() > 1)].tolist()
+    assert sorted(r.start for r in pipelines.rolling_breakpoints(track, 0.2, 51).where("sample = 'dup'").collect()) == starts
     assert pipelines.packed(found).where("sample = 'dup' AND locus = 'target'").first().cell.endswith(";2000;2.0")
 
 
@@ -102,6 +106,57 @@ def test_junction_run(spark, alignments, genome):
     assert len(fastq) == 4 and set(fastq[3]) == {"?"} and len(fastq[1]) == len(fastq[3])
 
 
+def test_junction_reads_are_records(spark, genome):
+    """Mates share a name and nothing else: only a record that holds clips of both breakpoints is a junction read."""
+    a, b = genome[100:140], genome[300:340]
+    both = genome[700:720] + a + genome[720:730] + b
+    rows = [
+        ("s", "mates", 0x1, "c1", 100, 0, "80M", genome[500:540] + a), ("s", "mates", 0x1, "c1", 300, 0, "80M", b + genome[540:580]),
+        ("s", "one", 0x1, "c1", 310, 0, "90M", both + genome[900:910]), ("s", "one", 0x1, "c1", 120, 0, "100M", both), ("t", "other", 0x1, "c1", 120, 0, "100M", both),
+        ("s", "clip1", 0x1, "c1", 100, 60, "40S60M", a + genome[100:160]), ("s", "clip2", 0x1, "c1", 300, 60, "40S60M", b + genome[300:360]),
+    ]
+    df = spark.createDataFrame([(*r[:5], r[4] + 80, r[5], r[6], "c1", r[4] + 10, r[7]) for r in rows], "sample string, qname string, flag int, rname string, pos0 long, end0 long, mapq int, cigar_str string, rnext string, pnext0 long, seq string")
+    df = df.withColumn("cigar", reads.parse_cigar(F.col("cigar_str"))).withColumn("quals", F.lit(None).cast("array<int>"))
+    points = spark.createDataFrame([("s", "c1", 100, 1), ("s", "c1", 300, 2), ("t", "c1", 100, 1)], "sample string, chromosome string, position long, breakpoint_number int")
+    found = pipelines.junctions(df, points, 30, 30, None, True)["reads"].collect()
+    assert [(r.sample, r.read, r.b1, r.b2, r.place.pos0) for r in found] == [("s", "one", 1, 2, 120)]
+    assert found[0].marked == both[:20].lower() + a + both[60:70].lower() + b
+
+
+def test_reports(spark):
+    inserts = spark.createDataFrame([("s", 1, x) for x in [400] * 5 + [99_000]] + [("s", 2, 700)], "sample string, breakpoint int, insert_size long")
+    points = spark.createDataFrame([(1, 1000, 0), (2, 9000, 1), (2, 5000, 2)], "breakpoint_number int, position long, ord long")
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "source int, target int")
+    counts, bins = pipelines.insert_report(pipelines.insert_lists(inserts, pairs), points)
+    assert [tuple(r) for r in counts.collect()] == [("s", 1, 2, 7, 6, 1, 4500)]
+    assert bins.agg(F.sum("n")).first()[0] == 6
+    alone, _ = pipelines.insert_report(pipelines.insert_lists(inserts), points, True)
+    assert sorted((r.sample, r.b1, r.n, r.plausible) for r in alone.collect()) == [("pooled", 1, 6, 6), ("pooled", 2, 1, 1)]
+    clips = spark.createDataFrame([("s", 1, 990, 990, -10), ("s", 1, 995, 1003, 3), ("t", 1, 996, 1003, 3), ("t", 1, 997, 990, -10)], "sample string, breakpoint int, position long, clip_position long, relative_position long")
+    at, modes = pipelines.clip_report(clips, points, True)
+    assert sorted((r.clip_position, r.n) for r in at.collect()) == [(990, 2), (1003, 2)]
+    assert [(r.mode, r.n, r.predicted, r.offset) for r in modes.collect()] == [(990, 2, 1000, -10)]
+    got = pipelines.clip_density(clips).toPandas()
+    assert set(got["sample"]) == {"s", "t"} and abs(got[got["sample"] == "s"].sort_values("x").pipe(lambda d: (d["density"] * d["x"].diff().fillna(0)).sum()) - 1) < 0.1
+
+
+def test_base_depth_counts_bases_of_quality(spark, alignments):
+    windows = spark.createDataFrame([("dup", "a", "c1", 495, 530), ("dup", "b", "c1", 520, 526)], "sample string, locus string, chrom string, w_start long, w_end long")
+    got = {(r.locus, r.start): r.depth for r in pipelines.base_depth(alignments, windows, ["sample", "locus"]).collect()}
+    want = {}
+    for r in alignments.where("sample = 'dup' AND rname = 'c1' AND pos0 < 530 AND end0 > 495 AND flag & 1796 = 0").collect():
+        at, q = r.pos0, 0
+        for c in r.cigar:
+            for k in range(c["len"]):
+                if c["op"] == 0 and (r.quals or [255] * 999)[q + k] >= 13:
+                    for name, lo, hi in (("a", 495, 530), ("b", 520, 526)):
+                        if lo <= at + k < hi:
+                            want[name, at + k] = want.get((name, at + k), 0) + 1
+            at += c["len"] if c["op"] in (0, 2) else 0
+            q += c["len"] if c["op"] in (0, 1, 4) else 0
+    assert got == want
+
+
 def test_genotypes(spark, alignments, genome, tmp_path):
     p = tmp_path / "mutations.tsv"
     p.write_text("c1 101 first\nc1 506\nc2 3 nothing\n")

@@ -98,6 +98,25 @@ def test_dynamic_programming_is_optimal(values, k):
     assert total(pruned) + len(pruned) <= best + k + 1e-6
 
 
+@pytest.mark.parametrize("model", changepoint.MODELS)
+def test_costs_find_a_planted_change(model):
+    rng = np.random.default_rng(1)
+    n = 60
+    if model in ("linear", "cosine"):
+        x = rng.normal(size=(2 * n, 2)) + 5
+        x[:, 0] = np.where(np.arange(2 * n) < n, 2, -3) * x[:, 1] + rng.normal(size=2 * n) / 10
+    elif model == "clinear":
+        x = np.r_[np.arange(n) * 1.0, n - 2.0 * np.arange(n)][:, None]
+    elif model == "ar":
+        x = np.r_[np.sin(np.arange(n)), np.sin(2.5 * np.arange(n))][:, None] + rng.normal(size=(2 * n, 1)) / 100
+    else:
+        x = np.r_[rng.normal(size=(n, 1)), 6 + 2 * rng.normal(size=(n, 1))]
+    cuts = changepoint.segment(x, "Binseg", model, n_bkps=1, jump=1)
+    assert abs(cuts[0] - n) <= 5
+    cost = changepoint.Cost(x, model)
+    assert cost(0, n) + cost(n, 2 * n) <= cost(0, 2 * n) + 1e-6
+
+
 def test_unknown_algorithms_and_models_are_named():
     for how in ({"algo": "Nope"}, {"model": "nope"}, {"algo": "Pelt", "pen": None}):
         with pytest.raises(ValueError):
@@ -178,6 +197,10 @@ def test_matches_pairs_and_marks(spark):
     got = sorted((r.read, r.start, r.end, r.breakpoint) for r in patterns.pattern_matches(rd, pats).collect())
     assert got == [("r1", 0, 2, 4), ("r1", 4, 6, 4), ("r1", 6, 8, 3), ("r1", 7, 9, 2), ("r2", 0, 2, 2), ("r2", 3, 5, 4)]
     allowed = spark.createDataFrame([(4, 2), (2, 4)], "source int, target int")
+    assert sorted((r.read, r.start, r.end, r.breakpoint) for r in patterns.pattern_matches(rd, pats, most=1).collect()) == got
+    own, wanted = rd.withColumn("s", signal.F.lit("a")), pats.withColumn("s", signal.F.expr("CASE WHEN breakpoint = 2 THEN 'b' ELSE 'a' END"))
+    for most in (100, 1):
+        assert sorted((r.read, r.start, r.end, r.breakpoint) for r in patterns.pattern_matches(own, wanted, by="s", most=most).collect()) == [x for x in got if x[3] != 2]
     marked = sorted((r.read, r.b1, r.b2, r.marked) for r in patterns.junction_reads(rd, pats, allowed).collect())
     assert marked == [("r1", 4, 2, "ACGtacgTTT"), ("r2", 2, 4, "TTTACG")]
     assert patterns.junction_reads(rd, pats.where("false")).collect() == []
