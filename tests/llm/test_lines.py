@@ -25,7 +25,7 @@ def plain(pairs, least=10):
 
 
 def test_against_brute_force(edge):
-    for batches, shard in ((1, 400_000), (2, 400_000), (3, 5)):
+    for batches, shard in ((2, 400_000), (3, 5)):
         got = dedup_lines(edge.repartition(3), batches=batches, shard_lines=shard)
         assert got.columns == [*edge.columns, "n_lines", "n_dropped"] and {r.drops for r in got.collect()} == {"x"}
         assert rows(got, "doc_id", "n_lines", "n_dropped", "text") == plain(edge_rows())
