@@ -96,7 +96,9 @@ def coverage(spark: SparkSession, args) -> str:
     paths = [s.path for s in samples]
     rows = bam.alignments(spark, paths)
     blocks = reads.blocks(reads.usable(rows.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom")
-    found = pipelines.coverage(blocks, regions, args.norm).cache()
+    # the matrix needs the reads over its regions only
+    within = bam.alignments(spark, paths, regions=[(r.chrom, r.start - 1, r.end + 1) for r in regions.collect()])
+    found = pipelines.coverage(reads.blocks(reads.usable(within.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom"), regions, args.norm).cache()
     # loci without depth are NA, unless tracks are asked for too
     shown = found if args.plot else pipelines.with_missing(found, [r.locus for r in regions.select("locus").distinct().collect()])
     sinks.write_matrix(matrix.to_wide(pipelines.packed(shown), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", sinks.coverage_comments())

@@ -1,57 +1,233 @@
 """Alignments from BAM files, as a Python data source: spark.read.format("bam").option("paths", "a.bam,b.bam").load().
 
-The layout is that of the public SAM/BAM specification: gzip members around a header and length-prefixed records. One partition
-reads one file, streaming, and keeps a batch of records at a time. To read much of it more than once, write it to Parquet sorted by
-rname and pos0, so that region filters reach the scan.
+The layout is that of the public SAM/BAM specification: gzip members around a header and length-prefixed records. A file with an
+index beside it (`x.bam.bai` or `x.bai`) is read by several partitions, and for regions only where the index says that they may be;
+without one, a partition reads a whole file. Each streams and keeps a batch of records at a time, and decodes those it returns only.
+The index is read by the tasks; the driver only asks for file sizes. To read much of a file more than once, write it to Parquet sorted
+by rname and pos0.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "sample string, path string, qname string, flag int, rname string, pos0 long, end0 long, mapq int, cigar array<struct<op: int, len: int>>, cigar_str string, rnext string, pnext0 long, seq string, quals array<int>"
 #: Fixed values of the format.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+#: Fixed values of its index: levels of bins as (first bin, shift of a position), the shift of a linear window, the bin of totals.
+LEVELS, LINEAR, TOTALS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)), 14, 37450
 BATCH = 5_000
+#: Compressed bytes a partition of an indexed file.
+SHARE = 64 << 20
 
 
-def _inflate(stream) -> Iterator[bytes]:
-    z = zlib.decompressobj(31)
-    while block := stream.read(1 << 20):
+def _inflate(stream, at: int = 0, block_size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Pieces of the text with the place of their gzip member, from the member at `at`."""
+    stream.seek(at)
+    z, member, fed = zlib.decompressobj(31), at, at
+    while block := stream.read(block_size):
         while block:
-            yield z.decompress(block)
+            piece = z.decompress(block)
+            fed += len(block) - len(z.unused_data)
             block = z.unused_data
-            if not z.eof:
-                break
-            z = zlib.decompressobj(31)
+            yield member, piece
+            if z.eof:
+                z, member = zlib.decompressobj(31), fed
 
 
 class _Bytes:
-    """read(n) over blocks."""
-
-    def __init__(self, blocks: Iterator[bytes]):
-        self.blocks, self.held = blocks, bytearray()
+    """read(n) over pieces; virtual places are (place of a member) << 16 | (offset inside)."""
+
+    def __init__(self, pieces: Iterator[tuple[int, bytes]], end: int | None = None):
+        self.pieces, self.held, self.used = pieces, bytearray(), 0
+        self.end, self.stop = end, None
+        #: (bytes before it, place) of members met and not yet passed
+        self.members: list[tuple[int, int]] = []
+
+    def fill(self, n: int) -> None:
+        while len(self.held) < n and (more := next(self.pieces, None)) is not None:
+            total = self.used + len(self.held)
+            if not self.members or self.members[-1][1] != more[0]:
+                self.members.append((total, more[0]))
+                if self.end is not None and self.stop is None and more[0] >= self.end >> 16:
+                    self.stop = total + (self.end & 0xFFFF if more[0] == self.end >> 16 else 0)
+            self.held += more[1]
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n:
-            more = next(self.blocks, None)
-            if more is None:
-                break
-            self.held += more
+        self.fill(n)
         out = bytes(self.held[:n])
         del self.held[:n]
+        self.used += len(out)
         return out
 
+    def place(self) -> int:
+        """Virtual place of the next byte."""
+        self.fill(1)
+        while len(self.members) > 1 and self.members[1][0] <= self.used:
+            self.members.pop(0)
+        first, member = self.members[0]
+        return member << 16 | self.used - first
+
+    def records(self) -> Iterator[bytes]:
+        """Records up to the end given."""
+        while True:
+            self.fill(4)
+            if len(self.held) < 4 or self.stop is not None and self.used >= self.stop:
+                return
+            rec = self.read(struct.unpack("<i", self.read(4))[0])
+            while len(self.members) > 1 and self.members[1][0] <= self.used:
+                self.members.pop(0)
+            yield rec
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+
 
 def _stream(path: str):
-    from pyarrow import fs
+    store, place = _store(path)
+    return store.open_input_file(place)
+
+
+def index_path(path: str) -> str | None:
+    """The index beside a file, if there is one."""
+    for found in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+        store, place = _store(found)
+        if store.get_file_info(place).is_file:
+            return found
+    return None
+
+
+class Regions:
+    """Disjoint (start, end) by contig number; says whether a stretch meets any. Regions without length meet nothing."""
+
+    def __init__(self, regions: list[tuple[int, int, int]]):
+        self.by: dict[int, tuple[list[int], list[int]]] = {}
+        for contig, a, b in sorted(regions):
+            if a >= b:
+                continue
+            starts, ends = self.by.setdefault(contig, ([], []))
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+
+    def meets(self, contig: int, start: int, end: int) -> bool:
+        starts, ends = self.by.get(contig, ((), ()))
+        k = bisect_right(ends, start)
+        return k < len(ends) and starts[k] < end
+
+    def flat(self) -> list[tuple[int, int, int]]:
+        return [(c, a, b) for c, (starts, ends) in self.by.items() for a, b in zip(starts, ends)]
+
+
+def _bins_of(start: int, end: int) -> list[range]:
+    return [range(first + (start >> shift), first + (end - 1 >> shift) + 1) for first, shift in LEVELS]
+
 
-    store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    return store.open_input_stream(place, compression=None)
+@dataclass
+class Index:
+    """Per contig: bins with their chunks of virtual places, and the least place by linear window."""
+
+    contigs: list[tuple[dict[int, list[tuple[int, int]]], list[int]]]
+
+    @classmethod
+    def read(cls, path: str) -> Index:
+        with _stream(path) as f:
+            data = f.read()
+        if data[:4] != b"BAI\1":
+            raise ValueError(f"no BAM index: {path}")
+        at = 4
+
+        def take(form: str):
+            nonlocal at
+            out = struct.unpack_from("<" + form, data, at)
+            at += struct.calcsize("<" + form)
+            return out
+
+        contigs = []
+        for _ in range(take("i")[0]):
+            bins = {}
+            for _ in range(take("i")[0]):
+                number, n = take("Ii")
+                flat = take(f"{2 * n}Q")
+                if number != TOTALS:
+                    bins[number] = list(zip(flat[::2], flat[1::2]))
+            contigs.append((bins, list(take(f"{take('i')[0]}Q"))))
+        return cls(contigs)
+
+    def starts(self) -> list[int]:
+        """Places where a record begins, ascending."""
+        return sorted({a for bins, _ in self.contigs for chunks in bins.values() for a, _ in chunks} | {p for _, linear in self.contigs for p in linear if p})
+
+    def chunks(self, regions: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """Disjoint ranges of places that hold every record that overlaps a region (contig number, start, end)."""
+        found = []
+        for contig, start, end in regions:
+            start, end = max(start, 0), min(end, 1 << 29)
+            if start >= end or not 0 <= contig < len(self.contigs):
+                continue
+            bins, linear = self.contigs[contig]
+            window = start >> LINEAR
+            least = linear[window] if window < len(linear) else linear[-1] if linear else 0
+            wanted = _bins_of(start, end)
+            found += [(max(a, least), b) for number, chunks in bins.items() if any(number in r for r in wanted) for a, b in chunks if b > least]
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+
+def write_index(path: str) -> str:
+    """Write `path`.bai for a local file sorted by contig and position."""
+    with _stream(path) as f:
+        source = _Bytes(_inflate(f))
+        contigs = header(source)
+        found, last = [({}, {}) for _ in contigs], (0, -1)
+        at = source.place()
+        for rec in source.records():
+            after = source.place()
+            ref, start, end = _where(rec)
+            if ref >= 0:
+                if (ref, start) < last:
+                    raise ValueError(f"not sorted by position: {path}")
+                last = (ref, start)
+                bins, linear = found[ref]
+                number = next(r.start for r in reversed(_bins_of(start, end)) if len(r) == 1)
+                chunks = bins.setdefault(number, [])
+                if chunks and chunks[-1][1] == at:
+                    chunks[-1] = (chunks[-1][0], after)
+                else:
+                    chunks.append((at, after))
+                for w in range(start >> LINEAR, (end - 1 >> LINEAR) + 1):
+                    linear.setdefault(w, at)
+            at = after
+    out = bytearray(b"BAI\1" + struct.pack("<i", len(found)))
+    for bins, linear in found:
+        out += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        places, least = [], 0
+        for w in range(max(linear, default=-1) + 1):
+            least = linear.get(w, least)
+            places.append(least)
+        out += struct.pack(f"<i{len(places)}Q", len(places), *places)
+    with open(path + ".bai", "wb") as f:
+        f.write(out)
+    return path + ".bai"
 
 
 def header(source: _Bytes) -> list[tuple[str, int]]:
@@ -66,6 +242,13 @@ def header(source: _Bytes) -> list[tuple[str, int]]:
     return out
 
 
+def _where(rec: bytes) -> tuple[int, int, int]:
+    """Contig number, start and end of a record."""
+    ref, pos, n_name, _, _, n_cigar = struct.unpack_from("<iiBBHH", rec)
+    codes = struct.unpack_from(f"<{n_cigar}I", rec, 32 + n_name)
+    return ref, pos, pos + max(sum(c >> 4 for c in codes if c & 15 in (0, 2, 3, 7, 8)), 1)
+
+
 def parse(rec: bytes, contigs: list[tuple[str, int]]) -> tuple:
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, nref, npos, _ = struct.unpack_from("<iiBBHHHiiii", rec)
     at = 32 + n_name
@@ -81,32 +264,90 @@ def parse(rec: bytes, contigs: list[tuple[str, int]]) -> tuple:
     return rec[32 : 32 + n_name - 1].decode(), flag, name(ref), pos, pos + max(covered, 1), mapq, cigar or None, "".join(f"{c['len']}{OPS[c['op']]}" for c in cigar) or "*", name(nref), npos, seq, None if not quals or quals[0] == 255 else list(quals)
 
 
+@dataclass
+class Part(InputPartition):
+    """Share k of n of a file; n is 1 without an index."""
+
+    path: str
+    index: str | None = None
+    k: int = 0
+    n: int = 1
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
-        self.region = (options.get("chrom"), int(options.get("start", 0)), int(options.get("end", 1 << 40)))
+        self.share = int(options.get("share", SHARE))
+        self.regions = None
+        if options.get("regions") is not None:
+            self.regions = [tuple(r) for r in json.loads(options["regions"])]
+        elif options.get("chrom") is not None:
+            self.regions = [(options["chrom"], int(options.get("start", 0)), int(options.get("end", 1 << 40)))]
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            index = index_path(path)
+            store, place = _store(path)
+            n = max(1, -(-store.get_file_info(place).size // self.share)) if index else 1
+            out += [Part(path, index, k, n) for k in range(n)]
+        return out
+
+    def ranges(self, part: Part, first: int, regions: Regions | None) -> list[tuple[int, int | None]]:
+        """Ranges of virtual places that this share reads; `first` is that of the first record. None is the end of the file."""
+        if not part.index:
+            return [(first, None)]
+        index = Index.read(part.index)
+        lo, hi = part.k * self.share << 16, (part.k + 1) * self.share << 16
+        starts = index.starts()
+        cuts = [first, *(p for p in starts if p > first)]
+        # a share begins at the first known record at or after its first byte
+        begin = first if part.k == 0 else next((p for p in cuts if p >= lo), None)
+        end = None if part.k == part.n - 1 else next((p for p in cuts if p >= hi), None)
+        if begin is None or begin == end:
+            return []
+        if regions is None:
+            return [(begin, end)]
+        clipped = [(max(a, begin), b if end is None else min(b, end)) for a, b in index.chunks(regions.flat())]
+        return [(a, b) for a, b in clipped if a < b]
 
     def read(self, partition):
         import pyarrow as pa
 
-        path = partition.value
+        path = partition.path
         sample = path.rsplit("/", 1)[-1].removesuffix(".bam")
-        chrom, lo, hi = self.region
+        rows = []
         with _stream(path) as f:
             source = _Bytes(_inflate(f))
-            contigs, rows = header(source), []
-            while len(size := source.read(4)) == 4:
-                row = parse(source.read(struct.unpack("<i", size)[0]), contigs)
-                if chrom is None or (row[2] == chrom and row[3] < hi and row[4] > lo):
-                    rows.append((sample, path, *row))
+            contigs = header(source)
+            source.fill(1)
+            if not source.held:
+                return
+            for rec in self.wanted(f, partition, source.place(), contigs):
+                rows.append((sample, path, *parse(rec, contigs)))
                 if len(rows) == BATCH:
                     yield self.batch(pa, rows)
                     rows = []
-            if rows:
-                yield self.batch(pa, rows)
+        if rows:
+            yield self.batch(pa, rows)
+
+    def wanted(self, f, part: Part, first: int, contigs: list[tuple[str, int]]) -> Iterator[bytes]:
+        """Records of a share that overlap a region."""
+        numbers = {name: k for k, (name, _) in enumerate(contigs)}
+        regions = None if self.regions is None else Regions([(numbers[c], a, b) for c, a, b in self.regions if c in numbers])
+        beyond = max(((c, b) for c, _, b in regions.flat()), default=(0, 0)) if regions is not None else None
+        for begin, end in self.ranges(part, first, regions):
+            source = _Bytes(_inflate(f, begin >> 16, 1 << 20 if end is None else 1 << 17), end)
+            source.read(begin & 0xFFFF)
+            for rec in source.records():
+                if regions is None:
+                    yield rec
+                    continue
+                ref, start, stop = _where(rec)
+                if part.index and (ref, start) >= beyond:  # an indexed file is sorted: nothing to find from here on
+                    return
+                if regions.meets(ref, start, stop):
+                    yield rec
 
     @staticmethod
     def batch(pa, rows):
@@ -117,7 +358,8 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Options: paths (comma-separated) or path; chrom, start, end (half-open) for the records that overlap a region."""
+    """Options: paths (comma-separated) or path; chrom, start, end (half-open), or regions, a JSON list of them, for the records that
+    overlap any, each once; share, the compressed bytes a partition of an indexed file."""
 
     @classmethod
     def name(cls):
@@ -130,11 +372,11 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def alignments(spark, paths: list[str], chrom: str | None = None, start: int | None = None, end: int | None = None):
-    """Records of BAM files; only those that overlap a region if one is given. Unmapped records have no region."""
+def alignments(spark, paths: list[str], chrom: str | None = None, start: int | None = None, end: int | None = None, regions: list[tuple[str, int, int]] | None = None):
+    """Records of BAM files; only those that overlap a region, or any of several, if given. Unmapped records have no region."""
     spark.dataSource.register(BamSource)
     reader = spark.read.format("bam").option("paths", ",".join(paths))
-    for k, v in (("chrom", chrom), ("start", start), ("end", end)):
+    for k, v in (("chrom", chrom), ("start", start), ("end", end), ("regions", None if regions is None else json.dumps(regions))):
         reader = reader.option(k, v) if v is not None else reader
     return reader.load()
 
