@@ -50,10 +50,17 @@ def per_position(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def densify(track: DataFrame, keys: list[str], value: str = "depth") -> DataFrame:
-    """Positions missing between a track's first and last one, with value 0."""
-    span = track.groupBy(*keys).agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    grid = span.select(*keys, F.explode(F.sequence("a", "b")).alias("pos"))
-    return grid.join(track, [*keys, "pos"], "left").fillna(0, subset=[value])
+    """Positions missing between a track's first and last one, with value 0 and nulls in other columns; null values become 0, null positions go.
+
+    Each row brings the positions up to the next one, so that no row holds a whole track and nothing is joined.
+    """
+    rest = [c for c in track.columns if c not in (*keys, "pos")]
+    following = F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))
+    rows = track.where("pos IS NOT NULL").withColumn("_last", F.greatest(F.col("pos"), F.coalesce(following - 1, F.col("pos"))))
+    rows = rows.withColumn("_at", F.explode(F.sequence("pos", "_last")))
+    own = {c: F.when(F.col("_at") == F.col("pos"), F.col(c)) for c in rest}
+    own[value] = F.coalesce(own[value], F.lit(0).cast(track.schema[value].dataType))
+    return rows.select(*keys, F.col("_at").alias("pos"), *(own[c].alias(c) for c in rest))
 
 
 def locus_span(regions: DataFrame) -> DataFrame:

@@ -249,3 +249,12 @@ def test_cigars(spark):
     df = spark.createDataFrame([("5S90M2D3I10N4M6S",), ("*",), (None,), ("10M",)], "c string")
     got = [r[0] for r in df.select(reads.reference_length(reads.parse_cigar(F.col("c")))).collect()]
     assert got == [106, None, None, 10]
+
+
+def test_densify(spark):
+    rows = [("a", 3, 5, "x"), ("a", 7, None, "y"), ("a", 7, 2, "z"), ("a", None, 9, "n"), ("b", 1, 4, "w")]
+    got = intervals.densify(spark.createDataFrame(rows, "k string, pos long, depth int, note string"), ["k"])
+    assert got.columns == ["k", "pos", "depth", "note"] and got.schema["depth"].dataType.simpleString() == "int"
+    expected = [("a", 3, 5, "x"), ("a", 4, 0, None), ("a", 5, 0, None), ("a", 6, 0, None), ("a", 7, 0, "y"), ("a", 7, 2, "z"), ("b", 1, 4, "w")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert intervals.densify(spark.createDataFrame([], "k string, pos long, depth int"), ["k"]).count() == 0
