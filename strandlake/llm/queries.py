@@ -128,3 +128,80 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE
   CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000
 """
+
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_phrase_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) s WHERE len(w) >= k)),
+totals AS (SELECT lang, CAST(count(*) AS HUGEINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT f.lang, f.phrase, f.k, f.a, c, array_to_string(list_slice(string_split(phrase, ' '), 1, c), ' ') AS lp, array_to_string(list_slice(string_split(phrase, ' '), c + 1, f.k), ' ') AS rp FROM f, (SELECT unnest(range(1, 5)) AS c) s WHERE c < f.k),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score, c.c
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM s) WHERE o = 1),
+whole AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = b.lang AND 100 * q.a >= 100 * b.a AND length(q.phrase) > length(b.phrase) AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM whole)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.sharding import assign, layout
+
+    found = assign(table(spark, sf_dir, "documents"), layout(40), layout(41))
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The CRC-32 table, by its rule, and a checksum taken byte by byte.
+_CRC = "tab AS (SELECT list(v ORDER BY i) AS l FROM (WITH RECURSIVE t(i, k, v) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END FROM t WHERE k < 8) SELECT * FROM t WHERE k = 8))"
+
+
+def _crc(text: str) -> str:
+    step = "lambda a, b: xor(a >> 8, l[CAST(xor(a, b) & 255 AS BIGINT) + 1])"
+    return f"CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST('0x' || substr(hex(encode({text})), i, 2) AS UBIGINT) for i in range(1, 2 * octet_length(encode({text})), 2)]), {step}), CAST(4294967295 AS UBIGINT)) AS BIGINT)"
+
+
+def _descent(nodes: str) -> str:
+    """k, shard: the winners of the draws at the three levels."""
+    draw = "-ln((CAST('0x' || substr(md5(k || ':' || path), 1, 13) AS BIGINT) + 1) / 4503599627370496.0) / weight"
+    first = f"(SELECT k, arg_min(path, {draw}) AS won FROM keys, (SELECT growth || '/' || region AS path, sum(weight) AS weight FROM {nodes} GROUP BY 1) GROUP BY k)"
+    second = f"(SELECT k, arg_min(path, {draw}) AS won FROM {first} JOIN (SELECT growth || '/' || region AS up, growth || '/' || region || '/' || rack AS path, sum(weight) AS weight FROM {nodes} GROUP BY 1, 2) ON up = won GROUP BY k)"
+    return f"(SELECT k, arg_min(shard, {draw}) AS shard FROM {second} JOIN (SELECT growth || '/' || region || '/' || rack AS up, growth || '/' || region || '/' || rack || '/' || shard AS path, shard, weight FROM {nodes}) ON up = won GROUP BY k)"
+
+
+SQL["op12_hash_tree_sharding"] = f"""
+WITH {_CRC},
+base AS (SELECT 0 AS growth, CAST(s // 20 AS INT) AS region, CAST(s // 5 % 4 AS INT) AS rack, CAST(s AS INT) AS shard, 1.0 AS weight FROM range(40) r(s)),
+grown AS (SELECT * FROM base UNION ALL SELECT 1, 0, 0, 40, 1.0),
+d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents), keys AS (SELECT DISTINCT k FROM d),
+rows AS (SELECT doc_id, CAST(octet_length(encode(t)) + 16 AS BIGINT) AS size, {_crc("t")} AS text_crc32, a.shard AS shard, b.shard AS grown_shard FROM tab, d JOIN {_descent("base")} a USING (k) JOIN {_descent("grown")} b USING (k))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM rows
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+hashed AS (SELECT run, {_crc("doc || ':' || run")} AS h FROM runs, tab WHERE length(run) >= 7),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+w AS (SELECT word, count(*) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+gone AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+near AS (SELECT a.word AS word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, g.word, g.n FROM w JOIN gone g ON g.rest = w.word UNION SELECT g.word, w.word, w.n FROM w JOIN gone g ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+chain(word, root, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, last AS root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, k) AS last FROM chain GROUP BY word) r ON r.word = f.word
+"""
