@@ -1,10 +1,10 @@
 """Phrase collocations: frequent phrases found by extending positional inverted lists, scored by their weakest cut.
 
 Texts are dealt to blocks, one per language, of some megabytes each. A block holds a list of ascending positions for each of
-its words; a phrase's list holds where it starts. A phrase is extended by merging its list with the lists of the words that
-stand next to its occurrences, kept to those that end a frequent phrase themselves. The lengths of a phrase's lists, summed
-over all blocks, are its exact frequency. Lists never leave their block: only counts travel, and the numbers of the phrases
-found frequent come back.
+its words; a phrase's list holds where it starts. A phrase is extended by merging its list with the lists of what stands next to
+its occurrences: the words that end a frequent phrase themselves. The lengths of a phrase's lists, summed over all blocks, are its
+exact frequency. Lists never leave their block: it sends the length of each under a hash of 64 bits, and gets the hashes back that
+are frequent over all blocks. Two phrases of one hash can only keep lists too many; frequencies are summed by phrase afterwards.
 
 Null texts are empty, a null language is `und`, repeated rows count each, an empty table gives no rows. Other columns don't matter.
 """
@@ -14,8 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import cut, drop_cut, slices, tidy
 
 #: Bytes of text that a task gathers before it closes its blocks, and that are split into words at a time.
-BLOCK, SLICE = 8 << 20, 1 << 20
+BLOCK, SLICE = 16 << 20, 1 << 20
 #: Parts in which a language's phrases are ranked before its best ones are put together.
 PARTS = 64
-LISTS = "block string, lang string, phrases array<string>, n array<int>, at binary"
+LISTS = "block long, lang string, names array<string>, n array<int>, at binary, words long"
+ENTRIES = "block long, h long, n int"
 #: A-Z become small, the characters that end a piece one mark, and tabs spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz;;;;;;;;; ")
 
@@ -51,18 +52,55 @@ def _stream(text: bytes, numbers: _Numbers) -> Iterator[np.ndarray]:
     yield np.zeros(1, np.int32)
 
 
-def _row(block: str, lang: str, phrases: pa.Array, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """A row of LISTS from the positions `at`, sorted by key; gaps between positions are stored, as they compress."""
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    counts = np.diff(np.append(starts, len(key))).astype(np.int32)
-    gaps = np.diff(at, prepend=0).astype(np.int32)
+def _row(block: int, lang: str, names: pa.Array, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row of LISTS. Gaps between positions are stored, bytes of one rank together, as that compresses."""
+    gaps = np.diff(at, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block]), pa.array([lang]), one(phrases.take(pa.array(key[starts])), pa.string()), one(pa.array(counts), pa.int32()), pa.array([gaps.tobytes()], pa.binary())],
-        names=["block", "lang", "phrases", "n", "at"],
+        [pa.array([block]), pa.array([lang]), one(names, pa.string()), one(pa.array(n), pa.int32()), pa.array([gaps], pa.binary()), pa.array([int(n.sum())])],
+        names=["block", "lang", "names", "n", "at", "words"],
     )
 
 
+class _Lists:
+    """The lists of one row: which name starts at which position, by position or by name."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.block, self.lang = batch.column("block")[i].as_py(), batch.column("lang")[i].as_py()
+        self.names = batch.column("names")[i].values
+        self.n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)
+        gaps = np.frombuffer(batch.column("at")[i].as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4")
+        self.at = np.cumsum(gaps, dtype=np.int32)
+        # a name has one hash in all blocks of a language
+        self.hashes = pd.util.hash_array(np.array(self.names.to_pylist(), object), categorize=False) ^ pd.util.hash_array(np.array([self.lang], object), categorize=False)
+
+    def own(self) -> tuple:
+        """The names themselves: (hashes, lengths of lists, positions by list, names by number)."""
+        return self.hashes, self.n, self.at, lambda kept: self.names.take(pa.array(kept))
+
+    def longer(self) -> tuple:
+        """The same for the phrases one word longer: the lists merged by position meet what starts one place on."""
+        which = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        order = np.argsort(self.at, kind="stable")
+        at, which = self.at[order], which[order]
+        next_to = np.flatnonzero(np.diff(at) == 1)
+        key = which[next_to].astype(np.int64) * len(self.n) + which[next_to + 1]
+        at = at[next_to]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs, n = key[starts], np.diff(np.append(starts, len(key))).astype(np.int32)
+        first, second = np.divmod(pairs, len(self.n))
+        with np.errstate(over="ignore"):
+            mixed = (self.hashes[first] * np.uint64(0x9E3779B97F4A7C15) ^ self.hashes[second]) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+        def named(kept: np.ndarray) -> pa.Array:
+            a, b = (self.names.take(pa.array(x[kept])).to_pylist() for x in (first, second))
+            return pa.array([f"{x} {y.rpartition(' ')[2]}" for x, y in zip(a, b)], pa.string())
+
+        return mixed ^ mixed >> np.uint64(29), n, at, named
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word lists of the blocks of a partition."""
     held: dict[str, tuple[_Numbers, list]] = {}
@@ -73,10 +111,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, (numbers, parts) in held.items():
             stream = np.concatenate(parts)
             order = np.argsort(stream, kind="stable")
-            order = order[np.searchsorted(stream[order], 1) :]
-            if len(order):
+            n = np.bincount(stream, minlength=len(numbers)).astype(np.int32)
+            if len(n) > 1:
                 made += 1
-                yield _row(f"{task}-{made}", lang, pa.array(list(numbers), pa.binary()), stream[order], order)
+                yield _row(task << 32 | made, lang, pa.array(list(numbers)[1:], pa.binary()), n[1:], order[n[0] :])
         held.clear()
 
     for batch in slices(batches):
@@ -93,55 +131,52 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of the phrases one word longer, from rows of LISTS and the numbers of the phrases kept."""
+def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Blocks with what they hold of k words, from lists of phrases one word shorter, or of words where k is 1."""
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, block = batch.column("lang")[i].as_py(), batch.column("block")[i].as_py()
-            phrases = batch.column("phrases")[i].values
-            n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)
-            at = np.cumsum(np.frombuffer(batch.column("at")[i].as_buffer(), np.int32), dtype=np.int32)
-            keep = np.zeros(len(phrases), bool)
-            keep[batch.column("kept")[i].values.to_numpy(zero_copy_only=False)] = True
-            which = np.repeat(np.arange(len(phrases), dtype=np.int32), n)
-            at, which = at[keep[which]], which[keep[which]]
-            # the kept lists merged by position; what starts one place on ends in the adjacent word
-            order = np.argsort(at, kind="stable")
-            at, which = at[order], which[order]
-            next_to = np.flatnonzero(np.diff(at) == 1)
-            first, second, at = which[next_to].astype(np.int64), which[next_to + 1], at[next_to]
-            if not len(at):
-                continue
-            key = first * len(phrases) + second
-            order = np.argsort(key, kind="stable")
-            key, at = key[order], at[order]
-            pairs, key = np.unique(key, return_inverse=True)
-            last = pa.array([p.rpartition(" ")[2] for p in phrases.to_pylist()], pa.string())
-            longer = pc.binary_join_element_wise(phrases.take(pa.array(pairs // len(phrases))), last.take(pa.array(pairs % len(phrases))), " ")
-            yield _row(block, lang, longer, key, at)
+            lists = _Lists(batch, i)
+            yield lists, batch, i, lists.own() if k == 1 else lists.longer()
     tidy()
 
 
+def _lengths(k: int):
+    """ENTRIES of a block's phrases of k words."""
+
+    def run(batches):
+        for lists, _, _, (hashes, n, _, _) in _each(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), lists.block, np.int64)), pa.array(hashes.view(np.int64)), pa.array(n)], names=["block", "h", "n"])
+
+    return run
+
+
+def _kept(k: int, last: bool):
+    """LISTS of a block's phrases of k words whose hash is among those kept; the last ones need no positions."""
+
+    def run(batches):
+        for lists, batch, i, (hashes, n, at, named) in _each(batches, k):
+            keep = np.isin(hashes.view(np.int64), batch.column("kept")[i].values.to_numpy(zero_copy_only=False))
+            yield _row(lists.block, lists.lang, named(np.flatnonzero(keep)), n[keep], at[:0] if last else at[np.repeat(keep, n)])
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, words: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, a) of the phrases of up to `words` words met `least` times or more, and (lang, n), the words of each language."""
     rows = docs.where("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    lists, found = cut(rows.mapInArrow(_index, LISTS)), []
+    lists = cut(rows.mapInArrow(_index, LISTS))
+    totals = cut(lists.groupBy("lang").agg(F.sum("words").alias("n")))
+    phrases = None
     for k in range(1, words + 1):
-        counts = lists.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "n")).alias("i", "x")).select("block", "lang", "i", F.col("x.phrases").alias("phrase"), F.col("x.n").alias("n"))
-        sums = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-        if k == 1:
-            totals = cut(counts.groupBy("lang").agg(F.sum("n").alias("n")))
-        often = cut(sums.where(F.col("a") >= least))
-        found.append(often.withColumn("k", F.lit(k)))
-        if k < words:
-            kept = counts.join(often, ["lang", "phrase"], "left_semi").groupBy("block", "lang").agg(F.collect_list("i").alias("kept"))
-            before, lists = lists, cut(lists.join(kept, ["block", "lang"]).mapInArrow(_extended, LISTS))
-            drop_cut(before)
+        entries = lists.mapInArrow(_lengths(k), ENTRIES).withColumn("f", F.sum("n").over(Window.partitionBy("h")))
+        kept = entries.where(F.col("f") >= least).groupBy("block").agg(F.collect_list("h").alias("kept"))
+        before, lists = lists, cut(lists.join(kept, "block").mapInArrow(_kept(k, k == words), LISTS))
+        drop_cut(before)
+        each = lists.select("lang", F.explode(F.arrays_zip("names", "n")).alias("x")).groupBy("lang", F.col("x.names").alias("phrase")).agg(F.sum("x.n").alias("a"))
+        often = cut(each.where(F.col("a") >= least)).select("lang", "phrase", F.lit(k).alias("k"), "a")
+        phrases = often if phrases is None else phrases.unionByName(often)
     drop_cut(lists)
-    phrases = found[0]
-    for more in found[1:]:
-        phrases = phrases.unionByName(more)
-    return phrases.select("lang", "phrase", "k", "a"), totals
+    return phrases, totals
 
 
 def _count(c: str):
