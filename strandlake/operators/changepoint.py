@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators import chunks
 from strandlake.operators.signal import align, fill_with_mean
 
 
@@ -240,12 +241,14 @@ def pooled_breakpoints(tracks: DataFrame, group: list[str], sample: str, signal:
 
 def best_single_cut(track: DataFrame, keys: list[str], value: str, min_size: int = 2) -> DataFrame:
     """keys, rn, cost: the row at which one cut leaves the least squared error, by prefix sums; the first of equals."""
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*keys).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy(*keys)
     v = F.col(value).cast("double")
-    rows = track.select(*keys, "rn", F.sum(v).over(before).alias("s"), F.sum(v * v).over(before).alias("q"), F.sum(v).over(all_).alias("st"), F.sum(v * v).over(all_).alias("qt"), F.count("*").over(all_).alias("n"))
+    parts = {"sv": F.sum("v"), "qv": F.sum(F.col("v") * F.col("v")), "nv": F.count("*")}
+    carried = {"s0": lambda w: F.coalesce(F.sum("sv").over(w.rowsBetween(*chunks.BEFORE)), F.lit(0.0)), "q0": lambda w: F.coalesce(F.sum("qv").over(w.rowsBetween(*chunks.BEFORE)), F.lit(0.0))}
+    carried |= {"st": chunks.total(F.sum, "sv"), "qt": chunks.total(F.sum, "qv"), "n": chunks.total(F.sum, "nv")}
+    rows = chunks.carry(track.select(*keys, "rn", v.alias("v")).withColumn("_c", chunks.of(F.col("rn"))), keys, parts, carried)
+    before = chunks.within(keys, "rn").rowsBetween(*chunks.BEFORE)
+    add = lambda total, x: F.col(total) + F.coalesce(F.sum(x).over(before), F.lit(0.0))
+    rows = rows.withColumns({"s": add("s0", F.col("v")), "q": add("q0", F.col("v") * F.col("v"))})
     k = F.col("rn") - 1
     cost = F.col("q") - F.col("s") * F.col("s") / k + (F.col("qt") - F.col("q")) - (F.col("st") - F.col("s")) * (F.col("st") - F.col("s")) / (F.col("n") - k)
     rows = rows.where((k >= min_size) & (F.col("n") - k >= min_size)).select(*keys, "rn", F.round(cost, 6).alias("cost"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators import chunks
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor((end - 1) / width))
@@ -52,11 +54,13 @@ def per_position(runs: DataFrame, keys: list[str]) -> DataFrame:
 def densify(track: DataFrame, keys: list[str], value: str = "depth") -> DataFrame:
     """Positions missing between a track's first and last one, with value 0 and nulls in other columns; null values become 0, null positions go.
 
-    Each row brings the positions up to the next one, so that no row holds a whole track and nothing is joined.
+    Each row brings the positions up to the next one; the last row of a chunk takes that from the chunks behind it.
     """
     rest = [c for c in track.columns if c not in (*keys, "pos")]
-    following = F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))
-    rows = track.where("pos IS NOT NULL").withColumn("_last", F.greatest(F.col("pos"), F.coalesce(following - 1, F.col("pos"))))
+    rows = track.where("pos IS NOT NULL").withColumn("_c", chunks.of(F.col("pos")))
+    rows = chunks.carry(rows, keys, {"_first": F.min("pos")}, {"_next": lambda w: F.lead("_first").over(w)})
+    following = F.coalesce(F.lead("pos").over(chunks.within(keys, "pos")), F.col("_next"))
+    rows = rows.withColumn("_last", F.greatest(F.col("pos"), F.coalesce(following - 1, F.col("pos"))))
     rows = rows.withColumn("_at", F.explode(F.sequence("pos", "_last")))
     own = {c: F.when(F.col("_at") == F.col("pos"), F.col(c)) for c in rest}
     own[value] = F.coalesce(own[value], F.lit(0).cast(track.schema[value].dataType))
