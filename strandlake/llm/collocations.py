@@ -3,8 +3,8 @@
 Texts are dealt to blocks, one per language, of some megabytes each. A block holds a list of ascending positions for each of
 its words; a phrase's list holds where it starts. A phrase is extended by merging its list with the lists of what stands next to
 its occurrences: the words that end a frequent phrase themselves. The lengths of a phrase's lists, summed over all blocks, are its
-exact frequency. Lists never leave their block: it sends the length of each under a hash of 64 bits, and gets the hashes back that
-are frequent over all blocks. Two phrases of one hash can only keep lists too many; frequencies are summed by phrase afterwards.
+exact frequency. Blocks send those lengths only, a word's under its text and a longer phrase's under the numbers of its parts, and
+get the numbers back of what is frequent over all blocks; the words of phrases are put together from their numbers at the end.
 
 Null texts are empty, a null language is `und`, repeated rows count each, an empty table gives no rows. Other columns don't matter.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -26,8 +25,10 @@ from strandlake.llm.common import cut, drop_cut, slices, tidy
 BLOCK, SLICE = 16 << 20, 1 << 20
 #: Parts in which a language's phrases are ranked before its best ones are put together.
 PARTS = 64
-LISTS = "block long, lang string, names array<string>, n array<int>, at binary, words long"
-ENTRIES = "block long, h long, n int"
+WORDS = "block long, lang string, words array<string>, n binary, at binary, total long"
+LISTS = "block long, lang string, ids binary, n binary, at binary"
+#: What blocks send: lengths of lists by word, or by the numbers of a phrase without its last and without its first word.
+WORD, PAIR = ["lang", "word"], ["first", "second"]
 #: A-Z become small, the characters that end a piece one mark, and tabs spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz;;;;;;;;; ")
 
@@ -52,53 +53,37 @@ def _stream(text: bytes, numbers: _Numbers) -> Iterator[np.ndarray]:
     yield np.zeros(1, np.int32)
 
 
-def _row(block: int, lang: str, names: pa.Array, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """A row of LISTS. Gaps between positions are stored, bytes of one rank together, as that compresses."""
-    gaps = np.diff(at, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block]), pa.array([lang]), one(names, pa.string()), one(pa.array(n), pa.int32()), pa.array([gaps], pa.binary()), pa.array([int(n.sum())])],
-        names=["block", "lang", "names", "n", "at", "words"],
-    )
-
-
-class _Lists:
-    """The lists of one row: which name starts at which position, by position or by name."""
-
-    def __init__(self, batch: pa.RecordBatch, i: int):
-        self.block, self.lang = batch.column("block")[i].as_py(), batch.column("lang")[i].as_py()
-        self.names = batch.column("names")[i].values
-        self.n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)
-        gaps = np.frombuffer(batch.column("at")[i].as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4")
-        self.at = np.cumsum(gaps, dtype=np.int32)
-        # a name has one hash in all blocks of a language
-        self.hashes = pd.util.hash_array(np.array(self.names.to_pylist(), object), categorize=False) ^ pd.util.hash_array(np.array([self.lang], object), categorize=False)
-
-    def own(self) -> tuple:
-        """The names themselves: (hashes, lengths of lists, positions by list, names by number)."""
-        return self.hashes, self.n, self.at, lambda kept: self.names.take(pa.array(kept))
-
-    def longer(self) -> tuple:
-        """The same for the phrases one word longer: the lists merged by position meet what starts one place on."""
-        which = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
-        order = np.argsort(self.at, kind="stable")
-        at, which = self.at[order], which[order]
-        next_to = np.flatnonzero(np.diff(at) == 1)
-        key = which[next_to].astype(np.int64) * len(self.n) + which[next_to + 1]
-        at = at[next_to]
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
-        pairs, n = key[starts], np.diff(np.append(starts, len(key))).astype(np.int32)
-        first, second = np.divmod(pairs, len(self.n))
-        with np.errstate(over="ignore"):
-            mixed = (self.hashes[first] * np.uint64(0x9E3779B97F4A7C15) ^ self.hashes[second]) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-        def named(kept: np.ndarray) -> pa.Array:
-            a, b = (self.names.take(pa.array(x[kept])).to_pylist() for x in (first, second))
-            return pa.array([f"{x} {y.rpartition(' ')[2]}" for x, y in zip(a, b)], pa.string())
-
-        return mixed ^ mixed >> np.uint64(29), n, at, named
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as their differences, bytes of one rank together, compressed."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return len(steps).to_bytes(8, "little") + pa.compress(steps.view(np.uint8).reshape(len(steps), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(planes.reshape(width, n).T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _of(batch: pa.RecordBatch, i: int, name: str, kind: str) -> np.ndarray:
+    return _unpacked(batch.column(name)[i].as_py(), kind)
+
+
+def _longer(ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lists of the phrases one word longer: first and second part, lengths, positions by list.
+
+    The lists are merged by position; what starts one place on is a frequent phrase too, and ends in the adjacent word.
+    """
+    which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    order = np.argsort(at, kind="stable")
+    at, which = at[order], which[order]
+    next_to = np.flatnonzero(np.diff(at) == 1)
+    key, at = which[next_to].astype(np.int64) * len(n) + which[next_to + 1], at[next_to]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    first, second = np.divmod(key[starts], max(len(n), 1))
+    return ids[first], ids[second], np.diff(np.append(starts, len(key))).astype(np.int32), at
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +99,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(stream, minlength=len(numbers)).astype(np.int32)
             if len(n) > 1:
                 made += 1
-                yield _row(task << 32 | made, lang, pa.array(list(numbers)[1:], pa.binary()), n[1:], order[n[0] :])
+                words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
+                row = [task << 32 | made], [lang], pa.ListArray.from_arrays([0, len(words)], words), [_packed(n[1:])], [_packed(order[n[0] :].astype(np.int32))], [int(n[1:].sum())]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in row], names=["block", "lang", "words", "n", "at", "total"])
         held.clear()
 
     for batch in slices(batches):
@@ -131,51 +118,90 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """Blocks with what they hold of k words, from lists of phrases one word shorter, or of words where k is 1."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            lists = _Lists(batch, i)
-            yield lists, batch, i, lists.own() if k == 1 else lists.longer()
+        yield from ((batch, i) for i in range(batch.num_rows))
     tidy()
 
 
-def _lengths(k: int):
-    """ENTRIES of a block's phrases of k words."""
+def _word_lengths(batches):
+    """block, i, lang, word, n of the words of blocks."""
+    for batch, i in _rows(batches):
+        words, n = batch.column("words")[i].values, _of(batch, i, "n", "<i4")
+        block, lang = (pa.array([batch.column(c)[i].as_py()] * len(n)) for c in ("block", "lang"))
+        yield pa.RecordBatch.from_arrays([block, lang, pa.array(np.arange(len(n))), words, pa.array(n)], names=["block", "lang", "i", "word", "n"])
 
-    def run(batches):
-        for lists, _, _, (hashes, n, _, _) in _each(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), lists.block, np.int64)), pa.array(hashes.view(np.int64)), pa.array(n)], names=["block", "h", "n"])
 
-    return run
+def _pair_lengths(batches):
+    """block, first, second, n of the phrases one word longer than those of blocks."""
+    for batch, i in _rows(batches):
+        first, second, n, _ = _longer(_of(batch, i, "ids", "<i8"), _of(batch, i, "n", "<i4"), _of(batch, i, "at", "<i4"))
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(n), pa.int64()), pa.array(first), pa.array(second), pa.array(n)], names=["block", "first", "second", "n"])
 
 
-def _kept(k: int, last: bool):
-    """LISTS of a block's phrases of k words whose hash is among those kept; the last ones need no positions."""
+def _kept(k: int):
+    """LISTS of a block's phrases of k words that are frequent (kept: their keys and ids), with those ids."""
 
     def run(batches):
-        for lists, batch, i, (hashes, n, at, named) in _each(batches, k):
-            keep = np.isin(hashes.view(np.int64), batch.column("kept")[i].values.to_numpy(zero_copy_only=False))
-            yield _row(lists.block, lists.lang, named(np.flatnonzero(keep)), n[keep], at[:0] if last else at[np.repeat(keep, n)])
+        for batch, i in _rows(batches):
+            kept = batch.column("kept")[i].values
+            n, at = _of(batch, i, "n", "<i4"), _of(batch, i, "at", "<i4")
+            ids, keys = kept.field("id").to_numpy(), [kept.field(f).to_numpy() for f in (("i",) if k == 1 else PAIR)]
+            if k == 1:
+                found = np.full(len(n), -1, np.int64)
+                found[keys[0]] = ids
+            else:
+                first, second, n, at = _longer(_of(batch, i, "ids", "<i8"), n, at)
+                # both sides by the numbers of their parts; what is kept is there, so places are exact
+                order, mine = np.lexsort(keys[::-1]), np.lexsort((second, first))
+                found = np.full(len(n), -1, np.int64)
+                a, b = np.stack([first[mine], second[mine]], 1), np.stack([x[order] for x in keys], 1)
+                pair = np.dtype([("f", "<i8"), ("s", "<i8")])
+                places = np.searchsorted(a.view(pair).ravel(), b.copy().view(pair).ravel())
+                found[mine[places]] = ids[order]
+            keep = found >= 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), *(pa.array([_packed(x)]) for x in (found[keep], n[keep], at[np.repeat(keep, n)]))],
+                names=["block", "lang", "ids", "n", "at"],
+            )
 
     return run
 
 
+def _frequent(lengths: DataFrame, key: list[str], least: int) -> DataFrame:
+    """The rows of lengths whose key adds up to `least` or more, with that sum as a and a number of the key's own as id."""
+    over = Window.partitionBy(*key)
+    rows = lengths.withColumn("u", F.monotonically_increasing_id())
+    return rows.select("*", F.sum("n").over(over).alias("a"), F.min("u").over(over).alias("id")).where(F.col("a") >= least)
+
+
 def frequent_phrases(docs: DataFrame, words: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, a) of the phrases of up to `words` words met `least` times or more, and (lang, n), the words of each language."""
     rows = docs.where("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    lists = cut(rows.mapInArrow(_index, LISTS))
-    totals = cut(lists.groupBy("lang").agg(F.sum("words").alias("n")))
-    phrases = None
+    lists = cut(rows.mapInArrow(_index, WORDS))
+    totals = cut(lists.groupBy("lang").agg(F.sum("total").alias("n")))
+    found = []
     for k in range(1, words + 1):
-        entries = lists.mapInArrow(_lengths(k), ENTRIES).withColumn("f", F.sum("n").over(Window.partitionBy("h")))
-        kept = entries.where(F.col("f") >= least).groupBy("block").agg(F.collect_list("h").alias("kept"))
-        before, lists = lists, cut(lists.join(kept, "block").mapInArrow(_kept(k, k == words), LISTS))
-        drop_cut(before)
-        each = lists.select("lang", F.explode(F.arrays_zip("names", "n")).alias("x")).groupBy("lang", F.col("x.names").alias("phrase")).agg(F.sum("x.n").alias("a"))
-        often = cut(each.where(F.col("a") >= least)).select("lang", "phrase", F.lit(k).alias("k"), "a")
-        phrases = often if phrases is None else phrases.unionByName(often)
+        lengths = lists.mapInArrow(_word_lengths, "block long, lang string, i long, word string, n int") if k == 1 else lists.mapInArrow(_pair_lengths, "block long, first long, second long, n int")
+        often = cut(_frequent(lengths, WORD if k == 1 else PAIR, least))
+        own = often.where("u = id")
+        if k == 1:
+            names = own.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a")
+        else:
+            first = names.select(F.col("id").alias("first"), "lang", "phrase")
+            second = names.select(F.col("id").alias("second"), "last")
+            names = own.select("id", "first", "second", "a").join(first, "first").join(second, "second").select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a")
+        names = cut(names)
+        found.append(names.select("lang", "phrase", F.lit(k).alias("k"), "a"))
+        if k < words:
+            kept = often.groupBy("block").agg(F.collect_list(F.struct("i", "id") if k == 1 else F.struct(*PAIR, "id")).alias("kept"))
+            before, lists = lists, cut(lists.join(kept, "block").mapInArrow(_kept(k), LISTS))
+            drop_cut(before)
+        drop_cut(often)
     drop_cut(lists)
+    phrases = found[0]
+    for more in found[1:]:
+        phrases = phrases.unionByName(more)
     return phrases, totals
 
 
