@@ -46,6 +46,27 @@ def depth_runs(intervals: DataFrame, keys: list[str], start: str = "start", end:
     return runs.where("depth > 0")
 
 
+def coverage_index(runs: DataFrame, keys: list[str], chunk: int = 1 << 14) -> DataFrame:
+    """keys, c, steps: a row per chunk of positions with its runs (start, end, depth, before) in order; before is the coverage from the chunk's start on."""
+    cut = runs.where(F.col("start") < F.col("end")).withColumn("c", F.explode(_bins(F.col("start"), F.col("end"), chunk)))
+    cut = cut.select(*keys, "c", F.greatest("start", F.col("c") * chunk).alias("start"), F.least("end", (F.col("c") + 1) * chunk).alias("end"), "depth")
+    order = Window.partitionBy(*keys, "c").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.coalesce(F.sum(F.col("depth") * (F.col("end") - F.col("start"))).over(order), F.lit(0)))
+    return cut.groupBy(*keys, "c").agg(F.array_sort(F.collect_list(F.struct("start", "end", "depth", "before"))).alias("steps"))
+
+
+def covered(index: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, out: str, chunk: int = 1 << 14) -> DataFrame:
+    """keys, start, end, out of distinct spans: their coverage, by what the index adds up to at both ends. Spans without any have no row."""
+    parts = spans.select(*keys, start, end).distinct().where(F.col(start) < F.col(end)).withColumn("c", F.explode(_bins(F.col(start), F.col(end), chunk)))
+
+    def up_to(p: Column) -> Column:
+        step = F.element_at(F.filter("steps", lambda s: s["start"] < p), -1)
+        return F.coalesce(step["before"] + step["depth"] * (F.least(step["end"], p) - step["start"]), F.lit(0))
+
+    met = parts.join(index, [*keys, "c"]).select(*keys, start, end, (up_to(F.col(end)) - up_to(F.col(start))).alias("_n"))
+    return met.groupBy(*keys, start, end).agg(F.sum("_n").alias(out))
+
+
 def per_position(runs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, depth: a row for every position of the runs."""
     return runs.select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), "depth")

@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.intervals import range_join
+from strandlake.operators.intervals import coverage_index, covered
+
+#: Positions of a chunk of the index that an expansion reads.
+BASES = 1 << 14
 
 
 def probe_grid(spans: DataFrame, size: int, spacing: int, each_side: int) -> DataFrame:
@@ -26,11 +29,10 @@ def probe_profile(runs: DataFrame, spans: DataFrame, keys: list[str], ref_median
     if end is not None:
         grid = grid.withColumn("p_end", F.least("p_end", F.lit(end)))
     grid = grid.select(*keys, "probe", "centre", "p_start", "p_end", ref_median)
-    met = range_join(runs.select(*keys, "start", "end", "depth"), grid, keys, max(size, 1), ("start", "end"), ("p_start", "p_end"))
-    sums = met.groupBy(*keys, "probe").agg(F.sum(F.col("depth") * (F.least("end", "p_end") - F.greatest("start", "p_start"))).alias("total"))
+    sums = covered(coverage_index(runs, keys), grid, keys, "p_start", "p_end", "total")
     mean = F.coalesce("total", F.lit(0)) / (F.col("p_end") - F.col("p_start"))
     ratio = F.when((F.col("p_end") > F.col("p_start")) & (F.col(ref_median) > 0), mean / F.col(ref_median)).otherwise(0.0)
-    return grid.join(sums, [*keys, "probe"], "left").select(*keys, "probe", "centre", ratio.alias("ratio"))
+    return grid.join(sums, [*keys, "p_start", "p_end"], "left").select(*keys, "probe", "centre", ratio.alias("ratio"))
 
 
 def profiles(probes: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,15 +171,18 @@ def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: in
     """keys, plot_start, plot_end: every locus (start, end, target_cov, reference_cov) expanded over its own depth runs."""
     reach = F.lit(most) if most else 10 * (F.col("end") - F.col("start"))
     windows = loci.select(*(F.col(k).alias(k) for k in keys), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "target_cov", "reference_cov", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
-    near = runs.select(*(F.col(k).alias(k) for k in keys), "start", "end", "depth").join(windows.select(*keys, "w_start", "w_end"), keys).where("start < w_end AND end > w_start").select(*(F.col(k).alias(k) for k in keys), "start", "end", "depth")
+    # the locus gets a row per chunk of its window, whatever the depth
+    near = coverage_index(runs, keys, BASES).join(windows.select(*(F.col(k).alias(k) for k in keys), "w_start", "w_end"), keys)
+    near = near.where((F.col("c") * BASES < F.col("w_end")) & ((F.col("c") + 1) * BASES > F.col("w_start"))).select(*(F.col(k).alias(k) for k in keys), *(F.col("steps")[x].alias(x) for x in ("start", "end", "depth")))
     schema = loci.select(*keys, F.lit(0).cast("long").alias("plot_start"), F.lit(0).cast("long").alias("plot_end")).schema
 
     def kernel(track, locus):
         import pandas as pd
 
         out = []
+        start, end, depth = (np.concatenate([*track[x], np.empty(0, np.int64)]) for x in ("start", "end", "depth"))
         for _, r in locus.iterrows():
-            t = Track(track["start"].to_numpy(), track["end"].to_numpy(), track["depth"].to_numpy(), int(r["w_start"]), int(r["w_end"]))
+            t = Track(start, end, depth, int(r["w_start"]), int(r["w_end"]))
             a, b = expand(t, int(r["l_start"]), int(r["l_end"]), r["target_cov"], r["reference_cov"], size, spacing, number, drops, most, symmetric=symmetric, max_spacing=max_spacing)
             out.append([*(r[k] for k in keys), a, b])
         return pd.DataFrame(out, columns=schema.names)

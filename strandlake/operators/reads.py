@@ -40,20 +40,41 @@ def blocks(alignments: DataFrame, skips: bool = True) -> DataFrame:
     return alignments.select("sample", "rname", F.explode(parts).alias("b")).select("sample", "rname", "b.start", "b.end")
 
 
-def aligned_bases(alignments: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """sample, rname, the columns to keep, pos, base, quality of every base that is aligned to a position."""
-    own = ["sample", "rname", *(keep or [])]
+def _aligned(pos: Column, cigar: Column) -> Column:
+    """An array of (r, q, n): n bases from place q of the sequence are aligned to positions from r on."""
     step = lambda a, x: F.struct(
         (a["r"] + F.when(x["op"].isin(*ON_REFERENCE), x["len"]).otherwise(0)).alias("r"),
         (a["q"] + F.when(x["op"].isin(0, 1, 4, 7, 8), x["len"]).otherwise(0)).alias("q"),
         F.when(x["op"].isin(0, 7, 8), F.concat(a["out"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q"), x["len"].alias("n"))))).otherwise(a["out"]).alias("out"),
     )
-    none = F.struct(F.col("pos0").cast("int").alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r: int, q: int, n: int>>").alias("out"))
-    rows = alignments.where("seq is not null").select(*own, "seq", "quals", F.explode(F.aggregate("cigar", none, step, lambda a: a["out"])).alias("b"))
+    none = F.struct(pos.cast("int").alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r: int, q: int, n: int>>").alias("out"))
+    return F.aggregate(cigar, none, step, lambda a: a["out"])
+
+
+def aligned_bases(alignments: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """sample, rname, the columns to keep, pos, base, quality of every base that is aligned to a position."""
+    own = ["sample", "rname", *(keep or [])]
+    rows = alignments.where("seq is not null").select(*own, "seq", "quals", F.explode(_aligned(F.col("pos0"), F.col("cigar"))).alias("b"))
     rows = rows.select(*own, "seq", "quals", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
     return rows.select(*own, (F.col("b.r") + F.col("k")).alias("pos"), F.upper(F.substr("seq", F.col("b.q") + F.col("k") + 1, F.lit(1))).alias("base"), F.coalesce(F.get("quals", F.col("b.q") + F.col("k")).cast("int"), F.lit(255)).alias("quality"))
 
 
+def good_stretches(alignments: DataFrame, keep: list[str], min_quality: int = 13) -> DataFrame:
+    """The columns to keep, start, end of every stretch of aligned A, C, G and T of enough quality; missing qualities are enough.
+
+    A row per stretch, not per base: the few bases that don't count cut a read's aligned blocks.
+    """
+    rows = alignments.where("seq is not null").withColumn("_b", F.split(F.upper("seq"), ""))
+    spoilt = lambda i: ~F.coalesce(F.get("_b", i).isin(*"ACGT"), F.lit(False)) | (F.coalesce(F.get("quals", i).cast("int"), F.lit(255)) < min_quality)
+    rows = rows.withColumn("_bad", F.filter(F.sequence(F.lit(0), F.char_length("seq") - 1), spoilt)).select(*keep, "_bad", F.explode(_aligned(F.col("pos0"), F.col("cigar"))).alias("x"))
+    q, n = F.col("x.q"), F.col("x.n")
+    rows = rows.select(*keep, "x", F.concat(F.array(q - 1), F.filter("_bad", lambda i: (i >= q) & (i < q + n)), F.array(q + n)).alias("_cuts"))
+    pieces = F.zip_with(F.slice("_cuts", 1, F.size("_cuts") - 1), F.slice("_cuts", 2, F.size("_cuts") - 1), lambda a, b: F.struct((a + 1).alias("a"), b.alias("b")))
+    shift = F.col("x.r") - q
+    rows = rows.select(*keep, shift.alias("_d"), F.explode(F.filter(pieces, lambda p: p["a"] < p["b"])).alias("p"))
+    return rows.select(*keep, (F.col("p.a") + F.col("_d")).cast("long").alias("start"), (F.col("p.b") + F.col("_d")).cast("long").alias("end"))
+
+
 def valid(alignments: DataFrame, for_junctions: bool = True) -> DataFrame:
     """Reads with a CIGAR of one operation or more, and for junctions also with a sequence."""
     return alignments.where("seq is not null AND size(cigar) > 0") if for_junctions else alignments.where("size(cigar) > 0")

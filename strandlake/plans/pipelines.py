@@ -164,16 +164,15 @@ def clip_density(clips: DataFrame, points: int = 200) -> DataFrame:
 
 
 def base_depth(alignments: DataFrame, windows: DataFrame, keys: list[str], min_quality: int = 13) -> DataFrame:
-    """keys, start, end, depth per position inside windows (keys with sample, chrom, w_start, w_end): A, C, G and T of enough quality.
+    """keys, start, end, depth inside windows (keys with sample, chrom, w_start, w_end): A, C, G and T of enough quality, in steps of one depth.
 
-    Reads of any mapping quality count, but for unmapped, secondary, failed and duplicate ones.
+    Reads of any mapping quality count, but for unmapped, secondary, failed and duplicate ones. Rows grow with reads, not with bases.
     """
     where = windows.select(*keys, F.col("chrom").alias("rname"), F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"))
     good = alignments.where((F.col("flag").bitwiseAND(0x704) == 0) & (F.col("pos0") >= 0))
     near = intervals.range_join(good, where, ["sample", "rname"], WIDTH, ("pos0", "end0"))
-    bases = reads.aligned_bases(near, [*(k for k in keys if k != "sample"), "r_start", "r_end"]).where("pos >= r_start AND pos < r_end")
-    depth = stats.nucleotide_counts(bases, [*keys, "pos"], min_quality).where("depth > 0")
-    return depth.select(*keys, F.col("pos").cast("long").alias("start"), (F.col("pos") + 1).cast("long").alias("end"), "depth")
+    inside = intervals.clip_to(reads.good_stretches(near, [*keys, "r_start", "r_end"], min_quality))
+    return intervals.depth_runs(inside, keys)
 
 
 def filtered_hits(found: DataFrame, breakpoints: DataFrame, extension: int, allowed: DataFrame | None = None) -> DataFrame:
