@@ -60,7 +60,7 @@ def covered(index: DataFrame, spans: DataFrame, keys: list[str], start: str, end
     parts = spans.select(*keys, start, end).distinct().where(F.col(start) < F.col(end)).withColumn("c", F.explode(_bins(F.col(start), F.col(end), chunk)))
 
     def up_to(p: Column) -> Column:
-        step = F.element_at(F.filter("steps", lambda s: s["start"] < p), -1)
+        step = F.try_element_at(F.filter("steps", lambda s: s["start"] < p), F.lit(-1))
         return F.coalesce(step["before"] + step["depth"] * (F.least(step["end"], p) - step["start"]), F.lit(0))
 
     met = parts.join(index, [*keys, "c"]).select(*keys, start, end, (up_to(F.col(end)) - up_to(F.col(start))).alias("_n"))

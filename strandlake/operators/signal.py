@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import chunks
 from strandlake.operators.intervals import range_join
+from strandlake.shared import settled
 
 
 def numbered(track: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
@@ -116,11 +117,11 @@ def align(tracks: DataFrame, group: list[str], sample: str, value: str) -> DataF
     Rows of one position are averaged; missing values are interpolated by rank between their neighbours and filled outwards
     at both ends. Neighbours in other chunks are carried over.
     """
-    mean = tracks.groupBy(*group, sample, "pos").agg(F.avg(value).alias(value))
+    mean = settled(tracks.groupBy(*group, sample, "pos").agg(F.avg(value).alias(value)))
     grid = numbered(mean.select(*group, "pos").distinct(), group).withColumnRenamed("rn", "rank").withColumn("_c", chunks.of(F.col("pos")))
     # samples meet the grid chunk by chunk, so that a group's positions aren't one key
     members = grid.select(*group, "_c").distinct().join(mean.select(*group, sample).distinct(), group)
-    rows = grid.join(members, [*group, "_c"]).join(mean, [*group, sample, "pos"], "left")
+    rows = settled(grid.join(members, [*group, "_c"]).join(mean, [*group, sample, "pos"], "left"))
     keys = [*group, sample]
     rows = rows.withColumn("_at", F.when(F.col(value).isNotNull(), F.struct(F.col("rank").alias("r"), F.col(value).alias("v"))))
     rows = chunks.carry(
@@ -146,7 +147,7 @@ def depth_track(runs_by_position: DataFrame, keys: list[str], ref_median: str, w
     track = runs_by_position.withColumn("norm", F.col("depth") / F.col(ref_median))
     track = within_limits(track, keys, "norm", *limits) if limits else numbered(track, keys)
     track = chunks.moving(track, keys, w, moving_average=("median", "norm"), moving_variances=("variance", "norm"), covariance=("covariance", "depth"))
-    track = rescale(track, keys, "covariance", "norm")
+    track = rescale(settled(track), keys, "covariance", "norm")
     if bin_size:
         track = bin_means(track, keys, bin_size, ["pos", "moving_average", "moving_variances", "covariance"])
     return track.select(*keys, "rn", "pos", "depth", "norm", "moving_average", "moving_variances", "covariance")

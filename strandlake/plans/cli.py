@@ -94,16 +94,21 @@ def coverage(spark: SparkSession, args) -> str:
     os.makedirs(folder, exist_ok=True)
     base = os.path.join(folder, os.path.basename(args.outfile))
     paths = [s.path for s in samples]
-    rows = bam.alignments(spark, paths)
-    blocks = reads.blocks(reads.usable(rows.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom")
-    # the matrix needs the reads over its regions only
-    within = bam.alignments(spark, paths, regions=[(r.chrom, r.start - 1, r.end + 1) for r in regions.collect()])
-    found = pipelines.coverage(reads.blocks(reads.usable(within.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom"), regions, args.norm).cache()
+
+    def over(df, start: str, end: str, chrom: str = "chrom"):
+        """The reads over a table of regions, a row per locus or the like: only their blocks are read."""
+        return bam.alignments(spark, paths, regions=[(r[0], r[1] - 1, r[2] + 1) for r in df.select(chrom, start, end).distinct().collect()])
+
+    def blocks(alignments):
+        return reads.blocks(reads.usable(alignments.where("pos0 >= 0"))).withColumnRenamed("rname", "chrom")
+
+    found = pipelines.coverage(blocks(over(regions, "start", "end")), regions, args.norm).cache()
     # loci without depth are NA, unless tracks are asked for too
     shown = found if args.plot else pipelines.with_missing(found, [r.locus for r in regions.select("locus").distinct().collect()])
     sinks.write_matrix(matrix.to_wide(pipelines.packed(shown), [s.sample for s in samples], "cell"), f"{base}_coverage.tsv", sinks.coverage_comments())
     if args.mutation:
-        cells = pipelines.genotypes(rows, tables.mutations(spark, args.mutation)).withColumnRenamed("mutation_id", "locus")
+        mutations = tables.mutations(spark, args.mutation)
+        cells = pipelines.genotypes(over(mutations, "pos0", "pos0"), mutations, samples=tables.samples(spark, args.bam)).withColumnRenamed("mutation_id", "locus")
         sinks.write_matrix(matrix.to_wide(cells, [s.sample for s in samples], "cell").toDF("mutation_id", *paths), f"{base}_mutations.tsv", [])
     sinks.write_parameters(vars(args), f"{base}_parameters.tsv")
     if not args.plot:
@@ -120,14 +125,14 @@ def coverage(spark: SparkSession, args) -> str:
         # probes read bases of enough quality, whatever the mapping quality
         reach = max(args.max_extension if args.plot_auto else 0, args.probe_n_each_side * args.probe_spacing + args.probe_size)
         windows = spans.join(chosen.select("sample", "locus"), "locus").select("sample", "locus", "chrom", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
-        runs = pipelines.base_depth(rows, windows, ["sample", "locus"]).cache()
+        runs = pipelines.base_depth(over(windows, "w_start", "w_end"), windows, ["sample", "locus"]).cache()
     if args.plot_auto:
         loci = spans.join(chosen, "locus").join(ref, "sample").select("sample", "locus", "start", "end", F.col("mean").alias("target_cov"), F.col("ref_median").alias("reference_cov"))
         each = probes.expand_intervals(runs, loci, ["sample", "locus"], args.probe_size, args.probe_spacing, args.probe_number, args.probe_drops, args.max_extension, args.probe_symmetric, args.probe_max_spacing)
         expanded = each.groupBy("locus").agg(F.min("plot_start").alias("plot_start"), F.max("plot_end").alias("plot_end"))
     plot = intervals.plot_interval(proportional, expanded, given).join(spans.select("locus", "chrom"), "locus")
     limits = tuple(args.plot_doclim) if args.plot_doclim else None
-    track = pipelines.tracks(blocks, found, plot, args.norm, args.plot_slw, limits, args.plot_bin, -1.0 if args.plot_force else args.plot_threshold).cache()
+    track = pipelines.tracks(blocks(over(plot, "plot_start", "plot_end")), found, plot, args.norm, args.plot_slw, limits, args.plot_bin, -1.0 if args.plot_force else args.plot_threshold).cache()
     pipelines.plot_data(track, spans).write.mode("overwrite").parquet(f"{base}_tracks.parquet")
     how = {"algo": args.bkp_algo, "model": args.bkp_model, "n_bkps": args.bkp_nb, "pen": args.bkp_pen}
     groups = None
@@ -158,14 +163,15 @@ def clips(spark: SparkSession, args) -> str:
     if args.command == "softclips":  # a sample that isn't listed is looked for beside the run
         beside = [os.path.abspath(f"{r.sample}.bam") for r in points.select("sample").distinct().collect() if r.sample not in {s.sample for s in listed}]
         paths += [p for p in beside if os.path.exists(p)]
-    rows = bam.alignments(spark, paths)
+    with_reads = args.command == "junctions" and (args.junction or args.junction_fastq)
+    rows = bam.alignments(spark, paths, regions=pipelines.read_regions(points, args.extension, with_reads))
     if isinstance(args.pairs, str) and "://" not in args.pairs:
         args.pairs = os.path.abspath(args.pairs)
     allowed = tables.pairs(spark, args.pairs)
     if args.command == "softclips":
         found = {"clips": pipelines.softclips(rows, points, args.size, args.extension)}
     else:
-        found = pipelines.junctions(rows, points, args.size, args.extension, allowed, args.junction or args.junction_fastq)
+        found = pipelines.junctions(rows, points, args.size, args.extension, allowed, with_reads, bam.alignments(spark, paths, unmapped=True))
         sinks.write_tsv(found["bridges"], f"{args.output}_bridging_pairs")
     ordered = points.withColumn("ord", F.monotonically_increasing_id())
     reports = {}
@@ -183,7 +189,7 @@ def clips(spark: SparkSession, args) -> str:
     if "reads" in found:
         sinks.junction_fasta(found["reads"]).write.mode("overwrite").partitionBy("sample", "pair").text(f"{args.output}_junction_reads")
         if args.junction_fastq:
-            sinks.junction_fastq(found["reads"], rows).write.mode("overwrite").partitionBy("sample", "pair").text(f"{args.output}_junction_fastq")
+            sinks.junction_fastq(found["reads"], bam.alignments(spark, paths)).write.mode("overwrite").partitionBy("sample", "pair").text(f"{args.output}_junction_fastq")
     if args.hits:
         kept = pipelines.filtered_hits(tables.hits(spark, args.hits), points, args.extension, allowed)
         sinks.write_tsv(kept.drop("ord"), f"{args.output}_filtered_pairs", header=False)

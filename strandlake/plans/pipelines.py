@@ -71,14 +71,14 @@ def probe_groups(runs: DataFrame, spans: DataFrame, threshold: float = 0.8, dist
     return probes.hamming_clusters(found.withColumn("bits", probes.binarised(F.col("profile"), threshold)), ["locus"], "sample", "bits", distance)
 
 
-def genotypes(alignments: DataFrame, mutations: DataFrame, min_quality: int = 13) -> DataFrame:
-    """mutation_id, sample, cell (A=;T=;C=;G=;depth=) for every mutation and sample; NA where no base is read."""
+def genotypes(alignments: DataFrame, mutations: DataFrame, min_quality: int = 13, samples: DataFrame | None = None) -> DataFrame:
+    """mutation_id, sample, cell (A=;T=;C=;G=;depth=) for every mutation and sample (of `samples`, if given); NA where no base is read."""
     points = mutations.select("mutation_id", F.col("chrom").alias("rname"), F.col("pos0").alias("r_start"), (F.col("pos0") + 1).alias("r_end"))
     near = intervals.range_join(alignments.where("pos0 >= 0"), points, ["rname"], WIDTH, ("pos0", "end0")).drop("r_start", "r_end", "mutation_id").distinct()
     bases = reads.aligned_bases(near).join(points.select("mutation_id", "rname", F.col("r_start").alias("pos")), ["rname", "pos"])
     counts = stats.nucleotide_counts(bases, ["mutation_id", "sample"], min_quality)
     cell = F.format_string("A=%d;T=%d;C=%d;G=%d;depth=%d", "a", "t", "c", "g", "depth")
-    grid = mutations.select("mutation_id").join(alignments.select("sample").distinct(), F.lit(True))
+    grid = mutations.select("mutation_id").join((alignments if samples is None else samples).select("sample").distinct(), F.lit(True))
     return grid.join(counts.select("mutation_id", "sample", cell.alias("cell")), ["mutation_id", "sample"], "left").fillna("NA", ["cell"])
 
 
@@ -88,12 +88,27 @@ def clip_modes(clips: DataFrame, breakpoints: DataFrame) -> DataFrame:
     return stats.mode_offset(modes, breakpoints.select(F.col("breakpoint_number").alias("breakpoint"), F.col("position").alias("predicted")), ["breakpoint"])
 
 
+def near_windows(breakpoints: DataFrame, extension: int) -> DataFrame:
+    """chrom, start, end around breakpoints."""
+    return breakpoints.select(F.col("chromosome").alias("chrom"), F.greatest(F.lit(0), F.col("position") - extension).alias("start"), (F.col("position") + extension).alias("end"))
+
+
+def read_regions(breakpoints: DataFrame, extension: int, with_reads: bool = False) -> list[tuple[str, int, int]]:
+    """What a clip run needs to read, for the BAM source: the windows of the breakpoints, and for junction reads those searched."""
+    windows = near_windows(breakpoints, extension)
+    every = windows.unionByName(intervals.search_windows(windows)) if with_reads else windows
+    return sorted({(r.chrom, r.start, r.end) for r in every.collect()})
+
+
 def softclips(alignments: DataFrame, breakpoints: DataFrame, min_clip: int = 30, extension: int = 30) -> DataFrame:
     return reads.soft_clips(reads.near_breakpoints(alignments, breakpoints, extension), min_clip, "softclips")
 
 
-def junctions(alignments: DataFrame, breakpoints: DataFrame, min_clip: int = 30, extension: int = 30, allowed: DataFrame | None = None, with_reads: bool = False) -> dict[str, DataFrame]:
-    """clips, inserts, bridges and, with_reads, junction reads of alignments near breakpoints (sample, chromosome, position, breakpoint_number)."""
+def junctions(alignments: DataFrame, breakpoints: DataFrame, min_clip: int = 30, extension: int = 30, allowed: DataFrame | None = None, with_reads: bool = False, unmapped: DataFrame | None = None) -> dict[str, DataFrame]:
+    """clips, inserts, bridges and, with_reads, junction reads of alignments near breakpoints (sample, chromosome, position, breakpoint_number).
+
+    unmapped: where records without an alignment come from, if `alignments` holds those of read_regions() only.
+    """
     near = reads.valid(reads.near_breakpoints(alignments, breakpoints, extension))
     clips = reads.soft_clips(near, min_clip)
     pos, mate = F.col("pos0") + 1, F.when(F.col("flag").bitwiseAND(8) == 0, F.col("pnext0") + 1)
@@ -106,9 +121,10 @@ def junctions(alignments: DataFrame, breakpoints: DataFrame, min_clip: int = 30,
         wanted = clips if allowed is None else clips.join(allowed.select(F.col("source").alias("breakpoint")).distinct(), "breakpoint", "left_semi")
         # clips of a sample are looked for in its own reads; of equal ones the last breakpoint counts
         pats = wanted.select("sample", F.col("breakpoint").alias("ord"), F.col("clip").alias("pattern"), "breakpoint")
-        windows = intervals.search_windows(breakpoints.select(F.col("chromosome").alias("chrom"), F.greatest(F.lit(0), F.col("position") - extension).alias("start"), (F.col("position") + extension).alias("end")))
+        windows = intervals.search_windows(near_windows(breakpoints, extension))
         inside = intervals.range_join(alignments.where("pos0 >= 0"), windows.select(F.col("chrom").alias("rname"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["rname"], WIDTH, ("pos0", "end0")).drop("r_start", "r_end")
-        pool = inside.unionByName(alignments.where(F.col("flag").bitwiseAND(4) != 0).select(*inside.columns))
+        lost = (alignments if unmapped is None else unmapped).where(F.col("flag").bitwiseAND(4) != 0)
+        pool = inside.unionByName(lost.select(*inside.columns))
         # mates are records of their own; of those with one name and pair the first in the file's order counts, unmapped ones last
         place = F.struct((F.col("flag").bitwiseAND(4) != 0).alias("unmapped"), "rname", "pos0", "flag", F.xxhash64("cigar_str", "seq").alias("own"))
         keyed = pool.select(F.struct("sample", "qname", place.alias("place")).alias("read"), "sample", "seq").where("seq is not null")

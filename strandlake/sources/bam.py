@@ -3,20 +3,22 @@
 The layout is that of the public SAM/BAM specification: gzip members around a header and length-prefixed records. A file with an
 index beside it (`x.bam.bai` or `x.bai`) is read by several partitions, and for regions only where the index says that they may be;
 without one, a partition reads a whole file. Each streams and keeps a batch of records at a time, and decodes those it returns only.
-The index is read by the tasks; the driver only asks for file sizes. To read much of a file more than once, write it to Parquet sorted
-by rname and pos0.
+The index is read by the tasks; the driver only asks for file sizes. Comparisons of sample, path, rname, pos0, end0, mapq and flag
+with constants are pushed into the scan: they choose files and blocks, and skip records before they are decoded. To read much of a
+file more than once, write it to Parquet sorted by rname and pos0.
 """
 
 from __future__ import annotations
 
 import json
+import operator
 import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 SCHEMA = "sample string, path string, qname string, flag int, rname string, pos0 long, end0 long, mapq int, cigar array<struct<op: int, len: int>>, cigar_str string, rnext string, pnext0 long, seq string, quals array<int>"
 #: Fixed values of the format.
@@ -140,6 +142,8 @@ class Index:
     """Per contig: bins with their chunks of virtual places, and the least place by linear window."""
 
     contigs: list[tuple[dict[int, list[tuple[int, int]]], list[int]]]
+    #: Records without an alignment among a contig's own, where the index tells.
+    unmapped: list[int | None]
 
     @classmethod
     def read(cls, path: str) -> Index:
@@ -155,21 +159,28 @@ class Index:
             at += struct.calcsize("<" + form)
             return out
 
-        contigs = []
+        contigs, unmapped = [], []
         for _ in range(take("i")[0]):
-            bins = {}
+            bins, without = {}, None
             for _ in range(take("i")[0]):
                 number, n = take("Ii")
                 flat = take(f"{2 * n}Q")
                 if number != TOTALS:
                     bins[number] = list(zip(flat[::2], flat[1::2]))
+                else:
+                    without = flat[3]
             contigs.append((bins, list(take(f"{take('i')[0]}Q"))))
-        return cls(contigs)
+            unmapped.append(without if bins or without is not None else 0)
+        return cls(contigs, unmapped)
 
     def starts(self) -> list[int]:
         """Places where a record begins, ascending."""
         return sorted({a for bins, _ in self.contigs for chunks in bins.values() for a, _ in chunks} | {p for _, linear in self.contigs for p in linear if p})
 
+    def tail(self, first: int) -> int:
+        """Where the records without a contig begin at the earliest."""
+        return max((b for bins, _ in self.contigs for chunks in bins.values() for _, b in chunks), default=first)
+
     def chunks(self, regions: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
         """Disjoint ranges of places that hold every record that overlaps a region (contig number, start, end)."""
         found = []
@@ -196,7 +207,7 @@ def write_index(path: str) -> str:
     with _stream(path) as f:
         source = _Bytes(_inflate(f))
         contigs = header(source)
-        found, last = [({}, {}) for _ in contigs], (0, -1)
+        found, last, counts = [({}, {}) for _ in contigs], (0, -1), [[0, 0] for _ in contigs]
         at = source.place()
         for rec in source.records():
             after = source.place()
@@ -205,6 +216,7 @@ def write_index(path: str) -> str:
                 if (ref, start) < last:
                     raise ValueError(f"not sorted by position: {path}")
                 last = (ref, start)
+                counts[ref][bool(_flag(rec) & 4)] += 1
                 bins, linear = found[ref]
                 number = next(r.start for r in reversed(_bins_of(start, end)) if len(r) == 1)
                 chunks = bins.setdefault(number, [])
@@ -216,9 +228,11 @@ def write_index(path: str) -> str:
                     linear.setdefault(w, at)
             at = after
     out = bytearray(b"BAI\1" + struct.pack("<i", len(found)))
-    for bins, linear in found:
-        out += struct.pack("<i", len(bins))
-        for number, chunks in bins.items():
+    for (bins, linear), count in zip(found, counts):
+        spans = [c for chunks in bins.values() for c in chunks]
+        every = [*bins.items(), *([(TOTALS, [(min(spans)[0], max(b for _, b in spans)), tuple(count)])] if spans else [])]
+        out += struct.pack("<i", len(every))
+        for number, chunks in every:
             out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
         places, least = [], 0
         for w in range(max(linear, default=-1) + 1):
@@ -249,6 +263,10 @@ def _where(rec: bytes) -> tuple[int, int, int]:
     return ref, pos, pos + max(sum(c >> 4 for c in codes if c & 15 in (0, 2, 3, 7, 8)), 1)
 
 
+def _flag(rec: bytes) -> int:
+    return struct.unpack_from("<H", rec, 14)[0]
+
+
 def parse(rec: bytes, contigs: list[tuple[str, int]]) -> tuple:
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, nref, npos, _ = struct.unpack_from("<iiBBHHHiiii", rec)
     at = 32 + n_name
@@ -274,8 +292,26 @@ class Part(InputPartition):
     n: int = 1
 
 
+#: Comparisons that the scan takes over, as (name of the filter's class, test).
+TESTS = {c.__name__: f for c, f in ((EqualTo, operator.eq), (GreaterThan, operator.gt), (GreaterThanOrEqual, operator.ge), (LessThan, operator.lt), (LessThanOrEqual, operator.le), (In, lambda x, y: x in y), (IsNotNull, None), (IsNull, None))}
+OF_FILES, OF_RECORDS = ("sample", "path"), ("rname", "pos0", "end0", "mapq", "flag")
+
+
+def _holds(value, kind: str, other) -> bool:
+    if kind in ("IsNull", "IsNotNull"):
+        return (value is None) == (kind == "IsNull")
+    return value is not None and TESTS[kind](value, other)
+
+
+def sample_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].removesuffix(".bam")
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
+        #: (column, name of a test, constant), all of which hold for what is read
+        self.tests: list[tuple] = []
+        self.unmapped = str(options.get("unmapped", "")).lower() == "true"
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
         self.share = int(options.get("share", SHARE))
         self.regions = None
@@ -284,14 +320,46 @@ class BamReader(DataSourceReader):
         elif options.get("chrom") is not None:
             self.regions = [(options["chrom"], int(options.get("start", 0)), int(options.get("end", 1 << 40)))]
 
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            comparable = type(f).__name__ in ("IsNull", "IsNotNull") or value is not None
+            if type(f).__name__ in TESTS and column in OF_FILES + OF_RECORDS and comparable:
+                self.tests.append((column, type(f).__name__, tuple(value) if isinstance(value, (list, tuple)) else value))
+            else:
+                yield f
+
+    def pushed_regions(self) -> list[tuple[str, int, int]] | None:
+        """Where records lie that pass the tests of rname, pos0 and end0; None if no contig is named."""
+        named = None
+        lo, hi = 0, 1 << 40
+        for column, kind, value in self.tests:
+            if column == "rname" and kind in ("EqualTo", "In"):
+                own = {value} if kind == "EqualTo" else set(value)
+                named = own if named is None else named & own
+            # a record from pos0 on overlaps the position pos0, and one up to end0 the position before it
+            elif column == "pos0" and kind in ("EqualTo", "GreaterThan", "GreaterThanOrEqual"):
+                lo = max(lo, value)
+            elif column == "end0" and kind in ("EqualTo", "GreaterThan", "GreaterThanOrEqual"):
+                lo = max(lo, value - 1)
+            if column == "pos0" and kind in ("EqualTo", "LessThan", "LessThanOrEqual"):
+                hi = min(hi, value + 1)
+            elif column == "end0" and kind in ("EqualTo", "LessThan", "LessThanOrEqual"):
+                hi = min(hi, value + 1)
+        return None if named is None else [(c, lo, hi) for c in sorted(named - {None})]
+
     def partitions(self):
         out = []
         for path in self.paths:
+            own = {"sample": sample_of(path), "path": path}
+            if not all(_holds(own[c], kind, value) for c, kind, value in self.tests if c in OF_FILES):
+                continue
             index = index_path(path)
             store, place = _store(path)
             n = max(1, -(-store.get_file_info(place).size // self.share)) if index else 1
             out += [Part(path, index, k, n) for k in range(n)]
-        return out
+        return out or [Part("")]  # Spark reads a source without partitions as one that doesn't know any
 
     def ranges(self, part: Part, first: int, regions: Regions | None) -> list[tuple[int, int | None]]:
         """Ranges of virtual places that this share reads; `first` is that of the first record. None is the end of the file."""
@@ -306,19 +374,26 @@ class BamReader(DataSourceReader):
         end = None if part.k == part.n - 1 else next((p for p in cuts if p >= hi), None)
         if begin is None or begin == end:
             return []
-        if regions is None:
+        if regions is None and not self.unmapped:
             return [(begin, end)]
-        clipped = [(max(a, begin), b if end is None else min(b, end)) for a, b in index.chunks(regions.flat())]
-        return [(a, b) for a, b in clipped if a < b]
+        wanted = index.chunks(regions.flat()) if regions is not None else []
+        if self.unmapped:
+            # contigs that hold unmapped records, or may hold some, and what follows all contigs
+            wanted = [(min(a for a, _ in spans), max(b for _, b in spans)) for (bins, _), n in zip(index.contigs, index.unmapped) if n != 0 and (spans := [c for chunks in bins.values() for c in chunks])]
+            wanted.append((index.tail(first), 1 << 63))
+        clipped = [(max(a, begin), min(b, end if end is not None else 1 << 63)) for a, b in wanted]
+        return [(a, None if b == 1 << 63 else b) for a, b in clipped if a < b]
 
     def read(self, partition):
         import pyarrow as pa
 
         path = partition.path
-        sample = path.rsplit("/", 1)[-1].removesuffix(".bam")
+        if not path:
+            return
+        sample = sample_of(path)
         rows = []
         with _stream(path) as f:
-            source = _Bytes(_inflate(f))
+            source = _Bytes(_inflate(f, 0, 1 << 16))
             contigs = header(source)
             source.fill(1)
             if not source.held:
@@ -332,22 +407,31 @@ class BamReader(DataSourceReader):
             yield self.batch(pa, rows)
 
     def wanted(self, f, part: Part, first: int, contigs: list[tuple[str, int]]) -> Iterator[bytes]:
-        """Records of a share that overlap a region."""
+        """Records of a share that overlap a region and pass the tests; or those without an alignment."""
         numbers = {name: k for k, (name, _) in enumerate(contigs)}
-        regions = None if self.regions is None else Regions([(numbers[c], a, b) for c, a, b in self.regions if c in numbers])
-        beyond = max(((c, b) for c, _, b in regions.flat()), default=(0, 0)) if regions is not None else None
-        for begin, end in self.ranges(part, first, regions):
+        numbered = lambda rows: None if rows is None else Regions([(numbers[c], a, b) for c, a, b in rows if c in numbers])
+        regions, pushed = numbered(self.regions), numbered(self.pushed_regions())
+        within = [r for r in (regions, pushed) if r is not None]
+        tests = [(OF_RECORDS.index(c), kind, value) for c, kind, value in self.tests if c in OF_RECORDS]
+        narrow = within[-1] if within and not self.unmapped else None
+        beyond = max(((c, b) for c, _, b in narrow.flat()), default=(0, 0)) if narrow is not None else None
+        for begin, end in self.ranges(part, first, narrow):
             source = _Bytes(_inflate(f, begin >> 16, 1 << 20 if end is None else 1 << 17), end)
             source.read(begin & 0xFFFF)
             for rec in source.records():
-                if regions is None:
+                if not (within or tests or self.unmapped):
                     yield rec
                     continue
                 ref, start, stop = _where(rec)
-                if part.index and (ref, start) >= beyond:  # an indexed file is sorted: nothing to find from here on
+                if narrow is not None and part.index and (ref, start) >= beyond:  # an indexed file is sorted: nothing to find from here on
                     return
-                if regions.meets(ref, start, stop):
-                    yield rec
+                if self.unmapped and not _flag(rec) & 4 or not all(r.meets(ref, start, stop) for r in within):
+                    continue
+                if tests:
+                    own = (contigs[ref][0] if ref >= 0 else None, start, stop, rec[9], _flag(rec))
+                    if not all(_holds(own[k], kind, value) for k, kind, value in tests):
+                        continue
+                yield rec
 
     @staticmethod
     def batch(pa, rows):
@@ -359,7 +443,7 @@ class BamReader(DataSourceReader):
 
 class BamSource(DataSource):
     """Options: paths (comma-separated) or path; chrom, start, end (half-open), or regions, a JSON list of them, for the records that
-    overlap any, each once; share, the compressed bytes a partition of an indexed file."""
+    overlap any, each once; unmapped, for the records without an alignment only; share, the compressed bytes a partition of an indexed file."""
 
     @classmethod
     def name(cls):
@@ -372,11 +456,16 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def alignments(spark, paths: list[str], chrom: str | None = None, start: int | None = None, end: int | None = None, regions: list[tuple[str, int, int]] | None = None):
-    """Records of BAM files; only those that overlap a region, or any of several, if given. Unmapped records have no region."""
+def alignments(spark, paths: list[str], chrom: str | None = None, start: int | None = None, end: int | None = None, regions: list[tuple[str, int, int]] | None = None, unmapped: bool = False):
+    """Records of BAM files; only those that overlap a region, or any of several, if given. Records without a contig have no region.
+
+    unmapped: only records without an alignment; of an indexed file the contigs that hold some, by the index's totals, and the tail.
+    The session's setting for pushing filters into Python sources is turned on.
+    """
     spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("bam").option("paths", ",".join(paths))
-    for k, v in (("chrom", chrom), ("start", start), ("end", end), ("regions", None if regions is None else json.dumps(regions))):
+    for k, v in (("chrom", chrom), ("start", start), ("end", end), ("regions", None if regions is None else json.dumps(regions)), ("unmapped", "true" if unmapped else None)):
         reader = reader.option(k, v) if v is not None else reader
     return reader.load()
 

@@ -142,7 +142,9 @@ def test_reports(spark):
 
 def test_base_depth_counts_bases_of_quality(spark, alignments):
     windows = spark.createDataFrame([("dup", "a", "c1", 495, 530), ("dup", "b", "c1", 520, 526)], "sample string, locus string, chrom string, w_start long, w_end long")
-    got = {(r.locus, r.start): r.depth for r in pipelines.base_depth(alignments, windows, ["sample", "locus"]).collect()}
+    steps = pipelines.base_depth(alignments, windows, ["sample", "locus"])
+    got = {(r.locus, r.pos): r.depth for r in intervals.per_position(steps, ["locus"]).collect()}
+    assert steps.count() < len(got)
     want = {}
     for r in alignments.where("sample = 'dup' AND rname = 'c1' AND pos0 < 530 AND end0 > 495 AND flag & 1796 = 0").collect():
         at, q = r.pos0, 0
@@ -157,6 +159,18 @@ def test_base_depth_counts_bases_of_quality(spark, alignments):
     assert got == want
 
 
+def test_coverage_index_adds_up(spark):
+    r = random.Random(4)
+    runs = [("s", a, a + r.randint(1, 90), r.randint(1, 9)) for a in range(0, 5000, 100) if r.random() < 0.8] + [("t", 10, 40_000, 3)]
+    df = spark.createDataFrame(runs, "k string, start long, end long, depth long")
+    for chunk in (64, 1 << 14):
+        index = intervals.coverage_index(df, ["k"], chunk)
+        spans = [("s", a, a + n) for a in (0, 63, 64, 777, 4900) for n in (1, 64, 1000)] + [("t", 5, 39_999), ("t", 39_999, 50_000), ("t", 5, 5), ("u", 0, 9)]
+        got = {(x.k, x.a, x.b): x.n for x in intervals.covered(index, spark.createDataFrame(spans, "k string, a long, b long"), ["k"], "a", "b", "n", chunk).collect()}
+        for k, a, b in spans:
+            assert got.get((k, a, b), 0) == sum(max(0, min(e, b) - max(s, a)) * d for key, s, e, d in runs if key == k)
+
+
 def test_genotypes(spark, alignments, genome, tmp_path):
     p = tmp_path / "mutations.tsv"
     p.write_text("c1 101 first\nc1 506\nc2 3 nothing\n")
