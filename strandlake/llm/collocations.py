@@ -11,6 +11,7 @@ Null texts are empty, a null language is `und`, repeated rows count each, an emp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, drop_cut, slices, tidy
+from strandlake.llm.common import _remove, _run_dir, cut, drop_cut, slices, tidy
 
 #: Bytes of text that a task gathers before it closes its blocks, and that are split into words at a time.
-BLOCK, SLICE = 16 << 20, 1 << 20
+BLOCK, SLICE = 64 << 20, 1 << 20
 #: Parts in which a language's phrases are ranked before its best ones are put together.
 PARTS = 64
 WORDS = "block long, lang string, words array<string>, n binary, at binary, total long"
 LISTS = "block long, lang string, ids binary, n binary, at binary"
+#: A list's number is (block << PLACE) | its place in the block; a block's is (task << MADE) | how many its task made before.
+PLACE, MADE = 28, 15
 #: What blocks send: lengths of lists by word, or by the numbers of a phrase without its last and without its first word.
 WORD, PAIR = ["lang", "word"], ["first", "second"]
 #: A-Z become small, the characters that end a piece one mark, and tabs spaces.
@@ -99,8 +102,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(stream, minlength=len(numbers)).astype(np.int32)
             if len(n) > 1:
                 made += 1
+                if made >> MADE:
+                    raise ValueError(f"a partition of more than {1 << MADE} blocks")
                 words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
-                row = [task << 32 | made], [lang], pa.ListArray.from_arrays([0, len(words)], words), [_packed(n[1:])], [_packed(order[n[0] :].astype(np.int32))], [int(n[1:].sum())]
+                row = [task << MADE | made], [lang], pa.ListArray.from_arrays([0, len(words)], words), [_packed(n[1:])], [_packed(order[n[0] :].astype(np.int32))], [int(n[1:].sum())]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in row], names=["block", "lang", "words", "n", "at", "total"])
         held.clear()
 
@@ -124,44 +129,41 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
     tidy()
 
 
+def _places(block: int, n: np.ndarray) -> pa.Array:
+    if len(n) >> PLACE or block >> (63 - PLACE):
+        raise ValueError(f"more than {1 << PLACE} phrases of one length in a block, or {1 << (63 - PLACE - MADE)} partitions")
+    return pa.array((block << PLACE) + np.arange(len(n), dtype=np.int64))
+
+
 def _word_lengths(batches):
-    """block, i, lang, word, n of the words of blocks."""
+    """lang, word, u (its list's number), n of the words of blocks."""
     for batch, i in _rows(batches):
         words, n = batch.column("words")[i].values, _of(batch, i, "n", "<i4")
-        block, lang = (pa.array([batch.column(c)[i].as_py()] * len(n)) for c in ("block", "lang"))
-        yield pa.RecordBatch.from_arrays([block, lang, pa.array(np.arange(len(n))), words, pa.array(n)], names=["block", "lang", "i", "word", "n"])
+        lang = pa.array([batch.column("lang")[i].as_py()] * len(n), pa.string())
+        yield pa.RecordBatch.from_arrays([lang, words, _places(batch.column("block")[i].as_py(), n), pa.array(n)], names=["lang", "word", "u", "n"])
 
 
 def _pair_lengths(batches):
-    """block, first, second, n of the phrases one word longer than those of blocks."""
+    """first, second, u, n of the phrases one word longer than those of blocks."""
     for batch, i in _rows(batches):
         first, second, n, _ = _longer(_of(batch, i, "ids", "<i8"), _of(batch, i, "n", "<i4"), _of(batch, i, "at", "<i4"))
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(n), pa.int64()), pa.array(first), pa.array(second), pa.array(n)], names=["block", "first", "second", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), _places(batch.column("block")[i].as_py(), n), pa.array(n)], names=["first", "second", "u", "n"])
 
 
 def _kept(k: int):
-    """LISTS of a block's phrases of k words that are frequent (kept: their keys and ids), with those ids."""
+    """LISTS of a block's phrases of k words that are frequent (kept: their places and ids), with those ids."""
 
     def run(batches):
         for batch, i in _rows(batches):
             kept = batch.column("kept")[i].values
             n, at = _of(batch, i, "n", "<i4"), _of(batch, i, "at", "<i4")
-            ids, keys = kept.field("id").to_numpy(), [kept.field(f).to_numpy() for f in (("i",) if k == 1 else PAIR)]
-            if k == 1:
-                found = np.full(len(n), -1, np.int64)
-                found[keys[0]] = ids
-            else:
-                first, second, n, at = _longer(_of(batch, i, "ids", "<i8"), n, at)
-                # both sides by the numbers of their parts; what is kept is there, so places are exact
-                order, mine = np.lexsort(keys[::-1]), np.lexsort((second, first))
-                found = np.full(len(n), -1, np.int64)
-                a, b = np.stack([first[mine], second[mine]], 1), np.stack([x[order] for x in keys], 1)
-                pair = np.dtype([("f", "<i8"), ("s", "<i8")])
-                places = np.searchsorted(a.view(pair).ravel(), b.copy().view(pair).ravel())
-                found[mine[places]] = ids[order]
-            keep = found >= 0
+            if k > 1:
+                _, _, n, at = _longer(_of(batch, i, "ids", "<i8"), n, at)
+            ids = np.full(len(n), -1, np.int64)
+            ids[kept.field("place").to_numpy()] = kept.field("id").to_numpy()
+            keep = ids >= 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), *(pa.array([_packed(x)]) for x in (found[keep], n[keep], at[np.repeat(keep, n)]))],
+                [batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), *(pa.array([_packed(x)]) for x in (ids[keep], n[keep], at[np.repeat(keep, n)]))],
                 names=["block", "lang", "ids", "n", "at"],
             )
 
@@ -169,20 +171,34 @@ def _kept(k: int):
 
 
 def _frequent(lengths: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The rows of lengths whose key adds up to `least` or more, with that sum as a and a number of the key's own as id."""
+    """The rows of lengths whose key adds up to `least` or more, with that sum as a and the least number of the key's lists as id."""
     over = Window.partitionBy(*key)
-    rows = lengths.withColumn("u", F.monotonically_increasing_id())
-    return rows.select("*", F.sum("n").over(over).alias("a"), F.min("u").over(over).alias("id")).where(F.col("a") >= least)
+    return lengths.select("*", F.sum("n").over(over).alias("a"), F.min("u").over(over).alias("id")).where(F.col("a") >= least).drop("n")
+
+
+class _Held:
+    """Lists as a table in buckets of blocks, so that joining what a block gets back doesn't move them."""
+
+    def __init__(self, lists: DataFrame):
+        self.spark, self.name = lists.sparkSession, f"strandlake_lists_{uuid.uuid4().hex}"
+        self.path = f"{_run_dir(self.spark)}/{self.name}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        lists.write.bucketBy(buckets, "block").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _remove(self.spark, self.path)
 
 
 def frequent_phrases(docs: DataFrame, words: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, a) of the phrases of up to `words` words met `least` times or more, and (lang, n), the words of each language."""
     rows = docs.where("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    lists = cut(rows.mapInArrow(_index, WORDS))
-    totals = cut(lists.groupBy("lang").agg(F.sum("total").alias("n")))
+    lists = _Held(rows.mapInArrow(_index, WORDS))
+    totals = cut(lists.rows.groupBy("lang").agg(F.sum("total").alias("n")))
     found = []
     for k in range(1, words + 1):
-        lengths = lists.mapInArrow(_word_lengths, "block long, lang string, i long, word string, n int") if k == 1 else lists.mapInArrow(_pair_lengths, "block long, first long, second long, n int")
+        lengths = lists.rows.mapInArrow(_word_lengths, "lang string, word string, u long, n int") if k == 1 else lists.rows.mapInArrow(_pair_lengths, "first long, second long, u long, n int")
         often = cut(_frequent(lengths, WORD if k == 1 else PAIR, least))
         own = often.where("u = id")
         if k == 1:
@@ -194,11 +210,12 @@ def frequent_phrases(docs: DataFrame, words: int = 5, least: int = 100) -> tuple
         names = cut(names)
         found.append(names.select("lang", "phrase", F.lit(k).alias("k"), "a"))
         if k < words:
-            kept = often.groupBy("block").agg(F.collect_list(F.struct("i", "id") if k == 1 else F.struct(*PAIR, "id")).alias("kept"))
-            before, lists = lists, cut(lists.join(kept, "block").mapInArrow(_kept(k), LISTS))
-            drop_cut(before)
+            place = F.col("u").bitwiseAND((1 << PLACE) - 1).cast("int")
+            kept = often.groupBy(F.shiftright("u", PLACE).alias("block")).agg(F.collect_list(F.struct(place.alias("place"), "id")).alias("kept"))
+            before, lists = lists, _Held(lists.rows.join(kept, "block").mapInArrow(_kept(k), LISTS))
+            before.drop()
         drop_cut(often)
-    drop_cut(lists)
+    lists.drop()
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
