@@ -1,4 +1,4 @@
-"""Local alignment hits: the breakpoint filter, and a seeded aligner for when no external one is at hand."""
+"""Local alignment hits: the filter by breakpoints. For the hits themselves see alignment."""
 
 from __future__ import annotations
 
@@ -25,16 +25,3 @@ def near_other_breakpoint(hits: DataFrame, breakpoints: DataFrame, extension: in
     if pairs is not None:
         met = met.join(pairs, ["source", "target"], "left_semi")
     return hits.join(met.select("ord").distinct(), "ord", "left_semi")
-
-
-def seeded_hits(queries: DataFrame, references: DataFrame, k: int = 16, least: int = 24) -> DataFrame:
-    """qseqid, sseqid, length, qstart, sstart (1-based): maximal exact matches of `least` bases or more.
-
-    Seeds of k bases meet in an equi-join and join up along diagonals; scores differ from those of a gapped aligner.
-    """
-    grams = lambda df, name: df.select(F.col("id").alias(name), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("seq") - k + 1)), lambda i: F.upper(F.substr("seq", i, F.lit(k))))).alias(f"{name}_at", "gram")).where(F.char_length("gram") == k)
-    met = grams(queries, "q").join(grams(references, "s"), "gram").select("q", "s", "q_at", (F.col("s_at") - F.col("q_at")).alias("diagonal"), F.col("q_at").alias("pos"))
-    from strandlake.operators.signal import islands
-
-    runs = islands(met, ["q", "s", "diagonal"], 1)
-    return runs.select(F.col("q").alias("qseqid"), F.col("s").alias("sseqid"), (F.col("rows") + k - 1).alias("length"), (F.col("start") + 1).alias("qstart"), (F.col("start") + F.col("diagonal") + 1).alias("sstart")).where(F.col("length") >= least)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
+from strandlake.operators import alignment, changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
 from strandlake.plans import pipelines
 
 QUERIES: dict = {}
@@ -504,6 +504,15 @@ def span_highlight(spark, sf_dir):
     return found.join(docs, "doc_id").select("doc_id", F.col("breakpoint").cast("long").alias("item_id"), "start", marked.alias("marked"))
 
 
+@query()
+def seeded_hits(spark, sf_dir):
+    """Passages aligned to whole documents: the best gapped alignment of each chain of seeds."""
+    passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("seq"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+    found = alignment.local_hits(passages, alignment.pieces(docs, 1 << 15, 1 << 13), word=28)
+    return found.select("qseqid", "sseqid", *_r("pident"), "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", *_r("bitscore", n=3))
+
+
 def _halves(spark, sf_dir):
     """Each passage as two clips, one for either side of a junction."""
     b = _table(spark, sf_dir, "benchmark")

@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         j.add_argument("-s", "--size", type=int, default=30)
         j.add_argument("-e", "--extension", type=int, default=30)
         j.add_argument("--hits", help="tabular alignment hits of the clips, to be filtered")
+        j.add_argument("--reference", help="FASTA file that the clips are aligned to, if there are no hits yet")
         j.add_argument("--pairs", nargs="+" if name == "junctions" else None, help="pairs N-M" if name == "junctions" else "file with source_bkp and target_bkp")
         if name == "junctions":
             j.add_argument("--junction", action="store_true")
@@ -172,7 +173,7 @@ def clips(spark: SparkSession, args) -> str:
         found = {"clips": pipelines.softclips(rows, points, args.size, args.extension)}
     else:
         found = pipelines.junctions(rows, points, args.size, args.extension, allowed, with_reads, bam.alignments(spark, paths, unmapped=True))
-        sinks.write_tsv(found["bridges"], f"{args.output}_bridging_pairs")
+        sinks.write_tsv(found["bridges"], f"{args.output}_bridging_pairs.tsv", order=["read_pos", "read_name"])
     ordered = points.withColumn("ord", F.monotonically_increasing_id())
     reports = {}
     if "inserts" in found:
@@ -183,22 +184,27 @@ def clips(spark: SparkSession, args) -> str:
     else:
         reports["clip_density"] = pipelines.clip_density(found["clips"])
     for name, report in reports.items():
-        sinks.write_tsv(report, f"{args.output}_{name}")
-    sinks.write_tsv(sinks.clip_table(found["clips"]), args.output)
-    sinks.clip_fasta(found["clips"]).write.mode("overwrite").text(f"{args.output}_soft_clipped_sequences")
+        sinks.write_tsv(report, f"{args.output}_{name}.tsv")
+    folder = os.path.dirname(args.output) or "."
+    sinks.write_tsv(sinks.clip_table(found["clips"]), f"{args.output}.tsv", order=["Breakpoint", "Position", "Read_name"])
+    sequences = sinks.clip_fasta(found["clips"]).withColumn("name", F.lit(f"{os.path.basename(args.output)}_soft_clipped_sequences.fasta"))
+    sinks.write_named(sequences, folder, ["value"])
     if "reads" in found:
-        sinks.junction_fasta(found["reads"]).write.mode("overwrite").partitionBy("sample", "pair").text(f"{args.output}_junction_reads")
+        sinks.write_named(sinks.junction_fasta(found["reads"]), folder, ["place", "value"])
         if args.junction_fastq:
-            sinks.junction_fastq(found["reads"], bam.alignments(spark, paths)).write.mode("overwrite").partitionBy("sample", "pair").text(f"{args.output}_junction_fastq")
+            sinks.write_named(sinks.junction_fastq(found["reads"], bam.alignments(spark, paths)), folder, ["pos0", "value"])
+    if args.reference:
+        sinks.write_tsv(pipelines.clip_hits(found["clips"], tables.fasta(spark, args.reference)), f"{args.output}_hits.txt", header=False, order=["qseqid", "evalue"])
+        args.hits = args.hits or os.path.abspath(f"{args.output}_hits.txt")
     if args.hits:
         kept = pipelines.filtered_hits(tables.hits(spark, args.hits), points, args.extension, allowed)
-        sinks.write_tsv(kept.drop("ord"), f"{args.output}_filtered_pairs", header=False)
+        sinks.write_tsv(kept.drop("ord"), f"{args.output}_filtered_pairs.txt", header=False, order=["qseqid", "evalue"])
     return args.output
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     args = parser().parse_args(argv)
-    for name in ("bam", "region", "plot_interval", "mutation", "bam_list", "input", "hits"):  # the session may have another working folder
+    for name in ("bam", "region", "plot_interval", "mutation", "bam_list", "input", "hits", "reference"):  # the session may have another working folder
         if (path := getattr(args, name, None)) and "://" not in path:
             setattr(args, name, os.path.abspath(path))
     spark = spark or SparkSession.builder.appName("strandlake").getOrCreate()

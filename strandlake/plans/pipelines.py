@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
+from strandlake.operators import alignment, changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
 
 #: Bases in a bin of range joins.
 WIDTH = 10_000
@@ -191,6 +191,16 @@ def base_depth(alignments: DataFrame, windows: DataFrame, keys: list[str], min_q
     return intervals.depth_runs(inside, keys)
 
 
+def clip_hits(clips: DataFrame, references: DataFrame, piece: int = 1 << 16, **how) -> DataFrame:
+    """Tabular hits of clips in reference sequences (id, seq), on both strands; references are cut to pieces that overlap by more than a clip."""
+    from strandlake.sources.sinks import clip_id
+
+    queries = clips.select(clip_id().alias("id"), F.col("clip").alias("seq"))
+    longest = queries.agg(F.coalesce(F.max(F.char_length("seq")), F.lit(0))).first()[0]
+    overlap = 2 * longest + 64
+    return alignment.local_hits(queries, alignment.pieces(references, max(piece, 2 * overlap), overlap), both_strands=True, **how)
+
+
 def filtered_hits(found: DataFrame, breakpoints: DataFrame, extension: int, allowed: DataFrame | None = None) -> DataFrame:
     return hits.near_other_breakpoint(found, stats.last_by_number(breakpoints.withColumn("ord", F.monotonically_increasing_id())), extension, allowed)
 

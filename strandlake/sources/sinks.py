@@ -23,9 +23,31 @@ def parsed_path(source: str, prefix: str | None, fields: list[str], condition: t
     return os.path.join(os.path.dirname(source), "_".join(parts) + (".tsv" if fmt == "tsv" else ".txt"))
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True, null: str = "None") -> None:
-    """One part file of tab-separated text, for results of report size."""
-    df.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", header).option("nullValue", null).option("emptyValue", "").option("quote", "").csv(path)
+def write_named(rows: DataFrame, folder: str, order: list[str] | None = None, header: str | None = None) -> None:
+    """Files in folder: rows have a name, a value and columns of order. All of them, or none if a task fails.
+
+    What makes the rows runs in as many tasks as it likes; rows of one name then go to one task, which streams them in order.
+    """
+    from strandlake.sources.named import NamedText
+
+    rows.sparkSession.dataSource.register(NamedText)
+    own = rows.repartition("name").sortWithinPartitions("name", *(order or [])).select("name", "value")
+    writer = own.write.format("named_text").option("folder", os.path.abspath(folder) if "://" not in folder else folder)
+    (writer.option("header", header) if header is not None else writer).mode("append").save()
+
+
+def tsv_line(df: DataFrame, null: str = "None") -> Column:
+    return F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null)) for c in df.columns))
+
+
+def write_tsv(df: DataFrame, path: str, header: bool = True, null: str = "None", order: list[str] | None = None) -> None:
+    """One file of tab-separated text of that name; there is one without rows too."""
+    folder, name = os.path.split(path)
+    first = "\t".join(df.columns) if header else None
+    lines = df.select(F.lit(name).alias("name"), tsv_line(df, null).alias("value"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order or [])))
+    # a file without rows: a value that is null writes no line
+    empty = lines.sparkSession.range(1).select(F.lit(name).alias("name"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields[1:]))
+    write_named(lines.unionByName(empty), folder or ".", [f"_o{k}" for k in range(len(order or []))], first)
 
 
 def write_matrix(wide: DataFrame, path: str, comments: list[str]) -> None:
@@ -72,17 +94,21 @@ def _pair() -> Column:
     return F.concat_ws("-", F.col("b1").cast("string"), F.col("b2").cast("string"))
 
 
+def _file(kind: str) -> Column:
+    return F.concat("sample", F.lit("_"), _pair(), F.lit(kind))
+
+
 def junction_fasta(reads: DataFrame) -> DataFrame:
-    """sample, pair, value: FASTA entries, to be written partitioned by sample and pair."""
-    return reads.select("sample", _pair().alias("pair"), F.concat(F.lit(">"), F.concat_ws(":", "sample", "read", _pair()), F.lit("\n"), F.col("marked")).alias("value"))
+    """name ({sample}_{b1}-{b2}_junction_reads.fasta), sample, pair, place, value: FASTA entries."""
+    return reads.select(_file("_junction_reads.fasta").alias("name"), "sample", _pair().alias("pair"), "place", F.concat(F.lit(">"), F.concat_ws(":", "sample", "read", _pair()), F.lit("\n"), F.col("marked")).alias("value"))
 
 
 def junction_fastq(reads: DataFrame, alignments: DataFrame) -> DataFrame:
-    """sample, pair, value: a FASTQ entry for every record whose name has a junction, in the first one; missing qualities are 30."""
+    """name, sample, pair, pos0, value: a FASTQ entry for every record whose name has a junction, in the first one; missing qualities are 30."""
     first = reads.groupBy("sample", F.col("read").alias("qname")).agg(F.min_by(F.struct("b1", "b2"), F.struct("place", "ord")).alias("p")).select("sample", "qname", "p.b1", "p.b2")
     rows = alignments.where("seq is not null").join(first, ["sample", "qname"])
     quals = F.coalesce(F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.repeat(F.lit("?"), F.char_length("seq")))
-    return rows.select("sample", _pair().alias("pair"), F.concat(F.lit("@"), F.concat_ws(":", "sample", "qname", _pair()), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), quals).alias("value"))
+    return rows.select(_file("_junction_reads.fastq").alias("name"), "sample", _pair().alias("pair"), "pos0", F.concat(F.lit("@"), F.concat_ws(":", "sample", "qname", _pair()), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), quals).alias("value"))
 
 
 def probe_table(profiles: DataFrame, threshold: float, centres: list[int]) -> DataFrame:

@@ -80,3 +80,10 @@ def pairs(spark: SparkSession, given: list[str] | str | None) -> DataFrame | Non
     else:
         rows = spark.createDataFrame([tuple(map(int, t.split("-"))) for t in given], "source int, target int")
     return rows.union(rows.select("target", "source")).distinct()
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """id (up to the first white space), seq of a FASTA file, split at its headers by the reader."""
+    rows = spark.read.option("lineSep", ">").text(path).where("value != ''")
+    head = F.regexp_extract("value", r"^([^\s]*)", 1)
+    return rows.select(head.alias("id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))

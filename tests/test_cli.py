@@ -7,7 +7,7 @@ from strandlake.plans import cli
 from .test_end_to_end import files, genome  # noqa: F401
 
 
-def test_coverage_then_parse_then_junctions(spark, files, tmp_path, monkeypatch):  # noqa: F811
+def test_coverage_then_parse_then_junctions(spark, files, genome, tmp_path, monkeypatch):  # noqa: F811
     monkeypatch.chdir(tmp_path)
     (tmp_path / "bams.txt").write_text("\n".join(files) + "\n")
     (tmp_path / "regions.tsv").write_text("c1\t9000\t11000\ttarget\nc1\t2000\t6000\treference\n")
@@ -25,9 +25,17 @@ def test_coverage_then_parse_then_junctions(spark, files, tmp_path, monkeypatch)
     assert path.endswith("RCN_target_gt_1.5.tsv") and open(path).read().splitlines()[0] == "locus\tdup_RCN"
     path = cli.main(["parse", "-i", f"{folder}/run_coverage.tsv", "--RCN", "--filter-locus", "target", "--filter-op", "<", "--filter-value", "1.5", "--format", "list"], spark)
     assert open(path).read() == "flat.bam\n"
-    out = cli.main(["junctions", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/j", "-e", "300", "--pairs", "1-2", "--junction", "--junction-fastq"], spark)
-    assert {"j", "j_bridging_pairs", "j_soft_clipped_sequences", "j_junction_reads", "j_junction_fastq"} <= set(os.listdir(tmp_path))
-    assert {"j_inserts", "j_insert_bins", "j_clip_positions", "j_clip_modes", "j_pooled_inserts"} <= set(os.listdir(tmp_path))
+    (tmp_path / "genome.fa").write_text(f">c1 made here\n{genome[:10_000]}\n{genome[10_000:]}\n>c2\nACGT\n")
+    out = cli.main(["junctions", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/j", "-e", "300", "--pairs", "1-2", "--junction", "--junction-fastq", "--reference", "genome.fa"], spark)
+    assert {"j.tsv", "j_bridging_pairs.tsv", "j_soft_clipped_sequences.fasta", "dup_1-2_junction_reads.fasta", "dup_1-2_junction_reads.fastq"} <= set(os.listdir(tmp_path))
+    assert {f"j_{x}.tsv" for x in ("inserts", "insert_bins", "clip_positions", "clip_modes", "pooled_inserts")} <= set(os.listdir(tmp_path))
+    assert open(tmp_path / "j.tsv").readline().startswith("bam_file\tRead_name\t") and not [x for x in os.listdir(tmp_path) if x.startswith("_named")]
+    found = [x.split("\t") for x in open(tmp_path / "j_hits.txt").read().splitlines()]
+    # clips at one end of the duplication lie at its other end
+    assert found and all(len(x) == 12 and x[1] == "c1" for x in found)
+    left = [x for x in found if x[0].endswith("_L") and float(x[2]) == 100.0]
+    assert left and all(abs(int(x[9]) - 12_000) <= 1 for x in left)
+    assert len(open(tmp_path / "j_filtered_pairs.txt").read().splitlines()) <= len(found)
     (tmp_path / "pairs.tsv").write_text("source_bkp\ttarget_bkp\n1\t2\n")
     assert cli.main(["softclips", "-b", "bams.txt", "-i", folder, "-o", f"{tmp_path}/s", "-e", "300", "--pairs", "pairs.tsv"], spark) and out
-    assert "s_clip_density" in os.listdir(tmp_path)
+    assert "s_clip_density.tsv" in os.listdir(tmp_path)

@@ -1,5 +1,6 @@
 """Files and whole runs over a planted duplication: [8000, 12000) of a 20 kb contig is covered twice in one sample."""
 
+import os
 import random
 
 import pytest
@@ -219,8 +220,23 @@ def test_sinks(spark, tmp_path):
     wide = spark.createDataFrame([("b", "1;2")], "locus string, s string")
     sinks.write_matrix(wide, f"{tmp_path}/m.tsv", ["made", "format"])
     assert tables.matrix(spark, f"{tmp_path}/m.tsv").first()[:] == ("b", "1;2")
-    sinks.write_tsv(spark.createDataFrame([("a", None)], "x string, y string"), f"{tmp_path}/t")
-    assert "a\tNone" in next(p.read_text() for p in (tmp_path / "t").glob("part*"))
+    sinks.write_tsv(spark.createDataFrame([("a", None), ("A", 2.5)], "x string, y double").repartition(3), f"{tmp_path}/t.tsv", order=["x"])
+    assert (tmp_path / "t.tsv").read_text() == "x\ty\nA\t2.5\na\tNone\n"
+    sinks.write_tsv(spark.createDataFrame([], "x string, y double"), f"{tmp_path}/t.tsv")
+    assert (tmp_path / "t.tsv").read_text() == "x\ty\n"
+
+
+def test_named_files_come_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("f"), F.col("id") % 7).alias("name"), F.col("id").cast("string").alias("value"), "id").repartition(5)
+    sinks.write_named(rows, str(tmp_path), ["id"])
+    assert sorted(os.listdir(tmp_path)) == [f"f{k}" for k in range(7)]
+    assert (tmp_path / "f3").read_text().split() == [str(x) for x in range(3, 300, 7)]
+    before = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    late = F.when(F.col("id") == 299, F.raise_error(F.lit("late"))).otherwise(F.lit("new"))
+    for broken in (rows.withColumn("value", late.cast("string")), rows.withColumn("name", F.when(F.col("id") == 5, F.lit("a/b")).otherwise(F.col("name")))):
+        with pytest.raises(Exception):
+            sinks.write_named(broken, str(tmp_path), ["id"])
+        assert {p.name: p.read_text() for p in tmp_path.iterdir()} == before
 
 
 def test_probe_groups(spark):

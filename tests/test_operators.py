@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
+from strandlake.operators import alignment, changepoint, hits, intervals, matrix, patterns, probes, reads, signal, stats
 
 QUIET = settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 spans = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 25)).map(lambda x: (x[0], x[0] + x[1])), max_size=25)
@@ -239,7 +239,7 @@ def test_hits_and_ids(spark):
     assert sorted(r.ord for r in hits.near_other_breakpoint(found, points, 10, only).collect()) == [1]
     q = spark.createDataFrame([("q", "ACGTTGCAAC" * 3)], "id string, seq string")
     s = spark.createDataFrame([("s", "GG" + "acgttgcaac" * 3 + "TT")], "id string, seq string")
-    best = max(hits.seeded_hits(q, s, 8, 20).collect(), key=lambda r: r.length)
+    best = max(alignment.local_hits(q, s, 20, 8).collect(), key=lambda r: r.length)
     assert (best.length, best.qstart, best.sstart) == (30, 1, 3)
 
 
