@@ -70,26 +70,60 @@ def hamming_pairs(df: DataFrame, group: list[str], sample: str, bits: str) -> Da
 
 
 def average_linkage(bits: np.ndarray, threshold: float) -> list[int]:
-    """Labels from 0 by first member: the two nearest clusters merge while their average Hamming distance is below the threshold."""
-    n = len(bits)
-    if n < 2:
-        return [0] * n
-    d = (bits[:, None] != bits[None]).mean(2)
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    """Labels from 0 by first member: the two nearest clusters merge while their average Hamming distance is below the threshold.
+
+    Of equally near pairs the one with the earliest members merges. Equal strings are one weighted member. A cluster is the number of
+    its members and of their ones at each place, which give its average distance to any other in whole numbers; so there is no table of
+    distances, and each cluster only remembers its nearest later neighbour.
+    """
+    if len(bits) < 2:
+        return [0] * len(bits)
+    _, first, own = np.unique(np.packbits(bits.astype(bool), axis=1), axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    own = place[own.ravel()]
+    n = np.bincount(own).astype(np.int64)
+    ones = bits[first[order]].astype(np.int64) * n[:, None]
+    totals, width, m = ones.sum(1), max(bits.shape[1], 1), len(n)
+    live, label = np.ones(m, bool), np.arange(m)
+
+    def distances(i: int, others: np.ndarray) -> np.ndarray:
+        differ = n[i] * totals[others] + n[others] * totals[i] - 2 * (ones[others] @ ones[i])
+        return differ / (n[i] * n[others] * width)
+
+    near, gap = np.zeros(m, int), np.full(m, np.inf)
+
+    def look(i: int) -> None:
+        later = np.flatnonzero(live[i + 1 :]) + i + 1
+        gap[i] = np.inf
+        if len(later):
+            d = distances(i, later)
+            k = int(np.argmin(d))
+            near[i], gap[i] = later[k], d[k]
+
+    for i in range(m):
+        look(i)
     while True:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < threshold:
+        i = int(np.argmin(gap))
+        if not gap[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
+        j = int(near[i])
+        n[i] += n[j]
+        ones[i] += ones[j]
+        totals[i] += totals[j]
+        live[j], gap[j] = False, np.inf
         label[label == j] = i
+        for k in np.flatnonzero(live & ((near == i) | (near == j))):
+            look(int(k))
+        look(i)
+        before = np.flatnonzero(live[:i])
+        if len(before):  # the merged cluster may have come nearer to earlier ones than what they remember
+            d = distances(i, before)
+            closer = (d < gap[before]) | (d == gap[before]) & (i < near[before])
+            near[before[closer]], gap[before[closer]] = i, d[closer]
     seen: dict[int, int] = {}
-    return [seen.setdefault(int(x), len(seen)) for x in label]
+    return [seen.setdefault(int(x), len(seen)) for x in label[own]]
 
 
 def hamming_clusters(df: DataFrame, group: list[str], sample: str, bits: str, threshold: float = 0.15) -> DataFrame:
@@ -120,11 +154,12 @@ class Track:
             return np.where(b > a, (np.interp(b, self.x, self.y) - np.interp(a, self.x, self.y)) / (b - a), np.nan)
 
 
-def expand(track: Track, start: int, end: int, target: float, reference: float, size: int, spacing: int, number: int, drops: int, most: int | None, nulls: int = 3, factor: float = 2, symmetric: bool = False, max_spacing: int | None = None) -> tuple[int, int]:
+def expand(track: Track, start: int, end: int, target: float, reference: float, size: int, spacing: int, number: int, drops: int, most: int | None, nulls: int = 3, factor: float = 2, symmetric: bool = False, max_spacing: int | None = None, trace: list | None = None) -> tuple[int, int]:
     """Widen [start, end) until `drops` consecutive probes on either side lie below the target's depth.
 
     The loop ends when both sides stop in one round, when the whole state comes back, or when both sides are pinned at the
-    most that they may reach with nothing left to change.
+    most that they may reach with nothing left to change. trace gets (round, side, probes below the reference, probes without depth,
+    whether the side stops) of every round.
     """
     length, left, right = end - start, start, end
     calm = [0, 0]
@@ -140,6 +175,8 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
             low = np.flatnonzero(~(cov < target))
             stop.append(bool(np.diff(np.r_[-1, low, number]).max() > drops))
             dropped = int(((cov < reference) & (cov > 0)).sum())
+            if trace is not None:
+                trace.append((len(seen), "left" if side == 0 else "right", dropped, int((cov == 0).sum()), stop[side]))
             if stop[side]:
                 calm[side] = 0
                 continue
@@ -167,14 +204,18 @@ def expand(track: Track, start: int, end: int, target: float, reference: float,
     return int(left), int(right)
 
 
-def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: int = 500, spacing: int = 1000, number: int = 20, drops: int = 10, most: int | None = 5_000_000, symmetric: bool = False, max_spacing: int | None = None) -> DataFrame:
-    """keys, plot_start, plot_end: every locus (start, end, target_cov, reference_cov) expanded over its own depth runs."""
+def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: int = 500, spacing: int = 1000, number: int = 20, drops: int = 10, most: int | None = 5_000_000, symmetric: bool = False, max_spacing: int | None = None, rounds: bool = False) -> DataFrame:
+    """keys, plot_start, plot_end: every locus (start, end, target_cov, reference_cov) expanded over its own depth runs.
+
+    rounds: instead, keys, round, side, dropped, empty, stops, what the probes of each round found.
+    """
     reach = F.lit(most) if most else 10 * (F.col("end") - F.col("start"))
     windows = loci.select(*(F.col(k).alias(k) for k in keys), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "target_cov", "reference_cov", F.greatest(F.lit(0), F.col("start") - reach).alias("w_start"), (F.col("end") + reach).alias("w_end"))
     # the locus gets a row per chunk of its window, whatever the depth
     near = coverage_index(runs, keys, BASES).join(windows.select(*(F.col(k).alias(k) for k in keys), "w_start", "w_end"), keys)
     near = near.where((F.col("c") * BASES < F.col("w_end")) & ((F.col("c") + 1) * BASES > F.col("w_start"))).select(*(F.col(k).alias(k) for k in keys), *(F.col("steps")[x].alias(x) for x in ("start", "end", "depth")))
-    schema = loci.select(*keys, F.lit(0).cast("long").alias("plot_start"), F.lit(0).cast("long").alias("plot_end")).schema
+    more = [F.lit(0).alias("round"), F.lit("").alias("side"), F.lit(0).alias("dropped"), F.lit(0).alias("empty"), F.lit(False).alias("stops")] if rounds else [F.lit(0).cast("long").alias("plot_start"), F.lit(0).cast("long").alias("plot_end")]
+    schema = loci.select(*keys, *more).schema
 
     def kernel(track, locus):
         import pandas as pd
@@ -183,8 +224,9 @@ def expand_intervals(runs: DataFrame, loci: DataFrame, keys: list[str], size: in
         start, end, depth = (np.concatenate([*track[x], np.empty(0, np.int64)]) for x in ("start", "end", "depth"))
         for _, r in locus.iterrows():
             t = Track(start, end, depth, int(r["w_start"]), int(r["w_end"]))
-            a, b = expand(t, int(r["l_start"]), int(r["l_end"]), r["target_cov"], r["reference_cov"], size, spacing, number, drops, most, symmetric=symmetric, max_spacing=max_spacing)
-            out.append([*(r[k] for k in keys), a, b])
+            trace: list = []
+            a, b = expand(t, int(r["l_start"]), int(r["l_end"]), r["target_cov"], r["reference_cov"], size, spacing, number, drops, most, symmetric=symmetric, max_spacing=max_spacing, trace=trace)
+            out += [[*(r[k] for k in keys), *x] for x in (trace if rounds else [(a, b)])]
         return pd.DataFrame(out, columns=schema.names)
 
     return near.groupBy(*keys).cogroup(windows.groupBy(*keys)).applyInPandas(kernel, schema)

@@ -51,7 +51,9 @@ def _day(c: str):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_discount >= 0.02")
+    """Shipments as reads: the discount, in thousandths, is the mapping quality, and reads below 20 don't count, as in every depth."""
+    rows = _table(spark, sf_dir, "lineitem").withColumns({"flag": F.lit(0), "mapq": F.round(F.col("l_discount") * 1000).cast("int")})
+    rows = reads.usable(rows, 20)
     return rows.select(F.col("l_returnflag").alias("sample"), F.lit("days").alias("chrom"), _day("l_shipdate").alias("start"), (_day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"))
 
 
@@ -128,15 +130,25 @@ def parse_column_filter(spark, sf_dir):
     return pipelines.parse(_wide(spark, sf_dir), ["medDOC", "RCN"], ("alpha", ">", 1.0))
 
 
-@query(f"SELECT locus, 'days' AS chrom, CAST(min(rs) AS BIGINT) AS start, CAST(max(re) AS BIGINT) AS \"end\" FROM {_L} GROUP BY locus")
+_SPAN = "(SELECT CAST(l_suppkey AS VARCHAR) AS locus, arg_min('days' || l_returnflag, l_orderkey * 10 + l_linenumber) AS chrom, CAST(min(epoch(l_shipdate) / 86400) AS BIGINT) AS s, max(CAST(epoch(l_shipdate) / 86400 AS BIGINT) + CAST(l_quantity AS BIGINT)) AS e FROM lineitem GROUP BY 1)"
+
+
+def _spans(spark, sf_dir):
+    """Each supplier's shipments as the regions of a locus."""
+    start = _day("l_shipdate")
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("locus"), F.concat(F.lit("days"), "l_returnflag").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return intervals.locus_span(rows)
+
+
+@query(f'SELECT locus, chrom, s AS start, e AS "end" FROM {_SPAN} x')
 def locus_span(spark, sf_dir):
-    return intervals.locus_span(_loci(spark))
+    return _spans(spark, sf_dir)
 
 
-@query(f"SELECT locus, CAST(greatest(1, a - (b - a) * 2) AS BIGINT) AS plot_start, CAST(least(11000, b + (b - a) * 2) AS BIGINT) AS plot_end FROM (SELECT locus, min(rs) AS a, max(re) AS b FROM {_L} GROUP BY locus)")
+@query(f"SELECT locus, CAST(greatest(1, s - (e - s) * 2) AS BIGINT) AS plot_start, CAST(least(length, e + (e - s) * 2) AS BIGINT) AS plot_end FROM {_SPAN} x JOIN (SELECT 'days' || l_returnflag AS chrom, max(CAST(epoch(l_shipdate) / 86400 AS BIGINT)) + 3000 AS length FROM lineitem GROUP BY 1) USING (chrom)")
 def proportional_interval(spark, sf_dir):
-    lengths = spark.sql("SELECT 'days' AS chrom, CAST(11000 AS BIGINT) AS length")
-    return intervals.proportional_interval(intervals.locus_span(_loci(spark)), 2, lengths).select("locus", "plot_start", "plot_end")
+    lengths = _table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("days"), "l_returnflag").alias("chrom")).agg((F.max(_day("l_shipdate")) + 3000).alias("length"))
+    return intervals.proportional_interval(_spans(spark, sf_dir), 2, lengths).select("locus", "plot_start", "plot_end")
 
 
 @query(f"SELECT sample, locus, ord, count(*) AS pairs, CAST(sum(least(e, re) - greatest(s, rs)) AS BIGINT) AS bases FROM {_R} r JOIN {_L} ON s < re AND e > rs GROUP BY ALL")

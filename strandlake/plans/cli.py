@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ def parse(spark: SparkSession, args) -> str:
 
 
 def coverage(spark: SparkSession, args) -> str:
+    began = time.monotonic()
     samples = tables.samples(spark, args.bam).orderBy("ord").collect()
     regions = tables.regions(spark, args.region)
     if not regions.where(F.col("locus") == args.norm).count():
@@ -111,7 +113,7 @@ def coverage(spark: SparkSession, args) -> str:
         mutations = tables.mutations(spark, args.mutation)
         cells = pipelines.genotypes(over(mutations, "pos0", "pos0"), mutations, samples=tables.samples(spark, args.bam)).withColumnRenamed("mutation_id", "locus")
         sinks.write_matrix(matrix.to_wide(cells, [s.sample for s in samples], "cell").toDF("mutation_id", *paths), f"{base}_mutations.tsv", [])
-    sinks.write_parameters(vars(args), f"{base}_parameters.tsv")
+    sinks.write_parameters(vars(args) | {"elapsed_seconds": round(time.monotonic() - began, 1)}, f"{base}_parameters.tsv")
     if not args.plot:
         return folder
     spans = intervals.locus_span(regions)
@@ -129,22 +131,20 @@ def coverage(spark: SparkSession, args) -> str:
         runs = pipelines.base_depth(over(windows, "w_start", "w_end"), windows, ["sample", "locus"]).cache()
     if args.plot_auto:
         loci = spans.join(chosen, "locus").join(ref, "sample").select("sample", "locus", "start", "end", F.col("mean").alias("target_cov"), F.col("ref_median").alias("reference_cov"))
-        each = probes.expand_intervals(runs, loci, ["sample", "locus"], args.probe_size, args.probe_spacing, args.probe_number, args.probe_drops, args.max_extension, args.probe_symmetric, args.probe_max_spacing)
+        how = (["sample", "locus"], args.probe_size, args.probe_spacing, args.probe_number, args.probe_drops, args.max_extension, args.probe_symmetric, args.probe_max_spacing)
+        each = probes.expand_intervals(runs, loci, *how)
+        sinks.write_tsv(probes.expand_intervals(runs, loci, *how, rounds=True), f"{base}_probe_rounds.tsv", order=["sample", "locus", "round", "side"])
         expanded = each.groupBy("locus").agg(F.min("plot_start").alias("plot_start"), F.max("plot_end").alias("plot_end"))
     plot = intervals.plot_interval(proportional, expanded, given).join(spans.select("locus", "chrom"), "locus")
     limits = tuple(args.plot_doclim) if args.plot_doclim else None
     track = pipelines.tracks(blocks(over(plot, "plot_start", "plot_end")), found, plot, args.norm, args.plot_slw, limits, args.plot_bin, -1.0 if args.plot_force else args.plot_threshold).cache()
-    pipelines.plot_data(track, spans).write.mode("overwrite").parquet(f"{base}_tracks.parquet")
     how = {"algo": args.bkp_algo, "model": args.bkp_model, "n_bkps": args.bkp_nb, "pen": args.bkp_pen}
-    groups = None
+    groups = cuts = None
     if args.probe_profile:
         where = spans.join(chosen.select("sample", "locus"), "locus").join(ref, "sample").select("sample", "locus", "start", "end", "ref_median")
         groups = pipelines.probe_groups(runs, where, args.probe_threshold, args.probe_cluster_dist, size=args.probe_size, spacing=args.probe_spacing, each_side=args.probe_n_each_side).cache()
         if args.probe_profile_out:
-            for s in spans.join(groups.select("locus").distinct(), "locus").collect():
-                centres = [(s.start + s.end) // 2 + k * args.probe_spacing for k in range(-args.probe_n_each_side, args.probe_n_each_side + 1)]
-                own = sinks.probe_table(groups.where(F.col("locus") == s.locus), args.probe_threshold, centres)
-                own.orderBy("sample").toPandas().to_csv(os.path.join(folder, f"{s.locus}_probe_profiles.tsv"), sep="\t", index=False)
+            sinks.write_named(sinks.probe_files(groups, spans, args.probe_threshold, args.probe_spacing, args.probe_n_each_side), folder, ["sample"])
         groups = groups.select("sample", "locus", "cluster")
     if args.breakpoint == "segmentation":
         cuts = pipelines.copy_breakpoints(track, spans, column=args.bkp_signal, **how)
@@ -154,6 +154,8 @@ def coverage(spark: SparkSession, args) -> str:
             cuts.orderBy("bam_file", "locus", "breakpoint_number").toPandas().to_csv(f"{base}_breakpoints.tsv", sep="\t", index=False)
     elif args.breakpoint == "rollingaverage":
         pipelines.rolling_breakpoints(track, args.bkp_threshold, args.bkp_slw, args.bkp_passes).write.mode("overwrite").parquet(f"{base}_regions.parquet")
+    pipelines.plot_data(track, spans, cuts, groups).write.mode("overwrite").parquet(f"{base}_tracks.parquet")
+    sinks.write_parameters(vars(args) | {"elapsed_seconds": round(time.monotonic() - began, 1)}, f"{base}_parameters.tsv")
     return folder
 
 

@@ -60,9 +60,21 @@ def rolling_breakpoints(track: DataFrame, threshold: float = 0.5, w: int = 1000,
     return signal.island_peaks(signal.islands(signal.shifts(track, keys, threshold, w, passes), keys), track, keys)
 
 
-def plot_data(track: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of a track plot with is_target, whether a position lies in the locus itself."""
-    return track.join(spans.select("locus", F.col("start").alias("_s"), F.col("end").alias("_e")), "locus").withColumn("is_target", F.col("pos").between(F.col("_s"), F.col("_e"))).drop("_s", "_e")
+def plot_data(track: DataFrame, spans: DataFrame, cuts: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """The rows of a track plot with is_target, whether a position lies in the locus itself.
+
+    cuts (bam_file, locus, position, breakpoint_number): also breakpoint_number at the positions of a sample's breakpoints, and
+    pooled_breakpoint at those of its locus. groups (sample, locus, cluster): also cluster, which a pooled plot goes by; 0 without one.
+    """
+    out = track.join(spans.select("locus", F.col("start").alias("_s"), F.col("end").alias("_e")), "locus").withColumn("is_target", F.col("pos").between(F.col("_s"), F.col("_e"))).drop("_s", "_e")
+    if groups is not None:
+        out = out.join(groups.select("sample", "locus", "cluster"), ["sample", "locus"], "left").fillna(0, ["cluster"])
+    if cuts is not None:
+        at = cuts.select(F.col("bam_file").alias("sample"), "locus", F.col("position").alias("_p"), "breakpoint_number")
+        own = at.groupBy("sample", "locus", "_p").agg(F.min("breakpoint_number").alias("breakpoint_number"))
+        pooled = at.where("sample = 'pooled'").groupBy("locus", "_p").agg(F.min("breakpoint_number").alias("pooled_breakpoint"))
+        out = out.withColumn("_p", F.col("pos").cast("long")).join(own, ["sample", "locus", "_p"], "left").join(pooled, ["locus", "_p"], "left").drop("_p")
+    return out
 
 
 def probe_groups(runs: DataFrame, spans: DataFrame, threshold: float = 0.8, distance: float = 0.15, **probing) -> DataFrame:
@@ -170,13 +182,8 @@ def clip_report(clips: DataFrame, breakpoints: DataFrame, pooled: bool = False)
 
 
 def clip_density(clips: DataFrame, points: int = 200) -> DataFrame:
-    """sample, breakpoint, x, density of clip positions relative to the breakpoint, on a grid over all of them and three bandwidths more."""
-    keys = ["sample", "breakpoint"]
-    span = clips.agg(F.min("relative_position"), F.max("relative_position"), F.stddev_samp("relative_position")).first()
-    if span[0] is None:
-        return clips.select(*keys, F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).where("false")
-    low, high = span[0] - 3 * (span[2] or 0), span[1] + 3 * (span[2] or 0)
-    return stats.kde(clips, keys, "relative_position", [low + (high - low) * i / (points - 1) for i in range(points)])
+    """sample, breakpoint, x, density of clip positions relative to the breakpoint, each on its own grid, three bandwidths beyond them."""
+    return stats.density(clips, ["sample", "breakpoint"], "relative_position", points)
 
 
 def base_depth(alignments: DataFrame, windows: DataFrame, keys: list[str], min_quality: int = 13) -> DataFrame:

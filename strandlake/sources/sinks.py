@@ -117,3 +117,17 @@ def probe_table(profiles: DataFrame, threshold: float, centres: list[int]) -> Da
 
     cols = [F.round(F.get("profile", F.lit(k)), 3).alias(f"pos_{c}") for k, c in enumerate(centres)]
     return profiles.select("sample", F.coalesce("cluster", F.lit(-1)).alias("group"), profile_string(F.col("profile"), threshold).alias("profile_string"), *cols)
+
+
+def probe_files(profiles: DataFrame, spans: DataFrame, threshold: float, spacing: int, each_side: int) -> DataFrame:
+    """name ({locus}_probe_profiles.tsv), value, sample: the tables of all loci, each with its own centres in the first line."""
+    from strandlake.operators.probes import profile_string
+
+    name = F.concat("locus", F.lit("_probe_profiles.tsv"))
+    middle = F.floor((F.col("start") + F.col("end")) / 2)
+    titles = F.transform(F.sequence(F.lit(-each_side), F.lit(each_side)), lambda k: F.concat(F.lit("pos_"), (middle + k * spacing).cast("string")))
+    found = profiles.select("locus").distinct().join(spans, "locus")
+    heads = found.select(name.alias("name"), F.concat_ws("\t", F.lit("sample"), F.lit("group"), F.lit("profile_string"), F.array_join(titles, "\t")).alias("value"), F.lit(None).cast("string").alias("sample"))
+    ratios = F.array_join(F.transform("profile", lambda x: F.coalesce(F.round(x, 3).cast("string"), F.lit(""))), "\t")
+    rows = profiles.select(name.alias("name"), F.concat_ws("\t", "sample", F.coalesce("cluster", F.lit(-1)).cast("string"), profile_string(F.col("profile"), threshold), ratios).alias("value"), "sample")
+    return heads.unionByName(rows)

@@ -13,9 +13,15 @@ def test_coverage_then_parse_then_junctions(spark, files, genome, tmp_path, monk
     (tmp_path / "regions.tsv").write_text("c1\t9000\t11000\ttarget\nc1\t2000\t6000\treference\n")
     (tmp_path / "muts.tsv").write_text("c1\t101\tfirst\n")
     folder = cli.main(["coverage", "-b", "bams.txt", "-r", "regions.tsv", "-n", "reference", "-o", "run", "--plot", "--plot-slw", "51", "--plot-auto", "--probe-size", "50", "--probe-spacing", "100", "--probe-drops", "3", "--max-extension", "6000", "--probe-profile", "--probe-profile-out", "--plot-pooled", "-bkp", "segmentation", "--mutation", "muts.tsv"], spark)
-    assert sorted(os.listdir(folder)) == ["run_breakpoints.tsv", "run_coverage.tsv", "run_mutations.tsv", "run_parameters.tsv", "run_tracks.parquet", "target_probe_profiles.tsv"]
+    assert sorted(os.listdir(folder)) == ["run_breakpoints.tsv", "run_coverage.tsv", "run_mutations.tsv", "run_parameters.tsv", "run_probe_rounds.tsv", "run_tracks.parquet", "target_probe_profiles.tsv"]
     assert open(f"{folder}/run_coverage.tsv").read().count("# ") == 6 and files[0] in open(f"{folder}/run_mutations.tsv").readline()
     assert open(f"{folder}/target_probe_profiles.tsv").readline().startswith("sample\tgroup\tprofile_string\tpos_")
+    assert [x.split("\t")[0] for x in open(f"{folder}/target_probe_profiles.tsv")] == ["sample", "dup"]
+    rounds = [x.split("\t") for x in open(f"{folder}/run_probe_rounds.tsv").read().splitlines()]
+    assert rounds[0] == ["sample", "locus", "round", "side", "dropped", "empty", "stops"] and [x[2:4] for x in rounds[1:3]] == [["1", "left"], ["1", "right"]] and rounds[-1][6] == "true"
+    assert "elapsed_seconds\t" in open(f"{folder}/run_parameters.tsv").read()
+    plotted = spark.read.parquet(f"{folder}/run_tracks.parquet").toPandas()
+    assert set(plotted["cluster"]) == {0} and sorted(plotted["breakpoint_number"].dropna()) == [1, 2] and sorted(plotted["pooled_breakpoint"].dropna()) == [1, 2]
     lines = open(f"{folder}/run_breakpoints.tsv").read().splitlines()
     assert len(lines) == 5 and sum(x.startswith("pooled") for x in lines) == 2
     (tmp_path / "more.tsv").write_text((tmp_path / "regions.tsv").read_text() + "c2\t10\t20\tempty\n")
