@@ -154,11 +154,20 @@ def _probe(key: tuple, batch: pa.Table, held: pa.Table) -> pa.Table:
     return pa.concat_tables([out, pa.table({**{f.name: pa.nulls(1, f.type) for f in out.schema}, "shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([cuckoo.blob()], pa.binary())}, schema=out.schema)])
 
 
-def _rebuilt(key: tuple, held: pa.Table) -> pa.Table:
-    """A shard's filter from all keys that its exact table holds."""
-    cuckoo = Cuckoo()
-    cuckoo.add(held.column("k2").to_numpy().view(np.uint64))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([cuckoo.blob()], pa.binary())})
+def _emptied(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Take the entries of gone keys out of a shard's filter; keys that leaned on another's mark get an entry once it has gone.
+
+    Rows with k1 are the keys that have one now, the row without is the filter.
+    """
+    cuckoo = Cuckoo(held.column("blob")[0].as_py() if held.num_rows else None)
+    h, gone, own = asked.column("k2").to_numpy().view(np.uint64), asked.column("gone").to_numpy(), asked.column("own").to_numpy()
+    cuckoo.remove(h[gone & own])
+    leaning = np.flatnonzero(~gone & ~own)
+    bare = leaning[~cuckoo.contains(h[leaning])] if len(leaning) else leaning
+    cuckoo.add(h[bare])
+    rows = asked.select(["shard", "k1", "k2"]).take(pa.array(bare)).append_column("blob", pa.nulls(len(bare), pa.binary()))
+    last = {"shard": pa.array([key[0].as_py()], pa.int32()), "k1": pa.nulls(1, pa.int64()), "k2": pa.nulls(1, pa.int64()), "blob": pa.array([cuckoo.blob()], pa.binary())}
+    return pa.concat_tables([rows.cast(pa.table(last).schema), pa.table(last)])
 
 
 def _no_filters(df: DataFrame) -> DataFrame:
@@ -188,17 +197,31 @@ def references(state: LineState) -> DataFrame:
 
 
 def delete(state: LineState, doc_ids: DataFrame) -> LineState:
-    """The state without the documents of doc_ids.doc_id, as if they had never been inserted."""
+    """The state without the documents of doc_ids.doc_id, as if they had never been inserted.
+
+    Only the shards of their lines are written again. Keys that no document holds any more leave their filter, by the entry that they
+    made; a key that was taken for seen when it came made none, and gets one if the mark it leaned on has gone.
+    """
     ids = doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")).distinct()
     all_ = _union(state.postings)
     touched = cut(all_.join(ids, "doc", "left_semi").select(*KEY).distinct())
-    left = cut(all_.join(ids, "doc", "left_anti"))
+    shards = cut(touched.select("shard").distinct())
+    near = lambda df: df.join(shards, "shard", "left_semi")
+    rest = lambda df: df.join(shards, "shard", "left_anti")
+    left = cut(near(all_).join(ids, "doc", "left_anti"))
+    entries = near(_union(state.segments)).groupBy(*KEY).agg(F.max(~F.col("seen")).alias("own"))
+    old = near(references(state)).join(entries, KEY)
     again = _counted(left.join(touched, KEY, "left_semi"))
-    table = cut(references(state).join(touched, KEY, "left_anti").unionByName(again).withColumn("seen", F.lit(False)))
-    # a mark may stand for other keys too, which were taken for seen: so no mark is removed, but the shard's filter built anew
-    stale = cut(touched.join(again, KEY, "left_anti").select("shard").distinct())
-    filters = table.join(stale, "shard", "left_semi").select("shard", "k2").groupBy("shard").applyInArrow(_rebuilt, "shard int, blob binary")
-    return LineState(state.shards, (left,), (table,), cut(filters.union(state.filters.join(stale, "shard", "left_anti"))))
+    judged = cut(old.join(touched, KEY, "left_anti").unionByName(again.join(entries, KEY)))
+    gone = touched.join(again, KEY, "left_anti").join(entries, KEY).select(*KEY, "own", F.lit(True).alias("gone"))
+    asked = gone.unionByName(judged.where("NOT own").select(*KEY, "own", F.lit(False).alias("gone")))
+    held = state.filters or _no_filters(doc_ids)
+    emptied = cut(asked.groupBy("shard").cogroup(held.join(asked.select("shard").distinct(), "shard", "left_semi").groupBy("shard")).applyInArrow(_emptied, "shard int, k1 long, k2 long, blob binary"))
+    entered = emptied.where("k1 IS NOT NULL").select(*KEY, F.lit(True).alias("now"))
+    table = cut(judged.join(entered, KEY, "left").select(*KEY, "refs", "first", "last", (~(F.col("own") | F.coalesce("now", F.lit(False)))).alias("seen")))
+    filters = emptied.where("k1 IS NULL").select("shard", "blob")
+    filters = filters.unionByName(held.join(filters.select("shard"), "shard", "left_anti"))
+    return LineState(state.shards, (*(rest(p) for p in state.postings), left), (*(rest(s) for s in state.segments), table), filters)
 
 
 def dropped_lines(state: LineState) -> DataFrame:

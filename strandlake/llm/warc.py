@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, shared_dir
+from strandlake.llm.common import _run_dir, cut
 
 #: Payload bytes of an archive before the next one is begun; bytes inflated at a time.
 ROLL, READ = 64 << 20, 1 << 20
@@ -210,6 +210,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Write pages to archives in the shared folder, normalise them, and return what the records say; see write_archives()."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return normalise(write_archives(pages, folder, least))
+    """Write pages to archives in the shared folder, normalise them once, and return what the records say; see write_archives().
+
+    Archives and records go with the application.
+    """
+    folder = f"{_run_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    return cut(normalise(write_archives(pages, folder, least)))
