@@ -97,6 +97,30 @@ def test_deletion_with_keys_that_share_a_mark(spark):
         assert rows(dropped_lines(state), "doc", "drops") == rows(dropped_lines(fresh), "doc", "drops") == [(later, [0])]
 
 
+def test_deletion_takes_entries_out_and_leaves_other_shards_alone(spark):
+    pairs = [(i, f"a line of document {i}\nanother of document {i}\na line that two share {i // 2}") for i in range(60)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    state = insert(insert(LineState(16), df.where("doc_id < 40"), 10), df.where("doc_id >= 40"), 10)
+    marks = lambda st: {r.shard: sum(int((t != 0).sum()) for t in Cuckoo(bytes(r.blob)).tables) for r in st.filters.collect()}
+    blobs = lambda st: {r.shard: bytes(r.blob) for r in st.filters.collect()}
+    before = marks(state)
+    after = delete(state, df.where("doc_id = 7"))
+    keys = line_keys(df.where("doc_id = 7"), 16, 10).collect()
+    lone = [r.shard for r in keys if references(state).where(f"k1 = {r.k1} AND k2 = {r.k2}").first().refs == 1]
+    assert len(lone) == 2 and len(keys) == 3
+    # the two lines that nobody else has leave two marks less, in their shards; the shared one keeps its own
+    assert {k: before[k] - n for k, n in marks(after).items() if before[k] != n} == {k: lone.count(k) for k in lone}
+    untouched = set(before) - {r.shard for r in keys}
+    assert untouched and all(blobs(after)[k] == blobs(state)[k] for k in untouched)
+    # what was written again are the shards of its lines only
+    assert {r.shard for r in after.postings[-1].select("shard").distinct().collect()} <= {r.shard for r in keys}
+    assert {r.shard for r in after.segments[-1].select("shard").distinct().collect()} <= {r.shard for r in keys}
+    # all documents, one after the other: nothing is left
+    for k in range(0, 60, 20):
+        after = delete(after, df.where(f"doc_id >= {k} AND doc_id < {k + 20}"))
+    assert references(after).collect() == [] and set(marks(after).values()) == {0} and dropped_lines(after).collect() == []
+
+
 def test_deletion_from_a_shard_of_many_keys(spark):
     """A filter of 400,000 keys takes some new ones for old; deletions must lose none of them."""
     n, cols = 400_000, ("k1", "k2", "refs", "first", "last")

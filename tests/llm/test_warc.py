@@ -68,3 +68,21 @@ def test_inflating_one_member_or_many():
     recs = [record(i, "u", b"p" * i * 999, hashlib.sha1(b"p" * i * 999).hexdigest(), f"urn:page:{i}") for i in range(5)]
     for data in (gzip.compress(b"".join(recs)), b"".join(map(gzip.compress, recs))):
         assert list(records(inflated(io.BytesIO(data)))) == recs
+
+
+def test_archives_stay_in_the_applications_folder_and_are_written_once(spark):
+    import os
+
+    from strandlake.llm.common import _run_dir, shared_dir
+    from strandlake.llm.warc import round_trip
+
+    def archives(top):
+        return [f for d, _, names in os.walk(top) for f in names if ".warc.gz" in f]
+
+    top, own = (x.removeprefix("file:").replace("//", "/") for x in (shared_dir(spark), _run_dir(spark)))
+    before = len(archives(top))
+    found = round_trip(spark.createDataFrame([(1, "u", "a" * 2000), (2, "v", "a" * 2000)], "page_id long, url string, html string"))
+    assert found.count() == found.count() == 2
+    assert len(archives(top)) == len(archives(own)) >= before + 3
+    assert len(archives(top)) <= before + 6  # each archive, its members and their index, for one or two tasks, whatever reads the result
+    assert not [d for d in os.listdir(top) if d.startswith("warc-")]
