@@ -14,8 +14,8 @@ from strandlake.llm.common import cut, drop_cut, slices, tidy
 from strandlake.llm.graph import components
 from strandlake.llm.gray_index import Tree, forest, search
 
-#: Shingles hashed at a time; fingerprints of a group, about, as long as there are no more than so many groups.
-BLOCK, GROUP, GROUPS = 1_000_000, 8_192, 20_000
+#: Shingles hashed at a time; fingerprints of a group, and groups of a pack; tasks that fingerprints are dealt to at most.
+BLOCK, GROUP, TASKS = 1_000_000, 8_192, 20_000
 
 
 def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -59,15 +59,87 @@ def _rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's fingerprints as one group: its number, its prints, and the bits that all and any of them have."""
-    from pyspark import TaskContext
+def _packed(group: int):
+    """A partition's fingerprints, which come in Gray order, as groups of one size: number, prints, and the bits that all and any of them have."""
 
-    fps = [b.column("fp").to_numpy() for b in batches]
-    fps = np.concatenate(fps) if fps else np.zeros(0, np.int64)
-    if len(fps):
-        both = [pa.array([f.reduce(fps)], pa.int64()) for f in (np.bitwise_and, np.bitwise_or)]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([fps.tobytes()], pa.binary()), *both], names=["g", "fps", "common", "any"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fps = [b.column("fp").to_numpy() for b in batches]
+        fps = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+        for k, at in enumerate(range(0, len(fps), group)):
+            own = fps[at : at + group]
+            both = [pa.array([f.reduce(own)], pa.int64()) for f in (np.bitwise_and, np.bitwise_or)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), pa.array([own.tobytes()], pa.binary()), *both], names=["g", "fps", "common", "any"])
+
+    return run
+
+
+HEADS = ["g", "common", "any"]
+
+
+def _packs(size: int):
+    """A partition's heads of groups, in order, as packs: number, heads, and the bits that all and any of what they stand for have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        parts = list(batches)
+        if not parts:
+            return
+        g, common, any_ = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in HEADS)
+        for k, at in enumerate(range(0, len(g), size)):
+            own = [x[at : at + size] for x in (g, common, any_)]
+            row = [[TaskContext.get().partitionId() << 32 | k], *([x.tobytes()] for x in own), [np.bitwise_and.reduce(own[1])], [np.bitwise_or.reduce(own[2])]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["g", "gs", "commons", "anys", "common", "any"])
+
+    return run
+
+
+def _heads(gs, commons, anys, most: int) -> tuple[np.ndarray, Tree]:
+    tree = Tree((commons.view(np.uint64)[:, None], anys.view(np.uint64)[:, None]), np.full(len(gs), most))
+    return gs[tree.order], tree
+
+
+def _among(most: int):
+    """u, v: groups whose heads can be within `most` bits, each with itself too, of all heads of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            ids, tree = _heads(*(np.concatenate([b.column(c).to_numpy() for b in parts]) for c in HEADS), most)
+            for u, v in search(tree, scale=2, selves=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return run
+
+
+def _between_packs(most: int):
+    """u, v: the same of the heads of two packs, or of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda batch, i, side: _heads(*(np.frombuffer(batch.column(f"{side}_{c}")[i].as_py(), np.int64) for c in ("gs", "commons", "anys")), most)
+        for batch in batches:
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist())):
+                ids, tree = read(batch, i, "u")
+                others, other = (ids, None) if u == v else read(batch, i, "v")
+                for x, y in search(tree, other, scale=2, selves=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(others[y])], names=["u", "v"])
+
+    return run
+
+
+def _meeting(heads: DataFrame, most: int, size: int) -> DataFrame:
+    """u, v of the groups (g, common, any) that may hold links: one task's work for `size` groups, packs of them meeting likewise beyond."""
+    n = heads.count()
+    if n <= size:
+        return heads.coalesce(1).mapInArrow(_among(most), "u long, v long")
+    ordered = heads.repartitionByRange(min(TASKS, -(-n // size)), "g").sortWithinPartitions("g")
+    packs = cut(ordered.mapInArrow(_packs(size), "g long, gs binary, commons binary, anys binary, common long, any long"))
+    met = cut(_meeting(packs.select(*HEADS), most, size)).repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for side in ("u", "v"):
+        met = met.join(packs.select(F.col("g").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("gs", "commons", "anys"))), side)
+    return met.mapInArrow(_between_packs(most), "u long, v long")
 
 
 def _prints(blob: pa.Scalar) -> np.ndarray:
@@ -96,27 +168,20 @@ def _between(most: int):
     return run
 
 
-def near_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+def near_links(fps: DataFrame, most: int, group: int = GROUP, pack: int = GROUP) -> DataFrame:
     """A forest (a, b) over distinct fingerprints (fp, long) that joins all that links of `most` differing bits or fewer join.
 
-    Ranges of Gray rank are the lowest groups of the index that are apart: about `group` fingerprints each, and more only where
-    there would be over GROUPS groups. The index above them, with two words for each of those, is searched against itself on
-    the driver; pairs of groups that are left meet in a task, which searches on down both. A fingerprint has at most so many
-    others at `most` bits, however many copies it stands for, so no bucket can be crowded.
+    Ranges of Gray rank are the lowest groups of the index that are apart: `group` fingerprints each, however many there are. The
+    index above them, with two words for each, is searched by tasks too, in packs of `pack` groups (2 or more) and packs of packs; pairs of
+    groups that are left meet in a task, which searches on down both. A fingerprint has at most so many others at `most` bits,
+    however many copies it stands for, so no bucket can be crowded.
     """
     spark = fps.sparkSession
-    parts = min(GROUPS, max(1, -(-fps.count() // group)))
-    ranged = fps.select("fp", _rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").select("fp")
-    groups = cut(ranged.mapInArrow(_packed, "g int, fps binary, common long, any long"))
-    heads = groups.select("g", "common", "any").toArrow()
-    common, any_ = (heads.column(c).to_numpy().view(np.uint64)[:, None] for c in ("common", "any"))
-    top = Tree((common, any_), np.full(len(common), most))
-    ids = heads.column("g").to_numpy()[top.order] if len(common) else np.zeros(0, np.int32)
-    pairs = [np.stack([ids[u], ids[v]], 1) for u, v in search(top, scale=2, selves=True)]
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int32)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = pa.table({"u": pa.array(pairs[:, 0], pa.int32()), "v": pa.array(pairs[:, 1], pa.int32())})
-    met = spark.createDataFrame(table).repartition(n)
+    parts = min(TASKS, max(1, -(-fps.count() // group)))
+    ranged = fps.select("fp", _rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
+    groups = cut(ranged.mapInArrow(_packed(group), "g long, fps binary, common long, any long"))
+    pairs = cut(_meeting(groups.select(*HEADS), most, max(2, pack)))
+    met = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for side, prints in (("u", "x"), ("v", "y")):
         met = met.join(groups.select(F.col("g").alias(side), F.col("fps").alias(prints)), side)
     return met.select("u", "v", "x", "y").mapInArrow(_between(most), "a long, b long")
