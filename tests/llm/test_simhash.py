@@ -97,8 +97,8 @@ def test_buckets_labels_and_allowances():
 def test_links_across_ranges_of_rank(spark):
     fps = clustered(250, 4, 2)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for group in (100_000, 20, 1):
-        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, group).collect()]
+    for group, pack in ((100_000, 100_000), (20, 4), (1, 1000), (1, 24)):
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, 2, group, pack).collect()]
         assert same_components(fps, edges, 2)
 
 
