@@ -533,17 +533,34 @@ def _halves(spark, sf_dir):
     return first.unionByName(b.select((F.col("item_id") * 2 + 1).alias("ord"), F.right("text", half).alias("pattern"), F.lit(2).alias("breakpoint")))
 
 
-@query()
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH p AS (SELECT item_id * 2 AS ord, left(text, CAST(length(text) // 2 AS INT)) AS p, 1 AS b FROM benchmark UNION ALL SELECT item_id * 2 + 1, right(text, CAST(length(text) // 2 AS INT)), 2 FROM benchmark),
+u AS (SELECT p, arg_max(b, ord) AS b FROM p WHERE p <> '' GROUP BY p),
+hit AS (SELECT doc_id, b, p, i AS s, i + length(p) - 1 AS e FROM (SELECT doc_id, text AS t, p, b, unnest(range(0, length(text) - length(p) + 1)) AS i FROM documents JOIN u ON contains(text, p)) WHERE substr(t, i + 1, length(p)) = p),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e, length(p) DESC, s, b, p) AS k FROM hit),
+pair AS (SELECT x.doc_id, x.k AS i, x.b AS b1, x.s AS s1, x.e AS e1, y.b AS b2, y.s AS s2, y.e AS e2, row_number() OVER (PARTITION BY x.doc_id, x.k ORDER BY y.k) AS n FROM o x JOIN o y ON x.doc_id = y.doc_id AND y.k > x.k AND y.b <> x.b),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, b1, b2 ORDER BY i) AS r FROM pair WHERE n = 1),
+place AS (SELECT one.*, text AS t, unnest(range(0, length(text))) AS c FROM one JOIN documents USING (doc_id) WHERE r = 1)
+SELECT doc_id, CAST(b1 AS INT) AS b1, CAST(b2 AS INT) AS b2, CAST(i - 1 AS INT) AS ord,
+string_agg(CASE WHEN c BETWEEN s1 AND e1 OR c BETWEEN s2 AND e2 THEN translate(substr(t, c + 1, 1), '{_LOW}', '{_UP}') ELSE translate(substr(t, c + 1, 1), '{_UP}', '{_LOW}') END, '' ORDER BY c) AS marked FROM place GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY doc_id, b1, b2, i"))
 def junction_reads(spark, sf_dir):
     allowed = reads.symmetric_pairs(spark.sql("SELECT 1 AS source, 2 AS target"))
     return patterns.junction_reads(_table(spark, sf_dir, "documents"), _halves(spark, sf_dir), allowed, "doc_id", "text")
 
 
-@query()
+_NEAR = f"(SELECT a.*, b, p FROM {_ENDS} a JOIN (VALUES (1, 200), (2, 700)) AS x(b, p) ON pos0 < p + 50 AND pos0 + covered > p - 50 WHERE clipped AND k >= 30)"
+
+
+@query(f"""WITH c AS (SELECT b, p, pos0 + 1 AS place, doc_id * 2 AS ord FROM {_NEAR} a WHERE doc_id % 3 IN (0, 2) UNION ALL SELECT b, p, pos0 + covered, doc_id * 2 + 1 FROM {_NEAR} a WHERE doc_id % 3 IN (1, 2)),
+m AS (SELECT b, p, place, n, row_number() OVER (PARTITION BY b ORDER BY n DESC, f) AS r FROM (SELECT b, p, place, count(*) AS n, min(ord) AS f FROM c GROUP BY b, p, place))
+SELECT CAST(b AS INT) AS breakpoint, CAST(place AS BIGINT) AS mode, n, CAST(p AS BIGINT) AS predicted, CAST(place - p AS BIGINT) AS "offset" FROM m WHERE r = 1""")
 def junction_evidence(spark, sf_dir):
     """The junctions run as a whole: clips per breakpoint with their mode and offset."""
     rows = _aligned(spark, sf_dir)
     one = spark.sql("SELECT 1 AS breakpoint_number, 'days' AS chromosome, CAST(200 AS BIGINT) AS position UNION ALL SELECT 2, 'days', CAST(700 AS BIGINT)")
     points = rows.select("sample").distinct().join(one, F.lit(True))
-    clips = pipelines.junctions(rows, points, 30, 50)["clips"].withColumn("ord", F.xxhash64("qname", "side"))
+    order = F.substr("qname", F.lit(2)).cast("long") * 2 + (F.col("side") == "R").cast("int")
+    clips = pipelines.junctions(rows, points, 30, 50)["clips"].withColumn("ord", order)
     return pipelines.clip_modes(clips, one)

@@ -127,23 +127,41 @@ def test_junction_reads(spark, duck):
     assert got == want and want
 
 
-def test_junction_evidence(spark, duck):
-    from xxhash import xxh64_intdigest
-
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    met = {1: {}, 2: {}}
-    for doc, text in duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
-        n, k, pos = len(text), doc % 41 + 10, doc * 7 % 1000
-        sides = [] if n <= 120 else [["L"], ["R"], ["L", "R"]][doc % 3]
-        end = pos + n - k * len(sides)
-        for b, at in ((1, 200), (2, 700)):
-            if pos < at + 50 and end > at - 50 and k >= 30:
-                for side in sides:
-                    order = signed(xxh64_intdigest(side.encode(), xxh64_intdigest(f"d{doc}".encode(), 42)))
-                    met[b].setdefault(pos + 1 if side == "L" else end, []).append(order)
-    want = {b: min((-len(v), min(v), p) for p, v in own.items()) for b, own in met.items()}
-    got = {r.breakpoint: (-r.n, r.mode, r.offset) for r in catalog.junction_evidence(spark, DIR).collect()}
-    assert got == {b: (n, p, p - {1: 200, 2: 700}[b]) for b, (n, _, p) in want.items()}
+def local_score(q, s):
+    """The best local score by whole rows: 1, -2, -2.5 a base of a gap; doubled, in whole numbers."""
+    best, row = 0, np.zeros(len(s) + 1, np.int64)
+    ramp = 5 * np.arange(len(s) + 1)
+    for c in q:
+        new = np.maximum(0, row - 5)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(s == c, 2, -4))
+        row = np.maximum.accumulate(new + ramp) - ramp
+        best = max(best, int(row.max()))
+    return best
+
+
+def test_seeded_hits(spark, duck):
+    """Every pair that shares 28 characters has a hit of the best local score; others have none that is better than their best."""
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    items = {str(i): t.upper() for i, t in duck.execute("SELECT item_id, text FROM benchmark WHERE text IS NOT NULL").fetchall()}
+    docs = {str(i): t.upper() for i, t in duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall()}
+    found = {}
+    for r in catalog.seeded_hits(spark, DIR).collect():
+        gaps = 2 * r.length - (r.qend - r.qstart + 1) - (r.send - r.sstart + 1)
+        score = 2 * (r.length - r.mismatch - gaps) - 4 * r.mismatch - 5 * gaps
+        found[r.qseqid, r.sseqid] = max(found.get((r.qseqid, r.sseqid), 0), score)
+        assert local_score(codes(items[r.qseqid][r.qstart - 1 : r.qend]), codes(docs[r.sseqid][r.sstart - 1 : r.send])) == score
+    grams = {}
+    for i, t in items.items():
+        for k in range(len(t) - 27):
+            grams.setdefault(t[k : k + 28], set()).add(i)
+    want = {(i, d) for d, t in docs.items() for k in range(len(t) - 27) for i in grams.get(t[k : k + 28], ())}
+    assert want and want <= found.keys()
+    worse = 0
+    for i, d in found:
+        best = local_score(codes(items[i]), codes(docs[d]))
+        assert found[i, d] <= best
+        worse += found[i, d] < best
+    assert worse <= len(found) // 20  # chains further apart than the band join in no alignment
 
 
 def test_every_query_is_held_against_something():
