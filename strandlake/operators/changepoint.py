@@ -9,7 +9,8 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import chunks
@@ -348,3 +349,82 @@ def best_single_cut(track: DataFrame, keys: list[str], value: str, min_size: int
     cost = F.col("q") - F.col("s") * F.col("s") / k + (F.col("qt") - F.col("q")) - (F.col("st") - F.col("s")) * (F.col("st") - F.col("s")) / (F.col("n") - k)
     rows = rows.where((k >= min_size) & (F.col("n") - k >= min_size)).select(*keys, "rn", F.round(cost, 6).alias("cost"))
     return rows.groupBy(*keys).agg(F.min(F.struct("cost", "rn")).alias("m")).select(*keys, "m.rn", "m.cost")
+
+
+#: Units that one task segments: rows first, then the segments of chunks before it.
+UNITS = 8192
+
+
+def _best_cuts(n: np.ndarray, s: np.ndarray, q: np.ndarray, n_bkps: int, at: np.ndarray, min_size: int) -> list[int]:
+    """Of units (rows, sum, sum of squares) the places among `at` where up to n_bkps cuts leave the least squared error, exactly."""
+    sums = [np.r_[0.0, np.cumsum(v)] for v in (n, s, q)]
+    ends = np.r_[at, len(n)]
+    places = np.r_[0, ends]
+    rows, total, squares = (v[places] for v in sums)
+
+    def cost(e: int, starts: slice) -> np.ndarray:
+        size = rows[e] - rows[starts]
+        found = squares[e] - squares[starts] - (total[e] - total[starts]) ** 2 / np.maximum(size, 1)
+        return np.where(size >= min_size, found, np.inf)
+
+    m = len(places)
+    best, back = np.full((n_bkps + 1, m), np.inf), np.zeros((n_bkps + 1, m), np.int64)
+    for e in range(1, m):
+        own = cost(e, slice(0, e))
+        best[0, e] = own[0]
+        for k in range(1, n_bkps + 1):
+            found = best[k - 1, 1:e] + own[1:]
+            if len(found):
+                back[k, e] = int(np.argmin(found)) + 1
+                best[k, e] = found[back[k, e] - 1]
+    k = int(np.argmin(best[:, -1]))
+    out, e = [], m - 1
+    while k > 0:
+        e = int(back[k, e])
+        out.append(int(places[e]))
+        k -= 1
+    return out[::-1]
+
+
+def chunked_breakpoints(track: DataFrame, keys: list[str], signal: str = "moving_average", n_bkps: int = 2, min_size: int = 2, jump: int = 5, units: int = UNITS) -> DataFrame:
+    """keys, position, breakpoint_number, method: n_bkps cuts of tracks of any length (rn, pos, signal) by squared error; no task holds a track.
+
+    A chunk of `units` rows gives its own best cuts, as many as are asked for, and is from then on known by the sums of its segments.
+    Chunks of segments are cut likewise until one is left, whose cuts are the result. Moving a cut of the best segmentation inside a
+    segment of one mean to its nearer or further end never costs more, which bounds the squared error: one chunk is exact; chunks
+    and one selection stay within 5 times that of the best cuts at multiples of jump, a level more within 16 times (min_size apart).
+    """
+    if units // (n_bkps + 1) < 2:
+        raise ValueError("a chunk has to hold the segments of two others")
+    each = [F.col(k) for k in keys]
+    rows = track.where(F.col(signal).isNotNull()).select(*each, F.col("rn").cast("long").alias("rn"), F.col("pos").cast("long").alias("pos"), F.lit(1.0).alias("n"), F.col(signal).cast("double").alias("s"))
+    # values about the track's first one, so that squares keep their digits
+    rows = rows.withColumn("_c", F.floor((F.col("rn") - 1) / units))
+    about = chunks.carry(rows, keys, {"_f": F.min_by("s", "rn")}, {"about": lambda w: F.first("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = about.withColumn("s", F.col("s") - F.col("about")).drop("about").withColumn("q", F.col("s") * F.col("s"))
+    schema = rows.schema
+    last = rows.agg(F.max("_c")).first()[0] or 0
+
+    def cut(step: int):
+        def kernel(table: pa.Table) -> pa.Table:
+            table = table.sort_by("rn")
+            rn, n, s, q = (table.column(c).to_numpy() for c in ("rn", "n", "s", "q"))
+            at = np.arange(1, len(n))
+            if step > 1:  # rows: cuts at multiples of jump of the whole track
+                at = at[(rn[1:] - 1) % step == 0]
+            starts = np.r_[0, np.array(_best_cuts(n, s, q, n_bkps, at, min_size), np.int64)]
+            table_ = table.take(pa.array(starts))
+            for name, v in (("n", n), ("s", s), ("q", q)):
+                table_ = table_.set_column(table_.schema.get_field_index(name), name, pa.array(np.add.reduceat(v, starts)))
+            return table_
+
+        return kernel
+
+    found = rows.groupBy(*keys, "_c").applyInArrow(cut(jump), schema)
+    while last > 0:
+        fan = units // (n_bkps + 1)
+        found = found.withColumn("_c", F.floor(F.col("_c") / fan)).groupBy(*keys, "_c").applyInArrow(cut(1), schema)
+        last //= fan
+    order = Window.partitionBy(*keys).orderBy("rn")
+    found = found.withColumn("breakpoint_number", F.row_number().over(order) - 1).where("breakpoint_number > 0")
+    return found.select(*each, F.col("pos").alias("position"), "breakpoint_number", F.lit("segmentation").alias("method"))

@@ -50,7 +50,10 @@ def copy_breakpoints(track: DataFrame, spans: DataFrame, pooled: bool = False, g
         rows = track.join(groups, ["sample", "locus"], "left") if groups is not None else track.withColumn("cluster", F.lit(0))
         cuts = changepoint.pooled_breakpoints(rows.fillna(0, ["cluster"]), ["locus", "cluster"], "sample", column, **how).withColumn("bam_file", F.lit("pooled"))
     else:
-        cuts = changepoint.breakpoints(track, ["sample", "locus"], column, **how).withColumnRenamed("sample", "bam_file")
+        find = changepoint.breakpoints
+        if how.get("algo") == "Chunked":  # squared errors over tracks of any length, a number of cuts
+            how, find = {k: v for k, v in how.items() if k in ("n_bkps", "min_size", "jump")}, changepoint.chunked_breakpoints
+        cuts = find(track, ["sample", "locus"], column, **how).withColumnRenamed("sample", "bam_file")
     return cuts.join(spans.select("locus", F.col("chrom").alias("chromosome")), "locus").select("bam_file", "locus", "chromosome", "position", "breakpoint_number", "method")
 
 

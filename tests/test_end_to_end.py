@@ -78,6 +78,8 @@ def test_coverage_run(spark, alignments, regions):
     assert {(r.sample, r.locus) for r in track.select("sample", "locus").distinct().collect()} == {("dup", "target")}
     cuts = [r.position for r in pipelines.copy_breakpoints(track, spans, n_bkps=2).orderBy("breakpoint_number").collect()]
     assert abs(cuts[0] - 8000) < 120 and abs(cuts[1] - 12_000) < 120
+    again = [r.position for r in pipelines.copy_breakpoints(track, spans, algo="Chunked", n_bkps=2).orderBy("breakpoint_number").collect()]
+    assert abs(again[0] - 8000) < 120 and abs(again[1] - 12_000) < 120
     pooled = [r.position for r in pipelines.copy_breakpoints(track, spans, pooled=True, n_bkps=2).orderBy("breakpoint_number").collect()]
     assert pooled == cuts
     own = track.where("sample = 'dup' AND locus = 'target'").toPandas().sort_values("rn")

@@ -113,3 +113,30 @@ def test_median_distance_in_little_memory(rows):
     d = np.sort([((a - b) ** 2).sum() for a, b in itertools.combinations(x, 2)])
     for rank in (0, len(d) // 2, len(d) - 1):
         assert abs(changepoint._quantile_of_pairs(x, rank, 7) - d[rank]) < 1e-9
+
+
+def squared(x, cuts):
+    return sum(((x[a:b] - x[a:b].mean()) ** 2).sum() for a, b in zip((0, *cuts), (*cuts, len(x))))
+
+
+@pytest.mark.parametrize("units", [8192, 60, 12])
+def test_chunked_change_points_stay_within_their_bound(spark, units):
+    r = np.random.default_rng(units)
+    tracks = {
+        "steps": np.r_[np.zeros(137), np.full(90, 3.0), np.full(173, -1.0)] + r.normal(0, 0.1, 400), "noise": r.normal(size=400), "ramp": np.linspace(0, 1, 400),
+        "high": 1e9 + np.r_[np.zeros(200), np.ones(200)], "flat": np.zeros(400), "short": np.array([1.0, 5.0]), "one": np.array([1.0]),
+    }
+    rows = [(k, i + 1, 10 * i, float(v)) for k, x in tracks.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("flat", 401, 4000, None)], "k string, rn int, pos long, v double").repartition(3)
+    got = {}
+    for x in changepoint.chunked_breakpoints(df, ["k"], "v", 2, 2, 5, units).orderBy("k", "breakpoint_number").collect():
+        got.setdefault(x.k, []).append(x.position // 10)
+        assert x.breakpoint_number == len(got[x.k])
+    assert len(got["steps"]) == 2 and got["high"][0] == 200 and "short" not in got and "one" not in got
+    for k in ("steps", "noise", "ramp"):
+        x, at = tracks[k], range(5, 400, 5)
+        best = min(squared(x, c) for c in [(), *((a,) for a in at), *itertools.combinations(at, 2)])
+        assert squared(x, got[k]) <= (1 + 1e-9) * best * (1 if units > 400 else 5 if units == 60 else 16)
+    assert abs(got["steps"][0] - 137) <= 5 and abs(got["steps"][1] - 227) <= 5
+    with pytest.raises(ValueError):
+        changepoint.chunked_breakpoints(df, ["k"], "v", 9, units=12)
