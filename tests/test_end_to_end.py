@@ -109,6 +109,27 @@ def test_junction_run(spark, alignments, genome):
     assert len(fastq) == 4 and set(fastq[3]) == {"?"} and len(fastq[1]) == len(fastq[3])
 
 
+def test_runs_over_an_indexed_file_equal_those_over_all_records(spark, alignments, tmp_path):
+    """Clips, inserts, bridges and junction reads from the blocks of the breakpoints and the unmapped tail alone."""
+    rows = [r.asDict(recursive=True) for r in alignments.where("sample = 'dup'").collect()]
+    rows.sort(key=lambda r: (r["rname"] is None, r["pos0"]))
+    path = f"{tmp_path}/dup.bam"
+    bam.write_bam(path, CONTIGS, rows)
+    bam.write_index(path)
+    points = spark.createDataFrame([("dup", "c1", 8000, 1), ("dup", "c1", 12_000, 2)], "sample string, chromosome string, position long, breakpoint_number int")
+    pairs = reads.symmetric_pairs(spark.sql("SELECT 1 AS source, 2 AS target"))
+    whole = pipelines.junctions(bam.alignments(spark, [path]), points, 30, 100, pairs, True)
+    near = bam.alignments(spark, [path], regions=pipelines.read_regions(points, 100, True))
+    assert near.count() < len(rows)
+    part = pipelines.junctions(near, points, 30, 100, pairs, True, bam.alignments(spark, [path], unmapped=True))
+    for name, df in whole.items():
+        own = sorted(map(str, df.collect()))
+        assert own == sorted(map(str, part[name].collect())) and own, name
+    muts = spark.createDataFrame([("m", "c1", 100), ("n", "c2", 3)], "mutation_id string, chrom string, pos0 long")
+    cells = lambda df: sorted(map(str, pipelines.genotypes(df, muts, samples=points.select("sample").distinct()).collect()))
+    assert cells(bam.alignments(spark, [path], regions=[("c1", 99, 101), ("c2", 2, 4)])) == cells(bam.alignments(spark, [path]))
+
+
 def test_junction_reads_are_records(spark, genome):
     """Mates share a name and nothing else: only a record that holds clips of both breakpoints is a junction read."""
     a, b = genome[100:140], genome[300:340]
