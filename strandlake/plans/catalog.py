@@ -521,7 +521,9 @@ def seeded_hits(spark, sf_dir):
     """Passages aligned to whole documents: the best gapped alignment of each chain of seeds."""
     passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("seq"))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
-    found = alignment.local_hits(passages, alignment.pieces(docs, 1 << 15, 1 << 13), word=28)
+    # pieces overlap by more than a passage, and are short, as places in a text are found from its start on
+    overlap = (passages.agg(F.max(F.char_length("seq"))).first()[0] or 0) + 64
+    found = alignment.local_hits(passages, alignment.pieces(docs, max(1 << 12, 2 * overlap), overlap), word=28)
     return found.select("qseqid", "sseqid", *_r("pident"), "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", *_r("bitscore", n=3))
 
 
