@@ -104,7 +104,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(KINDS))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
+    # of a lambda with two arguments, a default one too, Spark makes the second the place in the array
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind, *_ in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

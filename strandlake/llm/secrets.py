@@ -90,10 +90,12 @@ def models() -> tuple[list[float], float]:
 
 
 def log_ratio(token: Column, table: list[float]) -> Column:
-    """The summed log-likelihood ratio of a string over ALPHABET; the table is one literal."""
+    """The summed log-likelihood ratio of a string over ALPHABET, in one pass over its characters; the table is one literal."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    place = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, place(i) * len(ALPHABET) + place(i + 1)))
+    place = lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda acc, at: F.struct(at.alias("last"), (acc["sum"] + F.coalesce(F.get(ratios, acc["last"] * len(ALPHABET) + at), F.lit(0.0))).alias("sum"))
+    return F.aggregate(F.transform(F.split(token, ""), place), start, step, lambda acc: acc["sum"])
 
 
 def _matches(text: Column, kind: str, pattern: str, ok) -> Column:
