@@ -30,10 +30,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, over five-word shingles, at a resemblance of 0.8 or more."""
+    """One document of each group of near copies.
+
+    Linked are SimHash fingerprints over three-word shingles at 2 or fewer differing bits, as in op6, and, as a 64-bit print tells
+    little below that, what else has a resemblance of 0.8 or more over five-word shingles.
+    """
     from strandlake.llm.near_copies import one_of_each
 
-    return one_of_each(docs)
+    return one_of_each(docs, prints=(3, 2))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near copies by exact resemblance of shingle sets, over a Gray-order index of parity prints.
+"""Near copies by SimHash fingerprints, and by exact resemblance of shingle sets for what these don't join.
+
+Fingerprints are linked first, by the index of llm.simhash. A resemblance of 0.8 leaves about ten differing bits in a print, too
+many for any index of prints alone, so such links are found by a second index, of parity prints; it asks for no pair that
+fingerprints joined.
 
 A shingle is a code: a hash of its words. Codes that one text alone has come first in the order that all texts share, then the
 others from rare to common. Two texts that resemble each other have a code of both prefixes in common, and a text that has more
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import complete, cut, drop_cut, fresh, slices, tidy
 from strandlake.llm.graph import components
 from strandlake.llm.gray_index import Tree, gray_rank, search
-from strandlake.llm.simhash import ascii_words
+from strandlake.llm.simhash import ascii_words, fingerprint, near_links
 
 #: Bits of a code below its part; bits of a text's place among those whose codes are sorted together.
 LOW, PLACE = 32, 12
@@ -78,11 +82,11 @@ def _common(docs: DataFrame, words: int, bits: int, of: int = 64, often: int = 3
     return np.sort(np.array([r.s for r in found.collect()], np.int64).view(np.uint64))
 
 
-_CODED = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("codes", pa.binary()), ("places", pa.binary()), ("eid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("late", pa.list_(pa.int64()))])
+_CODED = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("codes", pa.binary()), ("places", pa.binary()), ("eid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("late", pa.list_(pa.int64()))])
 
 
-def _coded(words: int, bits: int, late: np.ndarray):
-    """A row per document, and rows per part of the codes with the sorted codes of many documents, the late ones left out."""
+def _coded(words: int, bits: int, late: np.ndarray, print_words: int | None):
+    """A row per document, with its fingerprint if that is asked for, and rows per part of the codes with the sorted codes of many documents, the late ones left out."""
 
     def rows(columns: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _CODED], schema=_CODED)
@@ -105,12 +109,13 @@ def _coded(words: int, bits: int, late: np.ndarray):
         seen: set[bytes] = set()
         codes, places, size = [], [], 0
         for batch in slices(batches):
-            out: dict[str, list] = {c: [] for c in ("eid", "k1", "k2", "n", "late")}
+            out: dict[str, list] = {c: [] for c in ("eid", "k1", "k2", "n", "fp", "late")}
             for text in batch.column("text"):
-                own = shingle_codes(text.as_py(), words, bits)
+                own = shingle_codes(text := text.as_py(), words, bits)
+                fp = None if print_words is None else fingerprint(text, print_words)
                 name = xxh3_128_digest(own.tobytes())
                 is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                for c, v in zip(out.values(), (eid, *np.frombuffer(name, np.int64).tolist(), len(own), own[is_late].view(np.int64))):
+                for c, v in zip(out.values(), (eid, *np.frombuffer(name, np.int64).tolist(), len(own), fp, own[is_late].view(np.int64))):
                     c.append(v)
                 if name not in seen:  # of copies in a task one is enough
                     seen.add(name)
@@ -213,7 +218,7 @@ def _meet(least: int, crowd: int | None):
                 at = np.flatnonzero(many)
                 at = at[np.lexsort((*(gray_rank(prints[at, w]) for w in (2, 1, 0)), bucket[at]))]
                 u, v = at[:-1], at[1:]
-                near = (bucket[u] == bucket[v]) & ((100 + least) * np.bitwise_count(prints[u] ^ prints[v]).sum(1, dtype=np.int64) <= allow[u] + allow[v])
+                near = (bucket[u] == bucket[v]) & (root[u] != root[v]) & ((100 + least) * np.bitwise_count(prints[u] ^ prints[v]).sum(1, dtype=np.int64) <= allow[u] + allow[v])
                 found.append((u[near], v[near]))
                 yield rows(node[at], node[at], code[at])
             at = np.flatnonzero(~many & (size > 1))
@@ -232,10 +237,26 @@ def _met(rows: DataFrame, least: int, crowd: int | None) -> DataFrame:
     return cut(sorted_.mapInArrow(_meet(least, crowd), "a long, b long, code long"))
 
 
-def resembling(alive: DataFrame, least: int, crowd: int = 8) -> DataFrame:
-    """Links (a, b) that join all nodes that pairs of a resemblance of `least` % or more join.
+def printed(own: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) that join all nodes that fingerprints of `most` differing bits or fewer join.
+
+    own: k1, k2, fp of every document; nodes: k1, k2, node. Documents of one node may have several fingerprints.
+    """
+    kinds = cut(own.select("k1", "k2", "fp").distinct())
+    fps = cut(kinds.select("fp").distinct())
+    roots = cut(components(near_links(fps, most)).withColumnRenamed("node", "fp"))
+    placed = kinds.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).join(roots, "fp", "left")
+    placed = cut(placed.select("node", F.coalesce("root", "fp").alias("root")).distinct())
+    least = cut(placed.groupBy("root").agg(F.min("node").alias("b")))
+    links = cut(placed.join(least, "root").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    drop_cut(kinds, fps, roots, placed, least)
+    return links
+
+
+def resembling(alive: DataFrame, least: int, crowd: int = 8, joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join all nodes that pairs of a resemblance of `least` % or more, or links of `joined`, join.
 
-    alive: node, n, allow, prefix, codes, print. Every such pair shares a code of both prefixes, so it meets in that code's bucket. In
+    alive: node, n, allow, prefix, codes, print. Pairs that `joined` joins are not asked for. Every other such pair shares a code of both prefixes, so it meets in that code's bucket. In
     buckets over `crowd` first neighbours in Gray order are compared, then all pairs that these links haven't joined, so that
     many copies of one text cost few.
     """
@@ -248,9 +269,15 @@ def resembling(alive: DataFrame, least: int, crowd: int = 8) -> DataFrame:
         both = F.size(F.array_intersect("codes_a", "codes_b"))  # a code that both have is shared, so it is in the lists
         return cut(pairs.where((100 + least) * both >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
-    routed = alive.select(F.explode("prefix").alias("code"), F.col("node").alias("root"), "node", "allow", "print")
+    labelled = alive.withColumn("root", F.col("node"))
+    if joined is not None:
+        before = cut(components(joined))
+        labelled = alive.join(before, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    routed = labelled.select(F.explode("prefix").alias("code"), "root", "node", "allow", "print")
     met = _met(routed, least, crowd)
     found = linked(met.where("code is null"))
+    if joined is not None:
+        found = found.unionByName(joined)
     again = met.where("code is not null").select("code", F.col("a").alias("node"))
     if again.isEmpty():
         return found
@@ -263,10 +290,11 @@ def resembling(alive: DataFrame, least: int, crowd: int = 8) -> DataFrame:
     return found.unionByName(more)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: int = 80, crowd: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: int = 80, crowd: int = 8, prints: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, h (xxhash64 of the text), component_id: rows joined by links of a resemblance of `least` % or more.
 
-    Resemblance is that of the sets of shingles of `words` words. component_id is the smallest doc_id reachable, over null ids,
+    prints: words of a shingle and bits; rows whose SimHash fingerprints over such shingles differ in so many bits or fewer are
+    linked too. Resemblance is that of the sets of shingles of `words` words. component_id is the smallest doc_id reachable, over null ids,
     which it never is unless all are null. Null and empty texts have no shingles and are one group; a text of fewer words than
     a shingle is one shingle; repeated rows give repeated rows; no rows give none.
     """
@@ -275,8 +303,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: int = 80, crowd: i
     parts = 1 << min(20, max(10, (4 * n - 1).bit_length()))
     bits = LOW + parts.bit_length() - 1
     late = _common(docs, words, bits)
-    coded = cut(docs.mapInArrow(_coded(words, bits, late), ", ".join(f"{f.name} {'array<long>' if f.name == 'late' else {'int32': 'int', 'int64': 'long', 'binary': 'binary'}[str(f.type)]}" for f in _CODED)))
-    own = cut(coded.where("eid is not null").select("eid", "doc_id", "h", "k1", "k2", "n", "late"))
+    coded = cut(docs.mapInArrow(_coded(words, bits, late, prints and prints[0]), ", ".join(f"{f.name} {'array<long>' if f.name == 'late' else {'int32': 'int', 'int64': 'long', 'binary': 'binary'}[str(f.type)]}" for f in _CODED)))
+    own = cut(coded.where("eid is not null").select("eid", "doc_id", "h", "k1", "k2", "n", "fp", "late"))
     nodes = cut(own.groupBy("k1", "k2").agg(F.min("eid").alias("node"), F.min("doc_id").alias("first"), F.min_by("n", "eid").alias("n"), F.min_by("late", "eid").alias("late")))
     blobs = coded.where("part is not null").select("part", "base", "codes", "places").repartition(n, "part").sortWithinPartitions("part")
     shared = blobs.mapInArrow(_shared, "eid long, df long, code long").select("eid", "df", "code", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<long>").alias("late"))
@@ -284,7 +312,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: int = 80, crowd: i
     rows = shared.unionByName(heads).repartition(n, "eid").sortWithinPartitions("eid")
     alive = cut(rows.mapInArrow(_alive(least), _ALIVE))
     drop_cut(coded)
-    roots = components(resembling(alive, least, crowd))
+    roots = components(resembling(alive, least, crowd, printed(own, nodes, prints[1]) if prints else None))
     named = nodes.select("k1", "k2", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # written first, so that the join's sides are plain shuffles and a crowded set's documents can be split
